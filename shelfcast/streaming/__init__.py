@@ -1,0 +1 @@
+"""shelfcast.streaming."""
