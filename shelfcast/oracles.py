@@ -4,27 +4,63 @@ Each oracle is assembled from named CTEs; ``sql(final, *needs)`` emits the
 WITH clause with every transitive dependency in definition order.  The
 tables ``lineitem orders events`` are the driver's pre-registered views.
 
-The expressions mirror the Spark side exactly: casts that truncate in
-Spark truncate here too, CASE results are cast to DOUBLE (bare literals
-are DECIMAL in both engines), and aggregated doubles are reported
-through the floor(x·10⁴ + 0.5)/10⁴ rule (``R4``).
+The expressions mirror the Spark side: casts that truncate in Spark
+truncate here too, CASE results are cast to DOUBLE (bare literals are
+DECIMAL in both engines), sums are cast back to BIGINT, and aggregated
+doubles are reported through the quantization rule ``Q`` (see
+``shelfcast.functions.columns.quantize``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+CTES: dict[str, str] = {}
+DEPS: dict[str, tuple[str, ...]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def Q(expr: str) -> str:
+    """Quantization of compared doubles, same rule as ``shelfcast.functions.columns.quantize``."""
+    return f"floor(({expr}) * 10000 + 0.3183) / 10000"
+
+
+def cte(name: str, body: str, needs: Sequence[str] = ()) -> None:
+    CTES[name] = body
+    DEPS[name] = tuple(needs)
+
+
+def _closure(names: Sequence[str]) -> list[str]:
+    seen: list[str] = []
+
+    def visit(n: str) -> None:
+        if n in seen:
+            return
+        for d in DEPS[n]:
+            visit(d)
+        seen.append(n)
+
+    for n in names:
+        visit(n)
+    return seen
+
+
+def sql(final: str, *needs: str) -> str:
+    names = _closure(needs)
+    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" + final) if names else final
+
 
-def R4(expr: str) -> str:
-    """Cross-engine rounding rule for aggregated doubles."""
-    return f"floor(({expr}) * 10000 + 0.5) / 10000"
+def oracle(name: str, final: str, *needs: str) -> None:
+    ORACLES[name] = sql(final, *needs)
 
 
-def _coalesce_all(cols: Sequence[str], value: str) -> str:
-    return ", ".join(f"coalesce({c}, {value}) AS {c}" for c in cols)
+def cols(names: Sequence[str], prefix: str = "") -> str:
+    return ", ".join(f"{prefix}{c}" for c in names)
 
 
-ORDER_SUMMARY = """
+# --------------------------------------------------------------------------- summaries
+
+cte("os", """
 SELECT 'P' || CAST(l_partkey % 110 AS VARCHAR) AS productid,
        'S' || CAST(l_suppkey % 4 AS VARCHAR) AS sellerid,
        'M' || CAST(l_suppkey % 2 AS VARCHAR) AS merchantid,
@@ -42,9 +78,9 @@ SELECT 'P' || CAST(l_partkey % 110 AS VARCHAR) AS productid,
        CAST(trunc(l_quantity) AS BIGINT) AS productcount,
        CAST(l_linenumber AS INTEGER) AS eventcount,
        CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE CAST(l_linenumber AS INTEGER) END AS stock
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 
-VIEW_SUMMARY = """
+cte("vs", """
 SELECT 'P' || CAST(k AS VARCHAR) AS productid,
        'S' || CAST(user_id % 4 AS VARCHAR) AS sellerid,
        CASE WHEN event_id % 19 = 0 THEN NULL ELSE 'M' || CAST(user_id % 2 AS VARCHAR) END AS merchantid,
@@ -66,106 +102,273 @@ SELECT 'P' || CAST(k AS VARCHAR) AS productid,
        CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(event_id % 3 AS INTEGER) END AS scoretwo,
        CAST(event_id % 2 AS INTEGER) AS scoreone,
        CAST(user_id % 10 AS INTEGER) AS sellergrade
-FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
 
-VIEW_STAT_AGGS = """count(merchantid) AS numberofviews,
-       avg(scorefive) AS scorefive, avg(scorefour) AS scorefour, avg(scorethree) AS scorethree,
-       avg(scoretwo) AS scoretwo, avg(scoreone) AS scoreone, avg(sellergrade) AS sellergrade"""
+# --------------------------------------------------------------------------- product features
 
+VIEW_STAT_AGGS = ("count(merchantid) AS numberofviews, avg(scorefive) AS scorefive, "
+                  "avg(scorefour) AS scorefour, avg(scorethree) AS scorethree, "
+                  "avg(scoretwo) AS scoretwo, avg(scoreone) AS scoreone, "
+                  "avg(sellergrade) AS sellergrade")
 ORDER_KEEP = ("productid", "year", "month", "week", "day", "attrs", "channel", "disprice",
               "eventcount", "finalprice", "price", "productcount", "sellerid", "stock")
 STAT_KEEP = ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreone", "sellergrade",
              "numberofviews", "brand")
-J1_NUMERIC = ("year", "month", "week", "day", "disprice", "eventcount", "finalprice", "price",
-              "productcount", "stock", "scorefive", "scorefour", "scorethree", "scoretwo",
-              "scoreone", "sellergrade", "numberofviews")
-J1_STRING = ("productid", "attrs", "channel", "sellerid", "brand")
-
+INT_COLS = {"year", "month", "week", "day", "eventcount", "stock", "productcount", "numberofviews"}
+DOUBLE_COLS = {"disprice", "finalprice", "price", "scorefive", "scorefour", "scorethree",
+               "scoretwo", "scoreone", "sellergrade"}
 FEATURE_COLS = ("productid", "sellerid", "year", "month", "week", "day", "disprice", "brand",
                 "finalprice", "price", "scorefive", "scorefour", "scorethree", "scoretwo",
-                "scoreone", "sellergrade", "numberofviews", "brandindexed", "productcount")
+                "scoreone", "sellergrade", "numberofviews", "productcount")
 SCORES = "scorefive * 5 + scorefour * 4 + scorethree * 3 + scoretwo * 2 + scoreone"
 RELATIVE_PRICE = ("CAST(CASE WHEN price > 3000 THEN 3.0 WHEN price > 2000 THEN 2.0 "
                   "WHEN price > 1000 THEN 1.0 ELSE 0 END AS DOUBLE)")
 STOCK_FLAG = "CAST(CASE WHEN stock > 3 THEN 1.0 ELSE 0 END AS DOUBLE)"
-
 PRODUCT_ORDER = ("productid", "year", "month", "week", "day", "brandindexed", "disprice",
                  "finalprice", "numberofviews", "price", "productcount", "relativebrand",
                  "relativeprice", "scores", "sellergrade", "sellerid", "stock")
 MONTHLY_EXTRA = ("fastsellerindexed", "scorefive", "scorefour", "scorethree", "scoretwo", "scoreone")
 
 
-def _rank_dict(source: str, col: str, out: str) -> str:
-    return (f"SELECT {col} AS _lbl, CAST(row_number() OVER (ORDER BY cnt DESC, {col}) - 1 AS DOUBLE) AS {out} "
-            f"FROM (SELECT CAST({col} AS VARCHAR) AS {col}, count(*) AS cnt FROM {source} "
-            f"WHERE {col} IS NOT NULL GROUP BY 1)")
-
-
-CTES: dict[str, str] = {}
-
-
-def cte(name: str, body: str, needs: Sequence[str] = ()) -> None:
-    CTES[name] = body
-    DEPS[name] = tuple(needs)
-
-
-DEPS: dict[str, tuple[str, ...]] = {}
-
-cte("os", ORDER_SUMMARY)
-cte("vs", VIEW_SUMMARY)
-cte("a1", f"SELECT productid, brand, {VIEW_STAT_AGGS} FROM vs GROUP BY productid, brand", ["vs"])
-cte("j1", "SELECT " + ", ".join(f"o.{c}" for c in ORDER_KEEP) + ", "
-    + ", ".join(f"v.{c}" for c in STAT_KEEP)
-    + " FROM os o LEFT JOIN a1 v ON o.productid = v.productid", ["os", "a1"])
-cte("j1_filled", "SELECT " + ", ".join(
-    [f"coalesce({c}, -999) AS {c}" if c in ("year", "month", "week", "day", "eventcount", "stock",
-                                             "productcount", "numberofviews")
-     else f"coalesce({c}, -999.0) AS {c}" if c in J1_NUMERIC
-     else f"coalesce({c}, 'NULL') AS {c}" for c in ORDER_KEEP + STAT_KEEP]) + " FROM j1", ["j1"])
-cte("brand_dict", _rank_dict("j1_filled", "brand", "brandindexed"), ["j1_filled"])
-cte("feats", "SELECT " + ", ".join(f"f.{c}" for c in FEATURE_COLS if c != "brandindexed")
-    + f", d.brandindexed, {SCORES} AS scores, {RELATIVE_PRICE} AS relativeprice, "
-      f"{STOCK_FLAG} AS stock FROM j1_filled f LEFT JOIN brand_dict d ON f.brand = d._lbl",
-    ["j1_filled", "brand_dict"])
-cte("a3", "SELECT relativeprice, brand, count(productid) AS relativebrand FROM feats "
-          "GROUP BY relativeprice, brand", ["feats"])
-cte("x1", "SELECT " + ", ".join(f"f.{c}" if c != "relativebrand" else "c.relativebrand" for c in PRODUCT_ORDER)
-    + " FROM feats f LEFT JOIN a3 c ON f.relativeprice = c.relativeprice AND f.brand = c.brand",
-    ["feats", "a3"])
-
-
-def _closure(names: Sequence[str]) -> list[str]:
-    seen: list[str] = []
-
-    def visit(n: str) -> None:
-        if n in seen:
-            return
-        for d in DEPS[n]:
-            visit(d)
-        seen.append(n)
-
-    for n in names:
-        visit(n)
-    return seen
-
+def fill_expr(c: str, numeric: bool = True, string: bool = True) -> str:
+    if c in INT_COLS and numeric:
+        return f"coalesce({c}, -999) AS {c}"
+    if c in DOUBLE_COLS and numeric:
+        return f"coalesce({c}, -999.0) AS {c}"
+    if c not in INT_COLS and c not in DOUBLE_COLS and string:
+        return f"coalesce({c}, 'NULL') AS {c}"
+    return c
 
-def sql(final: str, *needs: str) -> str:
-    """``WITH <closure of needs> <final>``."""
-    names = _closure(needs)
-    if not names:
-        return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" + final
-
-
-ORACLES: dict[str, str] = {}
 
+def rank_dict(source: str, col: str, out: str) -> str:
+    """Frequency-descending rank, ties by label string (StringIndexer frequencyDesc)."""
+    return (f"SELECT _lbl, CAST(row_number() OVER (ORDER BY cnt DESC, _lbl) - 1 AS DOUBLE) AS {out} "
+            f"FROM (SELECT CAST({col} AS VARCHAR) AS _lbl, count(*) AS cnt FROM {source} "
+            f"WHERE {col} IS NOT NULL GROUP BY 1)")
 
-def oracle(name: str, final: str, *needs: str) -> None:
-    ORACLES[name] = sql(final, *needs)
 
+def product_ctes(sfx: str, fastseller: bool) -> None:
+    keys = "productid, brand, fastseller" if fastseller else "productid, brand"
+    stat_keep = STAT_KEEP + (("fastseller",) if fastseller else ())
+    cte(f"a1{sfx}", f"SELECT {keys}, {VIEW_STAT_AGGS} FROM vs GROUP BY {keys}", ["vs"])
+    cte(f"j1{sfx}", f"SELECT {cols(ORDER_KEEP, 'o.')}, {cols(stat_keep, 'v.')} "
+                    f"FROM os o LEFT JOIN a1{sfx} v ON o.productid = v.productid", ["os", f"a1{sfx}"])
+    cte(f"j1{sfx}_filled", "SELECT " + ", ".join(fill_expr(c) for c in ORDER_KEEP + stat_keep)
+        + f" FROM j1{sfx}", [f"j1{sfx}"])
+    cte(f"brand_dict{sfx}", rank_dict(f"j1{sfx}_filled", "brand", "brandindexed"), [f"j1{sfx}_filled"])
+    extra_sel, extra_join, extra_need = "", "", []
+    if fastseller:
+        cte(f"fast_dict{sfx}", rank_dict(f"j1{sfx}_filled", "fastseller", "fastsellerindexed"),
+            [f"j1{sfx}_filled"])
+        extra_sel = ", e.fastsellerindexed"
+        extra_join = f" LEFT JOIN fast_dict{sfx} e ON f.fastseller = e._lbl"
+        extra_need = [f"fast_dict{sfx}"]
+    cte(f"feats{sfx}", f"SELECT {cols(FEATURE_COLS, 'f.')}, d.brandindexed{extra_sel}, "
+                       f"{SCORES} AS scores, {RELATIVE_PRICE} AS relativeprice, {STOCK_FLAG} AS stock "
+                       f"FROM j1{sfx}_filled f LEFT JOIN brand_dict{sfx} d ON f.brand = d._lbl{extra_join}",
+        [f"j1{sfx}_filled", f"brand_dict{sfx}"] + extra_need)
+    cte(f"a3{sfx}", f"SELECT relativeprice, brand, count(productid) AS relativebrand FROM feats{sfx} "
+                    "GROUP BY relativeprice, brand", [f"feats{sfx}"])
+    cte(f"j2{sfx}", f"SELECT f.*, c.relativebrand FROM feats{sfx} f LEFT JOIN a3{sfx} c "
+                    "ON f.relativeprice = c.relativeprice AND f.brand = c.brand", [f"feats{sfx}", f"a3{sfx}"])
+    contract = PRODUCT_ORDER + (MONTHLY_EXTRA if fastseller else ())
+    cte(f"x1{sfx}", f"SELECT {cols(contract)} FROM j2{sfx}", [f"j2{sfx}"])
+
+
+product_ctes("", fastseller=False)
+product_ctes("m", fastseller=True)
+
+# --------------------------------------------------------------------------- rollups (A4, A5)
+
+WEEKLY_MEANS = ("brandindexed", "disprice", "finalprice", "price", "scores", "relativebrand",
+                "sellergrade", "stock", "relativeprice")
+MONTHLY_MEANS = ("brandindexed", "disprice", "fastsellerindexed", "finalprice", "price",
+                 "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo", "sellergrade",
+                 "stock", "relativeprice")
+WEEKLY_KEYS = "productid, sellerid, year, month, week"
+MONTHLY_KEYS = "productid, sellerid, year, month"
+
+cte("weekly_raw", f"SELECT {WEEKLY_KEYS}, " + ", ".join(f"avg({c}) AS {c}" for c in WEEKLY_MEANS)
+    + ", CAST(sum(numberofviews) AS BIGINT) AS numberofviews, "
+      f"CAST(sum(productcount) AS BIGINT) AS label FROM x1 GROUP BY {WEEKLY_KEYS}", ["x1"])
+cte("weekly", "SELECT * FROM weekly_raw WHERE label < 20", ["weekly_raw"])
+cte("monthly_raw", f"SELECT {MONTHLY_KEYS}, " + ", ".join(f"avg({c}) AS {c}" for c in MONTHLY_MEANS)
+    + ", CAST(sum(numberofviews) AS BIGINT) AS numberofviews, "
+      f"CAST(sum(productcount) AS BIGINT) AS productcount FROM x1m GROUP BY {MONTHLY_KEYS}", ["x1m"])
+
+
+def rounded(source: str, means: Sequence[str], rule=Q, rest: str = "*") -> str:
+    repl = ", ".join(f"{rule(c)} AS {c}" for c in means)
+    return f"SELECT {rest} REPLACE ({repl}) FROM {source}"
+
+
+# --------------------------------------------------------------------------- merchant level
+
+MERCHANT_KEYS = ("merchantid", "productid", "brand", "channel", "fastseller", "sellerid")
+MERCHANT_MEANS = ("year", "month", "week", "day", "disprice", "eventcount", "price", "productcount",
+                  "scorefive", "scorefour", "scorethree", "scoretwo", "scoreone")
+MERCHANT_ORDER = (
+    ("productid", "o.productid"), ("sellerid", "o.sellerid"), ("channel", "o.channel"),
+    ("year", "o.year"), ("month", "o.month"), ("week", "o.week"), ("day", "o.day"),
+    ("attrs", "o.attrs"), ("brand", "v.brand1"), ("disprice", "o.disprice"),
+    ("eventcount", "o.eventcount"), ("fastseller", "v.fastseller1"), ("finalprice", "o.finalprice"),
+    ("numberofviews", "v.numberofviews1"), ("price", "v.price1"), ("productcount", "o.productcount"),
+    ("scorefive", "v.scorefive1"), ("scorefour", "v.scorefour1"), ("scoreone", "v.scoreone1"),
+    ("scorethree", "v.scorethree1"), ("scoretwo", "v.scoretwo1"), ("stock", "o.stock"))
+MERCHANT_ROUND = ("price", "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo")
+
+cte("a2", f"SELECT {cols(MERCHANT_KEYS)}, count(channel) AS numberofviews1, "
+          + ", ".join(f"avg({c}) AS {c}1" for c in MERCHANT_MEANS)
+          + f" FROM vs GROUP BY {cols(MERCHANT_KEYS)}", ["vs"])
+cte("a2s", "SELECT " + ", ".join(f"{k} AS {k}1" for k in MERCHANT_KEYS) + ", "
+    + "numberofviews1, " + ", ".join(f"{c}1" for c in MERCHANT_MEANS) + " FROM a2", ["a2"])
+cte("j3", "SELECT * FROM os o LEFT JOIN a2s v ON o.merchantid = v.merchantid1 AND "
+          "o.productid = v.productid1 AND o.channel = v.channel1 AND o.sellerid = v.sellerid1",
+    ["os", "a2s"])
+cte("x2", "SELECT " + ", ".join(f"{src} AS {dst}" for dst, src in MERCHANT_ORDER)
+    + " FROM os o LEFT JOIN a2s v ON o.merchantid = v.merchantid1 AND o.productid = v.productid1 "
+      "AND o.channel = v.channel1 AND o.sellerid = v.sellerid1", ["os", "a2s"])
+
+# Stock dataset (X5 input): blank replacement, fills, 7 indexes.
+X2_INT = {"year", "month", "week", "day", "eventcount", "stock", "productcount", "numberofviews"}
+X2_DOUBLE = {"disprice", "finalprice", "price", "scorefive", "scorefour", "scoreone", "scorethree",
+             "scoretwo"}
+X2_STRING = ("productid", "sellerid", "channel", "attrs", "brand", "fastseller")
+X2_COLS = tuple(dst for dst, _ in MERCHANT_ORDER)
+
+
+def _clean_expr(c: str) -> str:
+    if c in ("channel", "attrs", "brand", "fastseller"):
+        return f"coalesce(CASE WHEN {c} = '' THEN 'NULL' ELSE {c} END, 'NULL') AS {c}"
+    if c in ("productid", "sellerid"):
+        return f"coalesce(CASE WHEN {c} = '' THEN '-999' ELSE {c} END, 'NULL') AS {c}"
+    if c in X2_INT:
+        return f"coalesce({c}, -999) AS {c}"
+    return f"coalesce({c}, -999.0) AS {c}"
+
+
+STOCK_INDEXED = (("channel", "channelindexed"), ("year", "yearindexed"), ("month", "monthindexed"),
+                 ("week", "weekindexed"), ("brand", "brandindexed"), ("fastseller", "fastsellerindexed"),
+                 ("stock", "stockindexed"))
+cte("x2_clean", "SELECT " + ", ".join(_clean_expr(c) for c in X2_COLS) + " FROM x2", ["x2"])
+for _c, _o in STOCK_INDEXED:
+    cte(f"dict_{_c}", rank_dict("x2_clean", _c, _o), ["x2_clean"])
+cte("x2_indexed", "SELECT x.*, " + ", ".join(f"d_{c}.{o}" for c, o in STOCK_INDEXED) + " FROM x2_clean x "
+    + " ".join(f"LEFT JOIN dict_{c} d_{c} ON CAST(x.{c} AS VARCHAR) = d_{c}._lbl" for c, _ in STOCK_INDEXED),
+    ["x2_clean"] + [f"dict_{c}" for c, _ in STOCK_INDEXED])
+
+STOCK_FEATURES = ("disprice", "eventcount", "finalprice", "numberofviews", "price", "productcount",
+                  "scorefive", "scorefour", "scorethree", "scoretwo", "scoreone", "channelindexed",
+                  "yearindexed", "fastsellerindexed")
+WEEKLY_FEATURES = ("brandindexed", "disprice", "finalprice", "numberofviews", "price",
+                   "relativebrand", "relativeprice", "scores", "sellergrade", "stock")
+MONTHLY_FEATURES = ("brandindexed", "disprice", "fastsellerindexed", "finalprice", "numberofviews",
+                    "price", "scorefive", "scorefour", "scorethree", "scoretwo", "scoreone",
+                    "sellergrade", "stock", "relativeprice")
+
+
+def feature_columns(exprs: Sequence[str], prefix: str = "f") -> str:
+    return ", ".join(f"CAST({e} AS DOUBLE) AS {prefix}{i:02d}" for i, e in enumerate(exprs))
+
+
+# --------------------------------------------------------------------------- splits and learners
+
+def md5_bucket(keys: Sequence[str], buckets: int = 100, seed: int | None = None) -> str:
+    parts = [f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]
+    if seed is not None:
+        parts = [f"'{seed}'"] + parts
+    key = " || '|' || ".join(parts)
+    return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS UBIGINT) % {buckets})"
+
+
+X1_KEY = ("productid", "year", "month", "week", "day")
+cte("x1_split", f"SELECT *, CAST(productcount AS DOUBLE) AS label, {md5_bucket(X1_KEY)} AS bucket FROM x1",
+    ["x1"])
+cte("x1_split11", f"SELECT *, {md5_bucket(X1_KEY, seed=11)} AS bucket FROM x1", ["x1"])
+cte("x1_train", "SELECT * FROM x1_split WHERE bucket < 70", ["x1_split"])
+cte("x1_test", "SELECT * FROM x1_split WHERE bucket >= 70", ["x1_split"])
+cte("tree_means", "SELECT relativeprice, avg(label) AS prediction FROM x1_train GROUP BY relativeprice",
+    ["x1_train"])
+cte("tree_pred", "SELECT t.productid, t.year, t.month, t.week, t.day, t.relativeprice, t.label, "
+                 "m.prediction FROM x1_test t JOIN tree_means m ON t.relativeprice = m.relativeprice",
+    ["x1_test", "tree_means"])
+
+# --------------------------------------------------------------------------- registered oracles
 
 oracle("s1_order_summary", "SELECT * FROM os", "os")
 oracle("s1_view_summary", "SELECT * FROM vs", "vs")
+oracle("s2_projected_view_scan",
+       "SELECT merchantid, productid, year, month, week, day, brand, channel, disprice, eventcount, "
+       "fastseller, price, productcount, scorefive, scorefour, scoreone, scoretwo, scorethree, sellerid "
+       "FROM vs", "vs")
 oracle("a1_view_stats", "SELECT * FROM a1", "a1")
 oracle("j1_join_view_stats", "SELECT * FROM j1", "j1")
+oracle("p8_fill_numeric", "SELECT " + ", ".join(fill_expr(c, string=False) for c in ORDER_KEEP + STAT_KEEP)
+       + " FROM j1", "j1")
+oracle("p9_fill_string", "SELECT " + ", ".join(fill_expr(c, numeric=False) for c in ORDER_KEEP + STAT_KEEP)
+       + " FROM j1", "j1")
+oracle("f1_index_category", "SELECT f.*, d.brandindexed FROM j1_filled f LEFT JOIN brand_dict d "
+       "ON f.brand = d._lbl", "j1_filled", "brand_dict")
+oracle("p4_scores", f"SELECT *, {SCORES} AS scores FROM j1_filled", "j1_filled")
+oracle("p5_relative_price", f"SELECT *, {RELATIVE_PRICE} AS relativeprice FROM j1_filled", "j1_filled")
+oracle("p6_stock_flag", f"SELECT * REPLACE ({STOCK_FLAG} AS stock) FROM j1_filled", "j1_filled")
+oracle("a3_brand_price_counts", "SELECT * FROM a3", "a3")
+oracle("j2_relative_brand", "SELECT * FROM j2", "j2")
 oracle("x1_product_features", "SELECT * FROM x1", "x1")
+oracle("x1_product_features_monthly", "SELECT * FROM x1m", "x1m")
+oracle("a8_row_count", "SELECT count(*) AS n FROM x1", "x1")
+oracle("l1_preview", "SELECT * FROM x1 ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in PRODUCT_ORDER)
+       + " LIMIT 20", "x1")
+oracle("s4_upsert_features",
+       "SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY productid, year, month, week, day "
+       "ORDER BY " + ", ".join(f"{c} DESC NULLS LAST" for c in PRODUCT_ORDER[5:]) + ") AS _rn FROM x1) "
+       "WHERE _rn = 1", "x1")
+oracle("a5_weekly_rollup", rounded("weekly_raw", WEEKLY_MEANS), "weekly_raw")
+oracle("p3_having", rounded("weekly", WEEKLY_MEANS), "weekly")
+oracle("p12_having_count", "SELECT count(*) AS n FROM weekly_raw WHERE label < 10", "weekly_raw")
+oracle("p7_cast_label", f"SELECT {WEEKLY_KEYS}, CAST(label AS DOUBLE) AS label FROM weekly", "weekly")
+oracle("p11_log_label", f"SELECT {WEEKLY_KEYS}, label, {Q('ln(label)')} AS loglabel, "
+       f"{Q('exp(ln(label))')} AS expprediction FROM weekly", "weekly")
+oracle("a4_monthly_rollup", rounded("monthly_raw", MONTHLY_MEANS), "monthly_raw")
+oracle("a2_view_stats_by_merchant", rounded("a2", [f"{c}1" for c in MERCHANT_MEANS]), "a2")
+oracle("p2_suffix_columns", rounded("a2s", [f"{c}1" for c in MERCHANT_MEANS]), "a2s")
+oracle("a7_grouped_means",
+       f"SELECT {cols(MERCHANT_KEYS)}, "
+       + ", ".join(f'{Q(f"avg({c})")} AS "avg({c})"' for c in MERCHANT_MEANS)
+       + f" FROM vs GROUP BY {cols(MERCHANT_KEYS)}", "vs")
+oracle("j3_join_view_stats_by_merchant", rounded("j3", [f"{c}1" for c in MERCHANT_MEANS]), "j3")
+oracle("x2_merchant_features", rounded("x2", MERCHANT_ROUND), "x2")
+oracle("j4_join_null_safe",
+       "SELECT o.*, v.brand, v.channel AS channel1, v.fastseller, v.price AS price1, "
+       "v.disprice AS disprice1, v.eventcount AS eventcount1, v.productcount AS productcount1, "
+       "v.scorefive, v.scorefour, v.scorethree, v.scoretwo, v.scoreone, v.sellerid AS sellerid1, "
+       "v.sellergrade FROM os o LEFT JOIN vs v ON o.merchantid IS NOT DISTINCT FROM v.merchantid "
+       "AND o.productid IS NOT DISTINCT FROM v.productid AND o.year IS NOT DISTINCT FROM v.year "
+       "AND o.month IS NOT DISTINCT FROM v.month AND o.week IS NOT DISTINCT FROM v.week "
+       "AND o.day IS NOT DISTINCT FROM v.day", "os", "vs")
+oracle("j5_pair_join_counts",
+       "SELECT o.merchantid, o.productid, count(*) AS pairs FROM os o JOIN vs v "
+       "ON o.merchantid = v.merchantid AND o.productid = v.productid GROUP BY o.merchantid, o.productid",
+       "os", "vs")
+oracle("p10_replace_blank",
+       "SELECT * REPLACE (" + ", ".join(
+           f"CASE WHEN {c} = '' THEN '{r}' ELSE {c} END AS {c}"
+           for c, r in (("channel", "NULL"), ("attrs", "NULL"), ("brand", "NULL"), ("fastseller", "NULL"),
+                        ("productid", "-999"), ("sellerid", "-999")))
+       + ", " + ", ".join(f"{Q(c)} AS {c}" for c in MERCHANT_ROUND) + ") FROM x2", "x2")
+oracle("f2_index_categories", rounded("x2_indexed", MERCHANT_ROUND), "x2_indexed")
+oracle("x5_stock_dataset", "SELECT CAST(stock AS DOUBLE) AS label, "
+       + feature_columns([Q(c) if c in MERCHANT_ROUND else c for c in STOCK_FEATURES]) + " FROM x2_indexed",
+       "x2_indexed")
+oracle("f3_assemble_weekly", "SELECT CAST(label AS DOUBLE) AS label, "
+       + feature_columns([Q(c) if c in WEEKLY_MEANS else c for c in WEEKLY_FEATURES]) + " FROM weekly",
+       "weekly")
+oracle("x4_monthly_dataset", "SELECT CAST(productcount AS DOUBLE) AS label, "
+       + feature_columns([Q(c) if c in MONTHLY_MEANS else c for c in MONTHLY_FEATURES]) + " FROM monthly_raw",
+       "monthly_raw")
+oracle("f5_split", "SELECT productid, year, month, week, day, "
+       "CASE WHEN bucket < 70 THEN 'train' ELSE 'test' END AS split, count(*) AS n "
+       "FROM x1_split GROUP BY ALL", "x1_split")
+oracle("f6_split_40_60", "SELECT productid, year, month, week, day, "
+       "CASE WHEN bucket < 40 THEN 'train' ELSE 'test' END AS split, count(*) AS n "
+       "FROM x1_split11 GROUP BY ALL", "x1_split11")
