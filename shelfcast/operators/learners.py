@@ -41,7 +41,13 @@ def gbt_regressor(label: str = "label", features: str = "features", **params) ->
 
 
 def linear_regressor(label: str = "label", features: str = "features", **params) -> LinearRegression:
-    """M4: elastic-net linear regression (maxIter 10, reg 0.3, mix 0.8)."""
+    """M4: elastic-net linear regression (maxIter 10, reg 0.3, mix 0.8).
+
+    The solver is pinned to L-BFGS/OWLQN, the path elastic-net always took
+    in the original jobs; "auto" would pick the normal-equation solver,
+    which standardises with population instead of sample deviations.
+    """
+    params.setdefault("solver", "l-bfgs")
     params.setdefault("maxIter", LINEAR_MAX_ITER)
     params.setdefault("regParam", LINEAR_REG)
     params.setdefault("elasticNetParam", LINEAR_ELASTIC_NET)

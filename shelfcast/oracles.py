@@ -372,3 +372,74 @@ oracle("f5_split", "SELECT productid, year, month, week, day, "
 oracle("f6_split_40_60", "SELECT productid, year, month, week, day, "
        "CASE WHEN bucket < 40 THEN 'train' ELSE 'test' END AS split, count(*) AS n "
        "FROM x1_split11 GROUP BY ALL", "x1_split11")
+
+# --------------------------------------------------------------------------- learners (degenerate cases)
+
+ONE_FEATURE_PRED = ("SELECT productid, year, month, week, day, relativeprice, label, "
+                    f"{Q('prediction')} AS prediction FROM tree_pred")
+oracle("m1_tree_regressor", ONE_FEATURE_PRED, "tree_pred")
+oracle("m2_forest_regressor", ONE_FEATURE_PRED, "tree_pred")
+oracle("m3_gbt_regressor", ONE_FEATURE_PRED, "tree_pred")
+oracle("m10_regression_metrics",
+       f"SELECT count(*) AS n, {Q('sqrt(avg((prediction - label) * (prediction - label)))')} AS rmse, "
+       f"{Q('avg((prediction - label) * (prediction - label))')} AS mse, "
+       f"{Q('avg(abs(prediction - label))')} AS mae, "
+       f"{Q('1.0 - avg((prediction - label) * (prediction - label)) / nullif(var_pop(label), 0.0)')} AS r2 "
+       "FROM tree_pred", "tree_pred")
+oracle("m12_nrmse",
+       f"SELECT {Q('sqrt(avg((prediction - label) * (prediction - label))) / nullif(max(prediction) - min(prediction), 0.0)')}"
+       " AS nrmse FROM tree_pred", "tree_pred")
+oracle("a6_prediction_range",
+       f"SELECT {Q('max(prediction)')} AS max_prediction, {Q('min(prediction)')} AS min_prediction FROM tree_pred",
+       "tree_pred")
+
+cte("lin_moments", "SELECT count(*) AS n, avg(label) AS my, avg(relativeprice) AS mx, "
+                   "stddev_samp(label) AS sy, stddev_samp(relativeprice) AS sx, corr(relativeprice, label) AS r "
+                   "FROM x1_train", ["x1_train"])
+# Elastic net on one standardised feature (sample deviations, as the L-BFGS path):
+# c = (n-1)/n, l = reg/sd(y), w = soft(r·c, l·mix) / (c + l·(1-mix)), slope = w·sd(y)/sd(x).
+cte("lin_fit", "SELECT *, sign(r * c) * greatest(abs(r * c) - l * 0.8, 0.0) / (c + l * (1 - 0.8)) * sy / sx AS slope "
+               "FROM (SELECT *, (n - 1.0) / n AS c, 0.3 / sy AS l FROM lin_moments)", ["lin_moments"])
+oracle("m4_linear_regression", f"SELECT {Q('slope')} AS coefficient, {Q('my - slope * mx')} AS intercept FROM lin_fit",
+       "lin_fit")
+
+# Cross-validation with a fold column: each fold is predicted by the means of the other three.
+cte("cv_base", f"SELECT CAST(productcount AS DOUBLE) AS label, relativeprice, "
+               f"CAST({md5_bucket(X1_KEY, 4)} AS INTEGER) AS fold FROM x1", ["x1"])
+cte("cv_fold", "SELECT fold, relativeprice, sum(label) AS s, count(*) AS c FROM cv_base GROUP BY fold, relativeprice",
+    ["cv_base"])
+cte("cv_total", "SELECT relativeprice, sum(label) AS s, count(*) AS c FROM cv_base GROUP BY relativeprice",
+    ["cv_base"])
+cte("cv_rmse", "SELECT b.fold, sqrt(avg(((t.s - f.s) / (t.c - f.c) - b.label) * ((t.s - f.s) / (t.c - f.c) - b.label))) "
+               "AS rmse FROM cv_base b JOIN cv_fold f ON b.fold = f.fold AND b.relativeprice = f.relativeprice "
+               "JOIN cv_total t ON b.relativeprice = t.relativeprice GROUP BY b.fold",
+    ["cv_base", "cv_fold", "cv_total"])
+oracle("m8_cross_validate", " UNION ALL ".join(
+    f"SELECT {i} AS grid_point, 'maxDepth' AS param, CAST({v} AS DOUBLE) AS value, {Q('avg(rmse)')} AS avg_metric "
+    "FROM cv_rmse" for i, v in enumerate((4, 8, 10))), "cv_rmse")
+
+# Classification tree on the one categorical feature channelindexed: predicts the train mode
+# of stockindexed per channel (ties to the lowest class index).
+STOCK_CLASS_KEYS = ("productid", "sellerid", "channel", "year", "month", "week", "day")
+cte("cls_split", f"SELECT *, {md5_bucket(STOCK_CLASS_KEYS)} AS bucket FROM x2_indexed", ["x2_indexed"])
+cte("cls_mode", "SELECT channelindexed, stockindexed AS prediction FROM ("
+                "SELECT channelindexed, stockindexed, row_number() OVER (PARTITION BY channelindexed "
+                "ORDER BY count(*) DESC, stockindexed) AS rn FROM cls_split WHERE bucket < 70 "
+                "GROUP BY channelindexed, stockindexed) WHERE rn = 1", ["cls_split"])
+cte("cls_pred", f"SELECT {cols(STOCK_CLASS_KEYS, 't.')}, t.channelindexed, t.stockindexed AS label, m.prediction "
+                "FROM cls_split t JOIN cls_mode m ON t.channelindexed = m.channelindexed WHERE t.bucket >= 70",
+    ["cls_split", "cls_mode"])
+oracle("m5_tree_classifier", "SELECT * FROM cls_pred", "cls_pred")
+oracle("m13_classification_metrics",
+       f"SELECT count(*) AS n, {Q('avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END)')} AS accuracy, "
+       f"{Q('1.0 - avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END)')} AS test_error FROM cls_pred",
+       "cls_pred")
+
+# Vector indexer: a feature is categorical when it has at most 40 distinct values.
+WEEKLY_FEATURE_SQL = ("brandindexed", "disprice", "finalprice", "CAST(numberofviews AS DOUBLE)", "price",
+                      "relativebrand", "relativeprice", "scores", "sellergrade", "stock")
+oracle("f4_index_vector", " UNION ALL ".join(
+    f"SELECT {i} AS feature, count(DISTINCT {e}) <= 40 AS is_categorical, "
+    f"CAST(CASE WHEN count(DISTINCT {e}) <= 40 THEN count(DISTINCT {e}) ELSE 0 END AS INTEGER) AS num_categories "
+    "FROM weekly" for i, e in enumerate(WEEKLY_FEATURE_SQL)), "weekly")
+oracle("s3_read_libsvm", ORACLES["f3_assemble_weekly"])

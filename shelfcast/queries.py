@@ -30,6 +30,18 @@ from shelfcast.plans.demand import MONTHLY_FEATURES, WEEKLY_FEATURES, monthly_da
 from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
                                                merchant_stats)
 from shelfcast.operators.joins import join_view_stats_by_merchant
+from shelfcast.functions.columns import key_bucket, named_prediction
+from shelfcast.operators.aggregates import prediction_range
+from shelfcast.operators.learners import (cross_validate, fit, forest_regressor, gbt_regressor,
+                                          last_model, linear_regressor, linear_summary, make_pipeline,
+                                          param_grid, tree_classifier, tree_regressor, tree_report)
+from shelfcast.operators.metrics import classification_metrics, nrmse, regression_metrics
+from shelfcast.operators.vectors import assemble, fit_vector_indexer, vector_category_report
+from shelfcast.plans.demand import MONTHLY_KEYS, WEEKLY_MAX_CATEGORIES, monthly_model, weekly_model
+from shelfcast.plans.libsvm import libsvm_model
+from shelfcast.plans.stock import stock_model
+from shelfcast.session import materialize
+from shelfcast.sources.tables import read_libsvm, write_libsvm
 from shelfcast.plans.product_features import joined_view_features, product_features
 from shelfcast.plans.stock import STOCK_FEATURES, indexed_stock_table, stock_dataset
 from shelfcast.session import shared_dir
@@ -47,6 +59,7 @@ MONTHLY_MEANS = ("brandindexed", "disprice", "fastsellerindexed", "finalprice",
 MERCHANT_SUFFIXED_MEANS = tuple(f"{c}1" for c in MERCHANT_VIEW_MEANS)
 MERCHANT_ROUND = ("price", "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo")
 X1_KEY = ("productid", "year", "month", "week", "day")
+STOCK_CLASS_KEYS = ("productid", "sellerid", "channel", "year", "month", "week", "day")
 
 
 def query(name: str):
@@ -311,3 +324,175 @@ def f5_split(spark, d):
 def f6_split_40_60(spark, d):
     return (with_split(_x1(spark, d), X1_KEY, 0.4, seed=11)
             .groupBy(*X1_KEY, "split").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- learners on one feature (exact oracles)
+#
+# With the single feature ``relativeprice`` (4 distinct values) a regression
+# tree separates every value, so tree, forest without bootstrap and a
+# one-iteration GBT all predict the train mean of the label per value —
+# a closed form SQL can check exactly.
+
+ONE_FEATURE_SEED = 7
+
+
+def _one_feature(spark, d):
+    x1 = _x1(spark, d).withColumn("label", F.col("productcount").cast("double"))
+    return with_split(assemble(x1, ["relativeprice"], "features"), X1_KEY, 0.7)
+
+
+def _fit_one_feature(spark, d, estimator):
+    data = _one_feature(spark, d)
+    model = fit(data.where(F.col("split") == "train"), [estimator])
+    pred = model.transform(data.where(F.col("split") == "test"))
+    return pred.select(*X1_KEY, "relativeprice", "label", quantize("prediction").alias("prediction"))
+
+
+@query("m1_tree_regressor")
+def m1_tree_regressor(spark, d):
+    return _fit_one_feature(spark, d, tree_regressor("label", "features", seed=ONE_FEATURE_SEED))
+
+
+@query("m2_forest_regressor")
+def m2_forest_regressor(spark, d):
+    return _fit_one_feature(spark, d, forest_regressor("label", "features", numTrees=20, bootstrap=False,
+                                                       seed=ONE_FEATURE_SEED))
+
+
+@query("m3_gbt_regressor")
+def m3_gbt_regressor(spark, d):
+    return _fit_one_feature(spark, d, gbt_regressor("label", "features", maxIter=1, seed=ONE_FEATURE_SEED))
+
+
+def _tree_predictions(spark, d):
+    data = _one_feature(spark, d)
+    model = fit(data.where(F.col("split") == "train"), [tree_regressor("label", "features", seed=ONE_FEATURE_SEED)])
+    return model.transform(data.where(F.col("split") == "test"))
+
+
+@query("m10_regression_metrics")
+def m10_regression_metrics(spark, d):
+    m = regression_metrics(_tree_predictions(spark, d), "label")
+    return quantize_columns(m, ("rmse", "mse", "mae", "r2"))
+
+
+@query("m12_nrmse")
+def m12_nrmse(spark, d):
+    return quantize_columns(nrmse(_tree_predictions(spark, d), "label"), ("nrmse",))
+
+
+@query("a6_prediction_range")
+def a6_prediction_range(spark, d):
+    return quantize_columns(prediction_range(_tree_predictions(spark, d)), ("max_prediction", "min_prediction"))
+
+
+@query("m4_linear_regression")
+def m4_linear_regression(spark, d):
+    data = _one_feature(spark, d)
+    model = fit(data.where(F.col("split") == "train"), [linear_regressor("label", "features")])
+    lr = last_model(model)
+    coef = spark.createDataFrame([(float(lr.coefficients[0]), float(lr.intercept))],
+                                 "coefficient double, intercept double")
+    return quantize_columns(coef, ("coefficient", "intercept"))
+
+
+@query("m8_cross_validate")
+def m8_cross_validate(spark, d):
+    x1 = _x1(spark, d).withColumn("label", F.col("productcount").cast("double"))
+    data = assemble(x1, ["relativeprice"], "features").withColumn("fold", key_bucket(X1_KEY, 4).cast("int"))
+    tree = tree_regressor("label", "features", seed=ONE_FEATURE_SEED)
+    _, metrics = cross_validate(materialize(data.select("label", "features", "fold")), make_pipeline([tree]),
+                                param_grid(tree, {"maxDepth": [4, 8, 10]}), "label", folds=4, fold_col="fold")
+    return quantize_columns(metrics, ("avg_metric",))
+
+
+def _stock_classes(spark, d):
+    indexed = indexed_stock_table(_x2(spark, d))
+    data = assemble(indexed, ["channelindexed"], "features").withColumn("label", F.col("stockindexed"))
+    return with_split(data, STOCK_CLASS_KEYS, 0.7)
+
+
+def _classifier_predictions(spark, d):
+    data = _stock_classes(spark, d)
+    model = fit(data.where(F.col("split") == "train"), [tree_classifier("label", "features", seed=ONE_FEATURE_SEED)])
+    return model.transform(data.where(F.col("split") == "test"))
+
+
+@query("m5_tree_classifier")
+def m5_tree_classifier(spark, d):
+    return _classifier_predictions(spark, d).select(*STOCK_CLASS_KEYS, "channelindexed", "label", "prediction")
+
+
+@query("m13_classification_metrics")
+def m13_classification_metrics(spark, d):
+    return quantize_columns(classification_metrics(_classifier_predictions(spark, d), "label"),
+                            ("accuracy", "test_error"))
+
+
+@query("f4_index_vector")
+def f4_index_vector(spark, d):
+    data = weekly_dataset(_x1(spark, d))
+    model = fit_vector_indexer(data, "features", "indexedfeatures", WEEKLY_MAX_CATEGORIES)
+    return spark.createDataFrame(vector_category_report(model),
+                                 "feature int, is_categorical boolean, num_categories int")
+
+
+@query("s3_read_libsvm")
+def s3_read_libsvm(spark, d):
+    """Weekly dataset → LIBSVM text in the shared folder → read back with the LIBSVM source."""
+    import uuid
+    path = f"{shared_dir(spark).rstrip('/')}/weekly_libsvm_{uuid.uuid4().hex[:8]}"
+    write_libsvm(weekly_dataset(_x1(spark, d)), path)
+    back = read_libsvm(spark, path, num_features=len(WEEKLY_FEATURES))
+    return _rounded_vector(back, WEEKLY_FEATURES, WEEKLY_MEANS)
+
+
+# ---------------------------------------------------------------- full jobs and model reports (rows-only)
+
+@query("x3_weekly_model")
+def x3_weekly_model(spark, d):
+    return weekly_model(_x1(spark, d)).metrics
+
+
+@query("x4_monthly_model")
+def x4_monthly_model(spark, d):
+    return monthly_model(_x1_monthly(spark, d)).metrics
+
+
+@query("x5_stock_model")
+def x5_stock_model(spark, d):
+    return stock_model(_x2(spark, d)).metrics
+
+
+@query("x6_libsvm_model")
+def x6_libsvm_model(spark, d):
+    import uuid
+    path = f"{shared_dir(spark).rstrip('/')}/monthly_libsvm_{uuid.uuid4().hex[:8]}"
+    write_libsvm(monthly_dataset(_x1_monthly(spark, d)), path)
+    return libsvm_model(spark, path, num_features=len(MONTHLY_FEATURES)).metrics
+
+
+@query("m14_tree_report")
+def m14_tree_report(spark, d):
+    run = monthly_model(_x1_monthly(spark, d))
+    return spark.createDataFrame(tree_report(run.model), "tree_id int, depth int, num_nodes int, weight double")
+
+
+@query("m9_score")
+def m9_score(spark, d):
+    run = monthly_model(_x1_monthly(spark, d))
+    return run.predictions.select(*MONTHLY_KEYS, "label", "prediction")
+
+
+@query("p13_named_prediction")
+def p13_named_prediction(spark, d):
+    return named_prediction(_tree_predictions(spark, d), "pdecisiontree")
+
+
+@query("m4_linear_summary")
+def m4_linear_summary(spark, d):
+    data = weekly_dataset(_x1(spark, d))
+    s = linear_summary(fit(data, [linear_regressor("label", "features")]))
+    return spark.createDataFrame([(int(s["iterations"]), float(s["rmse"]), float(s["r2"]),
+                                   [float(v) for v in s["objective_history"]])],
+                                 "iterations int, rmse double, r2 double, objective_history array<double>")
