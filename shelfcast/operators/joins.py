@@ -75,7 +75,8 @@ def one_brand_per_product(stats: DataFrame) -> DataFrame:
     """
     payload = [c for c in stats.columns if c != "productid"]
     best = stats.groupBy("productid").agg(
-        F.max(F.struct(F.col("numberofviews"), F.coalesce(F.col("brand"), F.lit("")).alias("_b"),
+        F.max(F.struct(F.col("numberofviews").alias("_views"),
+                       F.coalesce(F.col("brand"), F.lit("")).alias("_brand"),
                        *[F.col(c) for c in payload])).alias("_best"))
     return best.select("productid", *[F.col(f"_best.{c}").alias(c) for c in payload])
 
