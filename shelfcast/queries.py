@@ -337,8 +337,10 @@ ONE_FEATURE_SEED = 7
 
 
 def _one_feature(spark, d):
+    """Model input, written once: every fit reads it several times (metadata, split search, training)."""
     x1 = _x1(spark, d).withColumn("label", F.col("productcount").cast("double"))
-    return with_split(assemble(x1, ["relativeprice"], "features"), X1_KEY, 0.7)
+    data = with_split(assemble(x1, ["relativeprice"], "features"), X1_KEY, 0.7)
+    return materialize(data.select(*X1_KEY, "relativeprice", "label", "features", "split"), "one-feature")
 
 
 def _fit_one_feature(spark, d, estimator):
@@ -409,7 +411,8 @@ def m8_cross_validate(spark, d):
 def _stock_classes(spark, d):
     indexed = indexed_stock_table(_x2(spark, d))
     data = assemble(indexed, ["channelindexed"], "features").withColumn("label", F.col("stockindexed"))
-    return with_split(data, STOCK_CLASS_KEYS, 0.7)
+    data = with_split(data, STOCK_CLASS_KEYS, 0.7)
+    return materialize(data.select(*STOCK_CLASS_KEYS, "channelindexed", "label", "features", "split"), "classes")
 
 
 def _classifier_predictions(spark, d):

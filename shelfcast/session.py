@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # No broadcast from plan *estimates*: a join side is broadcast only when
+    # AQE has measured its materialised size (or a hint marks a side whose
+    # size is bounded by construction).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -81,12 +86,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage (reliable checkpoint).
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a parquet table in the shared folder.
 
     Used before iterative work (cross-validation, repeated fits) and
     before a frame is consumed by several independent branches, so a
-    lost executor re-reads checkpoint files instead of re-running joins.
+    lost executor re-reads files instead of re-running joins.  Parquet
+    (rather than a row checkpoint) lets each consumer read only the
+    columns it needs, with its filters pushed into the scan.  ML column
+    metadata (nominal attributes, vector sizes) is kept in the parquet
+    schema.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
