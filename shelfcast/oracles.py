@@ -338,14 +338,18 @@ oracle("a7_grouped_means",
        + f" FROM vs GROUP BY {cols(MERCHANT_KEYS)}", "vs")
 oracle("j3_join_view_stats_by_merchant", rounded("j3", [f"{c}1" for c in MERCHANT_MEANS]), "j3")
 oracle("x2_merchant_features", rounded("x2", MERCHANT_ROUND), "x2")
+cte("a1_day", "SELECT merchantid, productid, year, month, week, day, count(channel) AS numberofviews, "
+              "avg(scorefive) AS scorefive, avg(scorefour) AS scorefour, avg(scorethree) AS scorethree, "
+              "avg(scoretwo) AS scoretwo, avg(scoreone) AS scoreone, avg(sellergrade) AS sellergrade1 "
+              "FROM vs GROUP BY merchantid, productid, year, month, week, day", ["vs"])
 oracle("j4_join_null_safe",
-       "SELECT o.*, v.brand, v.channel AS channel1, v.fastseller, v.price AS price1, "
-       "v.disprice AS disprice1, v.eventcount AS eventcount1, v.productcount AS productcount1, "
-       "v.scorefive, v.scorefour, v.scorethree, v.scoretwo, v.scoreone, v.sellerid AS sellerid1, "
-       "v.sellergrade FROM os o LEFT JOIN vs v ON o.merchantid IS NOT DISTINCT FROM v.merchantid "
+       "SELECT o.*, v.numberofviews, " + ", ".join(
+           f"{Q('v.' + c)} AS {c}" for c in ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreone",
+                                             "sellergrade1"))
+       + " FROM os o LEFT JOIN a1_day v ON o.merchantid IS NOT DISTINCT FROM v.merchantid "
        "AND o.productid IS NOT DISTINCT FROM v.productid AND o.year IS NOT DISTINCT FROM v.year "
        "AND o.month IS NOT DISTINCT FROM v.month AND o.week IS NOT DISTINCT FROM v.week "
-       "AND o.day IS NOT DISTINCT FROM v.day", "os", "vs")
+       "AND o.day IS NOT DISTINCT FROM v.day", "os", "a1_day")
 oracle("j5_pair_join_counts",
        "SELECT o.merchantid, o.productid, count(*) AS pairs FROM os o JOIN vs v "
        "ON o.merchantid = v.merchantid AND o.productid = v.productid GROUP BY o.merchantid, o.productid",

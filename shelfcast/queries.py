@@ -59,6 +59,7 @@ MONTHLY_MEANS = ("brandindexed", "disprice", "fastsellerindexed", "finalprice",
 MERCHANT_SUFFIXED_MEANS = tuple(f"{c}1" for c in MERCHANT_VIEW_MEANS)
 MERCHANT_ROUND = ("price", "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo")
 X1_KEY = ("productid", "year", "month", "week", "day")
+NULL_SAFE_MEANS = ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreone", "sellergrade1")
 STOCK_CLASS_KEYS = ("productid", "sellerid", "channel", "year", "month", "week", "day")
 
 
@@ -271,10 +272,15 @@ def x2_merchant_features(spark, d):
 
 @query("j4_join_null_safe")
 def j4_join_null_safe(spark, d):
+    """Orders ⟕ view statistics per (merchant, product, day), null keys matching null keys.
+
+    The right side is grouped by the six join keys (a null merchant forms its
+    own group), so each order row meets at most one stats row: a null-safe
+    lookup instead of every (order, view) pair of a key.
+    """
     keys = ("merchantid", "productid", "year", "month", "week", "day")
-    views = suffix_columns(_views(spark, d),
-                           ("channel", "price", "disprice", "eventcount", "productcount", "sellerid"))
-    return join_null_safe(_orders(spark, d), views, keys, "left")
+    stats = view_stats(_views(spark, d), keys, count_col="channel").withColumnRenamed("sellergrade", "sellergrade1")
+    return quantize_columns(join_null_safe(_orders(spark, d), stats, keys, "left"), NULL_SAFE_MEANS)
 
 
 @query("j5_pair_join_counts")
