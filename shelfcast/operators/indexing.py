@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.ranking import global_rank
-from shelfcast.session import materialize
+from shelfcast.session import broadcast_limit, materialize
 
 
 def fit_dictionary(df: DataFrame, columns: Mapping[str, str] | list[str]) -> tuple[DataFrame, dict[str, int]]:
@@ -53,15 +53,21 @@ def fit_dictionary(df: DataFrame, columns: Mapping[str, str] | list[str]) -> tup
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Mapping[str, str],
-                     n_labels: Mapping[str, int] | None = None) -> DataFrame:
-    """Transform: attach ``columns[c]`` for each input column (null label → null index)."""
+                     n_labels: Mapping[str, int] | None = None, nominal: bool = False) -> DataFrame:
+    """Transform: attach ``columns[c]`` for each input column (null label → null index).
+
+    ``n_labels`` (from the fit) sizes each lookup: small dictionaries are
+    broadcast so the data side is never shuffled by a low-cardinality key.
+    """
     out = df
     for c, target in columns.items():
         key = f"_lbl_{target}"
         lookup = (dictionary.where(F.col("column") == c)
                             .select(F.col("label").alias(key), F.col("index").alias(target)))
+        if n_labels is not None and n_labels.get(c, 0) <= broadcast_limit(df.sparkSession):
+            lookup = F.broadcast(lookup)      # exact size known from the fit
         out = out.withColumn(key, F.col(c).cast("string")).join(lookup, key, "left").drop(key)
-        if n_labels is not None:
+        if nominal and n_labels is not None:
             meta = {"ml_attr": {"type": "nominal", "num_vals": int(n_labels.get(c, 0)), "name": target}}
             out = out.withColumn(target, F.col(target).alias(target, metadata=meta))
     return out
@@ -70,7 +76,7 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Mapping[str,
 def index_categories(df: DataFrame, columns: Mapping[str, str], nominal: bool = False) -> DataFrame:
     """add ``columns[c]`` = frequency rank of ``c`` for every input column."""
     dictionary, n_labels = fit_dictionary(df, columns)
-    return apply_dictionary(df, dictionary, columns, n_labels if nominal else None)
+    return apply_dictionary(df, dictionary, columns, n_labels, nominal)
 
 
 def index_category(df: DataFrame, col: str, out: str, nominal: bool = False) -> DataFrame:

@@ -4,10 +4,13 @@ Strategy
 --------
 The right side of every lookup join here is a *grouped* frame (one row per
 key group), so its size is bounded by the number of groups, not by the
-number of view events.  No static broadcast hint is used: with AQE the
-right side is broadcast only when its materialised shuffle output is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise the join stays
-a sort-merge join and AQE splits skewed left partitions.
+number of view events.  Broadcast is an explicit, checked decision: callers
+pass the right side's row count (counted after materializing the small
+aggregate, or bounded by a fitted dictionary), and only sides at or below
+the session's broadcast limit are broadcast — then the large left side is
+never shuffled.  Above the limit the join is left to AQE (runtime
+broadcast from measured bytes, else sort-merge with skewed partitions
+split).
 
 For keys known to be hot, :func:`lookup_join` can also salt explicitly:
 left rows get a deterministic salt from a hash of their own columns, the
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.aggregates import MERCHANT_VIEW_KEYS
+from shelfcast.session import broadcast_limit
 
 ORDER_KEEP_COLUMNS = ("productid", "year", "month", "week", "day", "attrs", "channel",
                       "disprice", "eventcount", "finalprice", "price", "productcount",
@@ -35,14 +39,19 @@ VIEW_STAT_COLUMNS = ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreo
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                salt_buckets: int | None = None) -> DataFrame:
+                salt_buckets: int | None = None, right_rows: int | None = None) -> DataFrame:
     """Equi-join a large ``left`` to a grouped ``right`` on ``on``.
 
-    ``salt_buckets`` > 1 turns on explicit salting of hot keys (see module
-    docstring).  Without it, AQE decides broadcast vs. sort-merge from the
-    measured right side and splits skew at run time.
+    ``right_rows`` is the right side's exact (or upper-bound) row count when
+    the caller knows it.  At or below the session's broadcast limit the
+    right side is broadcast: the left side is never shuffled, so a hot key
+    costs nothing.  Above it (or when unknown) the join is left to AQE —
+    runtime broadcast from measured size, else sort-merge with skewed
+    partitions split — or salted explicitly with ``salt_buckets`` > 1.
     """
     on = list(on)
+    if right_rows is not None and right_rows <= broadcast_limit(left.sparkSession):
+        return left.join(F.broadcast(right), on, how)
     if not salt_buckets or salt_buckets <= 1:
         return left.join(right, on, how)
     salted_left = left.withColumn(
@@ -54,7 +63,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 def join_view_stats(orders: DataFrame, stats: DataFrame,
                     order_columns: Sequence[str] = ORDER_KEEP_COLUMNS,
                     stat_columns: Sequence[str] = VIEW_STAT_COLUMNS,
-                    salt_buckets: int | None = None) -> DataFrame:
+                    salt_buckets: int | None = None, stats_rows: int | None = None) -> DataFrame:
     """Orders ⟕ view stats on productid.
 
     The stats are grouped by product *and brand*, so a product viewed under
@@ -63,7 +72,7 @@ def join_view_stats(orders: DataFrame, stats: DataFrame,
     """
     left = orders.select(*order_columns)
     right = stats.select("productid", *[c for c in stat_columns if c != "productid"])
-    joined = lookup_join(left, right, ["productid"], "left", salt_buckets)
+    joined = lookup_join(left, right, ["productid"], "left", salt_buckets, stats_rows)
     return joined.select(*order_columns, *[c for c in stat_columns if c != "productid"])
 
 
@@ -82,9 +91,10 @@ def one_brand_per_product(stats: DataFrame) -> DataFrame:
 
 
 def with_relative_brand(df: DataFrame, counts: DataFrame,
-                        keys: Sequence[str] = ("relativeprice", "brand")) -> DataFrame:
+                        keys: Sequence[str] = ("relativeprice", "brand"),
+                        counts_rows: int | None = None) -> DataFrame:
     """Attach the per-(price bucket, brand) count back to every row."""
-    return lookup_join(df, counts, keys, "left")
+    return lookup_join(df, counts, keys, "left", right_rows=counts_rows)
 
 
 def suffix_columns(df: DataFrame, columns: Sequence[str], suffix: str = "1") -> DataFrame:
@@ -94,20 +104,25 @@ def suffix_columns(df: DataFrame, columns: Sequence[str], suffix: str = "1") ->
 
 def join_view_stats_by_merchant(orders: DataFrame, stats: DataFrame,
                                 keys: Sequence[str] = ("merchantid", "productid", "channel", "sellerid"),
-                                suffix: str = "1") -> DataFrame:
+                                suffix: str = "1", stats_rows: int | None = None) -> DataFrame:
     """Orders ⟕ suffixed merchant-level stats on 4 keys (nulls never match).
 
     The stats are grouped by 6 keys, so brand × fastseller combinations fan out.
     """
+    if stats_rows is not None and stats_rows <= broadcast_limit(orders.sparkSession):
+        stats = F.broadcast(stats)
     cond = reduce(lambda a, b: a & b, [orders[k] == stats[f"{k}{suffix}"] for k in keys])
     return orders.join(stats, cond, "left")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+                   right_rows: int | None = None) -> DataFrame:
     """Equi-join where null keys match each other (``<=>``).
 
     Returns all left columns plus the right side's non-key columns.
     """
+    if right_rows is not None and right_rows <= broadcast_limit(left.sparkSession):
+        right = F.broadcast(right)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
     right_only = [c for c in right.columns if c not in keys]
     return left.join(right, cond, how).select(*[left[c] for c in left.columns],

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from shelfcast.operators.aggregates import MERCHANT_VIEW_KEYS, view_stats_by_merchant
 from shelfcast.operators.joins import join_view_stats_by_merchant, suffix_columns
+from shelfcast.session import measured
 from shelfcast.sources.sinks import MERCHANT_ORDER_CONTRACT, to_sink_schema
 
 ORDER_SCAN_COLUMNS = ("merchantid", "productid", "year", "month", "week", "day", "attrs", "channel",
@@ -29,7 +30,14 @@ def merchant_stats(views: DataFrame) -> DataFrame:
     return suffix_columns(view_stats_by_merchant(views.select(*VIEW_SCAN_COLUMNS)), MERCHANT_VIEW_KEYS)
 
 
-def merchant_features(orders: DataFrame, views: DataFrame) -> DataFrame:
-    """Orders ⟕ merchant-level view stats, reshaped to the sink contract."""
-    joined = join_view_stats_by_merchant(orders.select(*ORDER_SCAN_COLUMNS), merchant_stats(views))
+def merchant_features(orders: DataFrame, views: DataFrame, measure: bool = True) -> DataFrame:
+    """Orders ⟕ merchant-level view stats, reshaped to the sink contract.
+
+    With ``measure`` the stats are written once and counted; J3 broadcasts
+    them when within the broadcast limit.
+    """
+    stats, stats_rows = merchant_stats(views), None
+    if measure:
+        stats, stats_rows = measured(stats, "merchant-stats")
+    joined = join_view_stats_by_merchant(orders.select(*ORDER_SCAN_COLUMNS), stats, stats_rows=stats_rows)
     return to_sink_schema(joined, MERCHANT_ORDER_CONTRACT)

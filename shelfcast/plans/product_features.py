@@ -21,13 +21,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from shelfcast.functions.columns import with_relative_price, with_scores, with_stock_flag
+from shelfcast.functions.columns import PRICE_CUTS, with_relative_price, with_scores, with_stock_flag
 from shelfcast.operators.aggregates import brand_price_counts, view_stats
 from shelfcast.operators.clean import fill_numeric, fill_string
-from shelfcast.operators.indexing import index_categories
+from shelfcast.operators.indexing import apply_dictionary, fit_dictionary
 from shelfcast.operators.joins import (ORDER_KEEP_COLUMNS, VIEW_STAT_COLUMNS, join_view_stats,
                                        with_relative_brand)
-from shelfcast.session import materialize
+from shelfcast.session import materialize, measured
 from shelfcast.sources.sinks import (PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_MONTHLY_EXTRA,
                                      to_sink_schema)
 
@@ -39,12 +39,21 @@ FEATURE_COLUMNS = ("productid", "sellerid", "year", "month", "week", "day", "dis
 
 def joined_view_features(orders: DataFrame, views: DataFrame,
                          stats_keys: Sequence[str] = ("productid", "brand"),
-                         salt_buckets: int | None = None) -> DataFrame:
-    """A1 → J1 → P8 → P9: order rows with their (filled) view statistics."""
+                         salt_buckets: int | None = None, measure: bool = True) -> DataFrame:
+    """A1 → J1 → P8 → P9: order rows with their (filled) view statistics.
+
+    With ``measure`` the view statistics (one row per product/brand group)
+    are written once and counted, and J1 broadcasts them when the count is
+    within the broadcast limit — the order side then streams through the
+    join without a shuffle, whatever its key skew.
+    """
     stats = view_stats(views, stats_keys)
+    stats_rows = None
+    if measure:
+        stats, stats_rows = measured(stats, "view-stats")
     extra = [k for k in stats_keys if k not in ("productid", "brand")]
     joined = join_view_stats(orders, stats, ORDER_KEEP_COLUMNS, VIEW_STAT_COLUMNS + tuple(extra),
-                             salt_buckets=salt_buckets)
+                             salt_buckets=salt_buckets, stats_rows=stats_rows)
     return fill_string(fill_numeric(joined))
 
 
@@ -69,10 +78,13 @@ def product_features(orders: DataFrame, views: DataFrame, with_fastseller: bool
     to_index = {"brand": "brandindexed"}
     if with_fastseller:
         to_index["fastseller"] = "fastsellerindexed"
-    indexed = index_categories(filled, to_index)
+    dictionary, n_labels = fit_dictionary(filled, to_index)
+    indexed = apply_dictionary(filled, dictionary, to_index, n_labels)
     keep = FEATURE_COLUMNS + (("fastsellerindexed",) if with_fastseller else ())
     feats = indexed.select(*keep)
     feats = with_stock_flag(with_relative_price(with_scores(feats)))
-    with_brand_counts = with_relative_brand(feats, brand_price_counts(feats))
+    # One count per (price bucket, brand): at most (buckets) × (brand labels) rows.
+    counts_bound = (len(PRICE_CUTS) + 1) * n_labels.get("brand", 0)
+    with_brand_counts = with_relative_brand(feats, brand_price_counts(feats), counts_rows=counts_bound)
     contract = PRODUCT_ORDER_CONTRACT + (PRODUCT_ORDER_MONTHLY_EXTRA if with_fastseller else ())
     return to_sink_schema(with_brand_counts, contract)

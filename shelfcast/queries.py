@@ -40,7 +40,7 @@ from shelfcast.operators.vectors import assemble, fit_vector_indexer, vector_cat
 from shelfcast.plans.demand import MONTHLY_KEYS, WEEKLY_MAX_CATEGORIES, monthly_model, weekly_model
 from shelfcast.plans.libsvm import libsvm_model
 from shelfcast.plans.stock import stock_model
-from shelfcast.session import materialize
+from shelfcast.session import materialize, measured
 from shelfcast.sources.tables import read_libsvm, write_libsvm
 from shelfcast.plans.product_features import joined_view_features, product_features
 from shelfcast.plans.stock import STOCK_FEATURES, indexed_stock_table, stock_dataset
@@ -280,7 +280,8 @@ def j4_join_null_safe(spark, d):
     """
     keys = ("merchantid", "productid", "year", "month", "week", "day")
     stats = view_stats(_views(spark, d), keys, count_col="channel").withColumnRenamed("sellergrade", "sellergrade1")
-    return quantize_columns(join_null_safe(_orders(spark, d), stats, keys, "left"), NULL_SAFE_MEANS)
+    stats, rows = measured(stats, "day-stats")
+    return quantize_columns(join_null_safe(_orders(spark, d), stats, keys, "left", rows), NULL_SAFE_MEANS)
 
 
 @query("j5_pair_join_counts")

@@ -40,6 +40,16 @@ DEFAULT_CONF = {
 }
 
 
+# Largest lookup side (rows) that jobs broadcast after counting it; a grouped
+# lookup row is ~100 bytes, so the default keeps broadcasts near 100 MB.
+# Override with the session conf ``shelfcast.broadcast.maxRows``.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "shelfcast", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
@@ -101,3 +111,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def measured(df: DataFrame, name: str = "lookup") -> tuple[DataFrame, int]:
+    """Materialize a (grouped, small-ish) frame and return it with its exact row count.
+
+    The count comes from the written parquet footers, so the size check
+    behind a broadcast decision costs no extra pass over the source.
+    """
+    out = materialize(df, name)
+    return out, out.count()
