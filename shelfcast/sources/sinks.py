@@ -1,28 +1,39 @@
 """Feature-table sink: reshaping (S5) and keyed upsert.
 
 The original target is a key-value table where a save upserts: rows that
-share the primary key collapse and the last writer wins.  On files that
-becomes a *versioned* table:
-
-    <root>/v=<n>/...        one complete snapshot per write (partitioned)
-    <root>/_log/            one JSON row per committed version
-
-A write reads the current snapshot, unions the new batch, keeps one row
-per key (new batch first, then a stated total order over the remaining
-columns) and writes snapshot n+1; the log row is appended only after the
-snapshot is complete, so readers never see a half-written version and a
-failed job can simply be re-run.  The dedupe is an arg-max aggregate
-(``max(struct(...))``), which Spark combines map-side — one hot key does
-not pile its rows into one task as a window would.
+share the primary key collapse and the last writer wins.  On parquet that
+becomes a partitioned table whose partition columns are part of the key,
+so every key lives in exactly one partition.  An upsert:
+
+1. reads only the existing partitions the new batch touches: their values
+   (counted first; at most ``PRUNE_LIST_MAX``) become a literal predicate
+   that prunes the scan, beyond that a semi-join selects them;
+2. keeps one row per key — new batch first, then a stated total order over
+   the remaining columns — with an arg-max aggregate (``max(struct(...))``),
+   which Spark combines map-side, so one hot key never piles its rows into
+   one task as a window would;
+3. stages the merged partitions in the shared folder (cutting the lineage
+   to the table being replaced), then overwrites just those partitions
+   (``partitionOverwriteMode=dynamic``).
+
+Cost is proportional to the touched partitions, not to the table.  Each
+partition is replaced as a unit; if a job dies midway, re-running the same
+upsert converges to the same table because the new batch always wins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.session import materialize, measured
+
+# Most touched partitions an upsert lists literally for partition pruning.
+PRUNE_LIST_MAX = 2000
+
 # Sink contract of the current-generation feature table, keys first.
 PRODUCT_ORDER_KEYS = ("productid", "year", "month", "week", "day")
 PRODUCT_ORDER_CONTRACT = ("productid", "year", "month", "week", "day", "brandindexed",
@@ -68,38 +79,39 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], batch_col: str | None = No
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in payload])
 
 
-def _log_path(root: str) -> str:
-    return f"{root.rstrip('/')}/_log"
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
+def read_features(spark: SparkSession, root: str) -> DataFrame | None:
+    """Read the feature table; ``None`` when nothing was written yet."""
     try:
-        row = spark.read.json(_log_path(root)).agg(F.max("version").alias("v")).first()
-    except Exception:   # no log yet: empty table
-        return None
-    return None if row is None or row["v"] is None else int(row["v"])
-
-
-def read_features(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
-    """Read the latest (or a given) snapshot; ``None`` when nothing was written."""
-    version = current_version(spark, root) if version is None else version
-    if version is None:
+        return spark.read.parquet(root)
+    except Exception:   # path does not exist yet
         return None
-    return spark.read.parquet(f"{root.rstrip('/')}/v={version}")
 
 
 def write_features(df: DataFrame, root: str, keys: Sequence[str],
                    partition_by: Sequence[str] = ("year", "month")) -> int:
-    """Upsert ``df`` into the versioned table at ``root``; returns the new version."""
+    """Upsert ``df`` into the partitioned table at ``root``; returns rows written."""
+    missing = [c for c in partition_by if c not in keys]
+    if missing:
+        raise ValueError(f"partition columns {missing} must be part of the key")
     spark = df.sparkSession
-    version = current_version(spark, root)
+    existing = read_features(spark, root)
     batch = df.withColumn("_batch", F.lit(1))
-    if version is not None:
-        existing = read_features(spark, root, version).select(*df.columns).withColumn("_batch", F.lit(0))
-        batch = existing.unionByName(batch)
+    if existing is not None:
+        new = materialize(df, "upsert-batch")            # read twice below
+        touched, n_touched = measured(new.select(*partition_by).distinct(), "upsert-partitions")
+        if n_touched <= PRUNE_LIST_MAX:
+            # Few partitions (checked): a literal predicate prunes the scan to them.
+            values = touched.collect()
+            pred = reduce(lambda a, b: a | b, [
+                reduce(lambda x, y: x & y, [F.col(c) == F.lit(r[c]) for c in partition_by]) for r in values],
+                F.lit(False))
+            old = existing.where(pred)
+        else:
+            old = existing.join(touched, list(partition_by), "left_semi")
+        old = old.select(*df.columns).withColumn("_batch", F.lit(0))
+        batch = old.unionByName(new.withColumn("_batch", F.lit(1)))
     merged = dedupe_latest(batch, keys, "_batch").select(*df.columns)
-    new_version = 0 if version is None else version + 1
-    (merged.write.mode("overwrite").partitionBy(*partition_by)
-           .parquet(f"{root.rstrip('/')}/v={new_version}"))
-    spark.createDataFrame([(new_version,)], "version int").write.mode("append").json(_log_path(root))
-    return new_version
+    staged = materialize(merged, "upsert-stage")
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(*partition_by).parquet(root))
+    return staged.count()

@@ -55,14 +55,15 @@ def test_upsert_new_batch_wins_and_rerun_is_idempotent(spark):
     root = f"{shared_dir(spark)}/upsert_test_{random.randrange(10**9)}"
     first = spark.createDataFrame([("P1", 2016, 1.0), ("P1", 2016, 2.0), ("P2", 2017, 5.0)],
                                   "productid string, year int, v double")
-    assert write_features(first, root, ["productid", "year"], ["year"]) == 0
+    assert write_features(first, root, ["productid", "year"], ["year"]) == 2
     assert sorted(read_features(spark, root).select("productid", "year", "v").collect()) == \
         sorted([("P1", 2016, 2.0), ("P2", 2017, 5.0)])
-    second = spark.createDataFrame([("P1", 2016, 0.5)], "productid string, year int, v double")
+    second = spark.createDataFrame([("P1", 2016, 0.5), ("P3", 2016, 1.0)], "productid string, year int, v double")
     write_features(second, root, ["productid", "year"], ["year"])
     write_features(second, root, ["productid", "year"], ["year"])
+    # 2017 was not touched by the second batch and is left as it was.
     assert sorted(read_features(spark, root).select("productid", "year", "v").collect()) == \
-        sorted([("P1", 2016, 0.5), ("P2", 2017, 5.0)])
+        sorted([("P1", 2016, 0.5), ("P3", 2016, 1.0), ("P2", 2017, 5.0)])
 
 
 def test_dedupe_latest_is_argmax_per_key(spark):
