@@ -447,3 +447,4 @@ oracle("f4_index_vector", " UNION ALL ".join(
     f"CAST(CASE WHEN count(DISTINCT {e}) <= 40 THEN count(DISTINCT {e}) ELSE 0 END AS INTEGER) AS num_categories "
     "FROM weekly" for i, e in enumerate(WEEKLY_FEATURE_SQL)), "weekly")
 oracle("s3_read_libsvm", ORACLES["f3_assemble_weekly"])
+oracle("p13_named_prediction", f"SELECT {Q('prediction')} AS pdecisiontree FROM tree_pred", "tree_pred")

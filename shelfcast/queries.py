@@ -496,7 +496,8 @@ def m9_score(spark, d):
 
 @query("p13_named_prediction")
 def p13_named_prediction(spark, d):
-    return named_prediction(_tree_predictions(spark, d), "pdecisiontree")
+    renamed = named_prediction(_tree_predictions(spark, d), "pdecisiontree")
+    return quantize_columns(renamed, ("pdecisiontree",))
 
 
 @query("m4_linear_summary")
