@@ -11,7 +11,8 @@ strings), but built as Spark jobs instead of a driver-side label array:
 * ranks come from :func:`shelfcast.functions.ranking.global_rank` over the
   count table (no single-task window, no collect of labels);
 * the dictionary is joined back per column; it has one row per distinct
-  label, and AQE broadcasts it only when its measured size allows.
+  label, counted by the fit, and is broadcast only when that count is
+  within the session's broadcast limit (else a regular join).
 
 With ``nominal=True`` the output columns carry ML nominal-attribute
 metadata (``num_vals``), so tree learners treat them as categorical.

@@ -14,39 +14,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.functions.columns import (cast_label, exp_prediction, log_label, quantize,
-                                         quantize_columns, with_relative_price, with_scores,
-                                         with_stock_flag)
+from shelfcast.functions.columns import (cast_label, exp_prediction, key_bucket, log_label,
+                                         named_prediction, quantize, quantize_columns,
+                                         with_relative_price, with_scores, with_stock_flag)
 from shelfcast.operators.aggregates import (MERCHANT_VIEW_KEYS, MERCHANT_VIEW_MEANS,
-                                            brand_price_counts, grouped_means, row_count,
-                                            view_stats, view_stats_by_merchant)
+                                            brand_price_counts, grouped_means, prediction_range,
+                                            row_count, view_stats, view_stats_by_merchant)
 from shelfcast.operators.clean import fill_numeric, fill_string, replace_blank
 from shelfcast.operators.indexing import index_category
-from shelfcast.operators.joins import (join_null_safe, join_view_stats, pair_join_counts,
-                                       suffix_columns, with_relative_brand)
-from shelfcast.operators.rollups import having, having_count, monthly_rollup, weekly_rollup
-from shelfcast.operators.vectors import vector_columns, with_split
-from shelfcast.plans.demand import MONTHLY_FEATURES, WEEKLY_FEATURES, monthly_dataset, weekly_dataset
-from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
-                                               merchant_stats)
-from shelfcast.operators.joins import join_view_stats_by_merchant
-from shelfcast.functions.columns import key_bucket, named_prediction
-from shelfcast.operators.aggregates import prediction_range
+from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_view_stats_by_merchant,
+                                       pair_join_counts, suffix_columns, with_relative_brand)
 from shelfcast.operators.learners import (cross_validate, fit, forest_regressor, gbt_regressor,
                                           last_model, linear_regressor, linear_summary, make_pipeline,
                                           param_grid, tree_classifier, tree_regressor, tree_report)
 from shelfcast.operators.metrics import classification_metrics, nrmse, regression_metrics
-from shelfcast.operators.vectors import assemble, fit_vector_indexer, vector_category_report
-from shelfcast.plans.demand import MONTHLY_KEYS, WEEKLY_MAX_CATEGORIES, monthly_model, weekly_model
+from shelfcast.operators.rollups import having, having_count, monthly_rollup, weekly_rollup
+from shelfcast.operators.vectors import (assemble, fit_vector_indexer, vector_category_report,
+                                         vector_columns, with_split)
+from shelfcast.plans.demand import (MONTHLY_FEATURES, MONTHLY_KEYS, WEEKLY_FEATURES,
+                                    WEEKLY_MAX_CATEGORIES, monthly_dataset, monthly_model,
+                                    weekly_dataset, weekly_model)
 from shelfcast.plans.libsvm import libsvm_model
-from shelfcast.plans.stock import stock_model
-from shelfcast.session import materialize, measured
-from shelfcast.sources.tables import read_libsvm, write_libsvm
+from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
+                                               merchant_stats)
 from shelfcast.plans.product_features import joined_view_features, product_features
-from shelfcast.plans.stock import STOCK_FEATURES, indexed_stock_table, stock_dataset
-from shelfcast.session import shared_dir
+from shelfcast.plans.stock import STOCK_FEATURES, indexed_stock_table, stock_dataset, stock_model
+from shelfcast.session import materialize, measured, shared_dir
 from shelfcast.sources.sinks import PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, read_features, write_features
 from shelfcast.sources.summaries import order_summary, view_summary
+from shelfcast.sources.tables import read_libsvm, write_libsvm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -2,14 +2,15 @@
 
 Scale notes
 -----------
-* AQE is on: shuffle partitions are coalesced from measured map output,
-  a join side is converted to a broadcast only when its *materialised*
-  shuffle output is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-  (a runtime size check, never a blind hint), and skewed partitions of a
-  sort-merge join are split (``skewJoin``) so a hot key does not land in a
-  single task.
-* Lineage is cut with ``DataFrame.checkpoint`` into the folder named by
-  ``spark.checkpoint.dir`` (a shared, fault-tolerant location on a
+* AQE is on: shuffle partitions are coalesced from measured map output
+  and skewed partitions of a sort-merge join are split (``skewJoin``) so a
+  hot key does not land in a single task.
+* No broadcast is chosen from plan estimates.  Jobs broadcast a lookup
+  side after counting it (``measured``) against ``broadcast_limit``; any
+  other join may still become a broadcast at run time, but only when AQE
+  has measured its materialised size.
+* Lineage is cut by writing parquet (``materialize``) into the folder
+  named by ``spark.checkpoint.dir`` (a shared, fault-tolerant location on a
   cluster).  A local folder is only created when the session has none
   configured, i.e. in tests and local benches.
 """
