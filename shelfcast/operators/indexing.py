@@ -50,7 +50,9 @@ def fit_dictionary(df: DataFrame, columns: Mapping[str, str] | list[str]) -> tup
     ranked = global_rank(counts, [F.col("column"), F.col("count").desc(), F.col("label")], "_g")
     dictionary = (ranked.join(F.broadcast(starts), "column")
                         .select("column", "label", "count", (F.col("_g") - F.col("_first")).alias("index")))
-    return dictionary, n_labels
+    # The fitted dictionary is a small table; write it once so each column's
+    # lookup scans it (filter pushed down) instead of re-ranking the counts.
+    return materialize(dictionary, "dictionary"), n_labels
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Mapping[str, str],
