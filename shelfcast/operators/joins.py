@@ -47,12 +47,16 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     right side is broadcast: the left side is never shuffled, so a hot key
     costs nothing.  Above it (or when unknown) the join is left to AQE —
     runtime broadcast from measured size, else sort-merge with skewed
-    partitions split — or salted explicitly with ``salt_buckets`` > 1.
+    partitions split — or salted explicitly with ``salt_buckets`` > 1
+    (default: the session conf ``shelfcast.join.saltBuckets``, off).
     """
     on = list(on)
-    if right_rows is not None and right_rows <= broadcast_limit(left.sparkSession):
+    spark = left.sparkSession
+    if right_rows is not None and right_rows <= broadcast_limit(spark):
         return left.join(F.broadcast(right), on, how)
-    if not salt_buckets or salt_buckets <= 1:
+    if salt_buckets is None:
+        salt_buckets = int(spark.conf.get("shelfcast.join.saltBuckets", "0"))
+    if salt_buckets <= 1:
         return left.join(right, on, how)
     salted_left = left.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)))

@@ -55,3 +55,45 @@ def test_nominal_metadata_survives_materialize(spark):
     vec = materialize(assemble(indexed, ["ci", "x"], "features"), "vec")
     attrs = vec.schema["features"].metadata["ml_attr"]["attrs"]
     assert [a["name"] for a in attrs["nominal"]] == ["ci"]
+
+
+def _hot_orders_and_views(spark):
+    from tests.conftest import ORDER_SCHEMA, VIEW_SCHEMA
+    orders = spark.range(1200).select(
+        F.when(F.col("id") % 3 == 0, F.lit("P0")).otherwise(F.concat(F.lit("P"), (F.col("id") % 40).cast("string")))
+         .alias("productid"),
+        F.concat(F.lit("S"), (F.col("id") % 4).cast("string")).alias("sellerid"), F.lit("M1").alias("merchantid"),
+        F.lit(2016), (F.col("id") % 12 + 1).cast("int"), (F.col("id") % 52 + 1).cast("int"),
+        (F.col("id") % 28 + 1).cast("int"), F.lit("x"), F.lit("web"), (F.col("id") * 7 % 4000).cast("double"),
+        (F.col("id") % 500).cast("double"), (F.col("id") % 600).cast("double"), (F.col("id") % 9 + 1),
+        F.lit(1), (F.col("id") % 7).cast("int")).toDF(*[f.split()[0] for f in ORDER_SCHEMA.split(", ")])
+    views = spark.range(900).select(
+        F.concat(F.lit("P"), (F.col("id") % 40).cast("string")), F.lit("S1"), F.lit("M1"), F.lit(2016), F.lit(1),
+        F.lit(1), F.lit(1), F.concat(F.lit("B"), (F.col("id") % 3).cast("string")), F.lit("web"), F.lit("no"),
+        F.lit(1.0), F.lit(1.0), F.lit(1), F.lit(1), (F.col("id") % 11).cast("int"), (F.col("id") % 7).cast("int"),
+        (F.col("id") % 5).cast("int"), (F.col("id") % 3).cast("int"), (F.col("id") % 2).cast("int"),
+        (F.col("id") % 10).cast("int")).toDF(*[f.split()[0] for f in VIEW_SCHEMA.split(", ")])
+    return orders, views
+
+
+def test_feature_job_with_hot_product_same_on_broadcast_and_salted_paths(spark):
+    from shelfcast.plans.product_features import product_features
+    orders, views = _hot_orders_and_views(spark)
+    broadcast_path = sorted(product_features(orders, views).collect())
+    spark.conf.set("shelfcast.broadcast.maxRows", "0")
+    spark.conf.set("shelfcast.join.saltBuckets", "8")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted_path = sorted(product_features(orders, views).collect())
+    finally:
+        spark.conf.unset("shelfcast.broadcast.maxRows")
+        spark.conf.unset("shelfcast.join.saltBuckets")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
+    assert len(broadcast_path) == 1200 * 3     # every product has three brands
+    assert salted_path == broadcast_path
+
+
+def test_one_brand_option_removes_fan_out(spark):
+    from shelfcast.plans.product_features import product_features
+    orders, views = _hot_orders_and_views(spark)
+    assert product_features(orders, views, one_brand=True).count() == 1200
