@@ -93,8 +93,13 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``product_view_summary``: one row per event, product from ``props.k``."""
-    ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    # Parse props once per row in its own projection: Catalyst does not
+    # re-inline a non-cheap expression when collapsing projections, so the
+    # product id, the brand and any inferred null filter all reuse it.
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "value",
+        F.get_json_object(F.col("props"), "$.k").cast("int").alias("_k"))
+    k = F.col("_k")
     eid = F.col("event_id")
     uid = F.col("user_id")
     user_channel = F.pmod(uid, F.lit(3))

@@ -67,3 +67,12 @@ def test_query_matches_oracle_at_smoke_scale(spark, duck, name):
     idx = [ocols.index(c) for c in order]
     theirs = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
     assert ours == theirs
+
+
+def test_event_props_parsed_once_per_row(spark):
+    from shelfcast.operators.aggregates import view_stats
+    from shelfcast.sources.summaries import view_summary
+    df = view_stats(view_summary(spark, SMOKE))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("get_json_object") == 1
