@@ -112,6 +112,10 @@ def write_features(df: DataFrame, root: str, keys: Sequence[str],
         batch = old.unionByName(new.withColumn("_batch", F.lit(1)))
     merged = dedupe_latest(batch, keys, "_batch").select(*df.columns)
     staged = materialize(merged, "upsert-stage")
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # REBALANCE clusters rows by partition value (few files per partition
+    # directory) while AQE splits a hot partition over several tasks and
+    # coalesces small ones.
+    (staged.hint("rebalance", *partition_by)
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(*partition_by).parquet(root))
     return staged.count()
