@@ -114,12 +114,16 @@ def last_model(model) -> Transformer:
     return model
 
 
-def tree_report(model) -> list[tuple[int, int, int, float]]:
-    """(tree_id, depth, num_nodes, weight) for a tree or ensemble model."""
+def tree_report(model) -> list[tuple[int, int, int, float, str]]:
+    """(tree_id, depth, num_nodes, weight, structure) for a tree or ensemble model.
+
+    ``structure`` is the learned tree as text (``toDebugString``); its size
+    is bounded by the node count (≤ 2^(depth+1) − 1).
+    """
     m = last_model(model)
     trees = getattr(m, "trees", None) or [m]
     weights = list(getattr(m, "treeWeights", [1.0] * len(trees)))
-    return [(i, t.depth, t.numNodes, float(w)) for i, (t, w) in enumerate(zip(trees, weights))]
+    return [(i, t.depth, t.numNodes, float(w), t.toDebugString) for i, (t, w) in enumerate(zip(trees, weights))]
 
 
 def feature_importances(model) -> list[tuple[int, float]]:

@@ -481,7 +481,8 @@ def x6_libsvm_model(spark, d):
 @query("m14_tree_report")
 def m14_tree_report(spark, d):
     run = monthly_model(_x1_monthly(spark, d))
-    return spark.createDataFrame(tree_report(run.model), "tree_id int, depth int, num_nodes int, weight double")
+    return spark.createDataFrame(tree_report(run.model),
+                                 "tree_id int, depth int, num_nodes int, weight double, structure string")
 
 
 @query("m9_score")
