@@ -12,8 +12,9 @@ A window with no PARTITION BY would move every row into one task, and
 4. rank = rows in earlier partitions + (id − first id of the partition),
    attached by a broadcast join of that per-partition table.
 
-The result equals ``row_number() over (order by ...) - 1``.  ``order``
-must be total (break ties explicitly) for the rank to be deterministic.
+The id-tagged sorted frame is materialized, so ids are fixed once.  The
+result equals ``row_number() over (order by ...) - 1``; ``order`` must be
+total (break ties explicitly) for the rank to be reproducible.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.session import materialize
+
 
 def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Add ``out`` (double) = 0-based position of each row under the total ``order``."""
-    ordered = (df.orderBy(*order)
-                 .withColumn("_rk_id", F.monotonically_increasing_id())
-                 .withColumn("_rk_part", F.shiftright(F.col("_rk_id"), 33)))
+    # Written once: the collected partition sizes and the final join then see
+    # the same ids even if a task is recomputed or AQE coalesces differently.
+    ordered = materialize(df.orderBy(*order)
+                            .withColumn("_rk_id", F.monotonically_increasing_id())
+                            .withColumn("_rk_part", F.shiftright(F.col("_rk_id"), 33)), "ranked")
     sizes = sorted((r["_rk_part"], r["n"], r["first"]) for r in
                    ordered.groupBy("_rk_part")
                           .agg(F.count(F.lit(1)).alias("n"), F.min("_rk_id").alias("first"))
