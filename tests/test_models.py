@@ -13,6 +13,13 @@ def _metrics(run):
     return run.metrics.first().asDict()
 
 
+def _same(a, b, rel=1e-9):
+    """Equal up to summation order: distributed sums differ in the last bits between runs."""
+    return a.keys() == b.keys() and all(
+        (x is None and y is None) or (x is not None and y is not None and math.isclose(x, y, rel_tol=rel))
+        for x, y in ((a[k], b[k]) for k in a))
+
+
 def _finite(m):
     return all(v is None or (isinstance(v, (int, float)) and math.isfinite(v)) for v in m.values())
 
@@ -21,7 +28,7 @@ def test_monthly_forest_metrics_finite_and_repeatable(spark):
     po = _x1_monthly(spark, SMOKE)
     first, second = _metrics(monthly_model(po, seed=3)), _metrics(monthly_model(po, seed=3))
     assert first["n"] > 0 and _finite(first)
-    assert first == second
+    assert _same(first, second)
     assert first["nrmse"] is None or first["nrmse"] > 0
 
 
@@ -29,7 +36,7 @@ def test_stock_tree_uses_categorical_indexes_and_is_repeatable(spark):
     run = stock_model(_x2(spark, SMOKE), seed=3)
     m = _metrics(run)
     assert m["n"] > 0 and _finite(m)
-    assert m == _metrics(stock_model(_x2(spark, SMOKE), seed=3))
+    assert _same(m, _metrics(stock_model(_x2(spark, SMOKE), seed=3)))
     attrs = run.predictions.schema["features"].metadata["ml_attr"]["attrs"]
     assert {a["name"] for a in attrs["nominal"]} == {"channelindexed", "yearindexed", "fastsellerindexed"}
 
