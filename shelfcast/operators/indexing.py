@@ -34,20 +34,20 @@ def fit_dictionary(df: DataFrame, columns: Mapping[str, str] | list[str]) -> tup
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label"))
         for c in columns]))
-    counts = materialize(
-        df.select(pairs.alias("p"))
-          .select("p.column", "p.label")
-          .where(F.col("label").isNotNull())
-          .groupBy("column", "label").agg(F.count(F.lit(1)).alias("count")))
+    counts = (df.select(pairs.alias("p"))
+                .select("p.column", "p.label")
+                .where(F.col("label").isNotNull())
+                .groupBy("column", "label").agg(F.count(F.lit(1)).alias("count")))
+    # global_rank writes the sorted counts once; everything below reads that.
+    ranked = global_rank(counts, [F.col("column"), F.col("count").desc(), F.col("label")], "_g")
     # One row per indexed column.
     n_labels = {r["column"]: int(r["n"]) for r in
-                counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+                ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, offsets = 0, []
-    for c in sorted(n_labels):
+    for c in sorted(n_labels):          # the rank orders columns the same way
         offsets.append((c, first))
         first += n_labels[c]
     starts = df.sparkSession.createDataFrame(offsets, "column string, _first long")
-    ranked = global_rank(counts, [F.col("column"), F.col("count").desc(), F.col("label")], "_g")
     dictionary = (ranked.join(F.broadcast(starts), "column")
                         .select("column", "label", "count", (F.col("_g") - F.col("_first")).alias("index")))
     # The fitted dictionary is a small table; write it once so each column's
