@@ -34,15 +34,17 @@ def fit_dictionary(df: DataFrame, columns: Mapping[str, str] | list[str]) -> tup
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label"))
         for c in columns]))
-    counts = (df.select(pairs.alias("p"))
-                .select("p.column", "p.label")
-                .where(F.col("label").isNotNull())
-                .groupBy("column", "label").agg(F.count(F.lit(1)).alias("count")))
-    # global_rank writes the sorted counts once; everything below reads that.
+    # Written once: the sort below samples its input and then reads it
+    # again, which must not re-run the counting pass over ``df``.
+    counts = materialize(
+        df.select(pairs.alias("p"))
+          .select("p.column", "p.label")
+          .where(F.col("label").isNotNull())
+          .groupBy("column", "label").agg(F.count(F.lit(1)).alias("count")), "label-counts")
     ranked = global_rank(counts, [F.col("column"), F.col("count").desc(), F.col("label")], "_g")
     # One row per indexed column.
     n_labels = {r["column"]: int(r["n"]) for r in
-                ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+                counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, offsets = 0, []
     for c in sorted(n_labels):          # the rank orders columns the same way
         offsets.append((c, first))
