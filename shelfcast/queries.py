@@ -23,7 +23,7 @@ from shelfcast.operators.aggregates import (MERCHANT_VIEW_KEYS, MERCHANT_VIEW_ME
 from shelfcast.operators.clean import fill_numeric, fill_string, replace_blank
 from shelfcast.operators.indexing import index_category
 from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_view_stats_by_merchant,
-                                       pair_join_counts, suffix_columns, with_relative_brand)
+                                       pair_join_counts, with_relative_brand)
 from shelfcast.operators.learners import (cross_validate, fit, forest_regressor, gbt_regressor,
                                           last_model, linear_regressor, linear_summary, make_pipeline,
                                           param_grid, tree_classifier, tree_regressor, tree_report)
