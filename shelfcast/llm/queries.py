@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing
+from shelfcast.llm import licenses, mixing, pii, quality, secret_scan, tokens
 from shelfcast.llm.common import read
 from shelfcast.session import materialize
 
@@ -24,8 +24,54 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(slim, ["doc_id", "_text"]).drop("_text")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.with_token_counts(docs, public_tokenizers.path(tokens.MODEL)).drop("text")
+
+
+def _spans(spans, base_only: bool = False):
+    """kind:start:end of each span, comma-joined, in the array's order."""
+    if base_only:
+        spans = F.filter(spans, lambda s: s["base"])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count("secrets", k) for k in secret_scan.KINDS],
+                        F.sha2(_spans("secrets", True), 256).alias("base_sha256"), _spans("secrets").alias("spans"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (quality.with_quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", "kept"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count("pii", k) for k in pii.KINDS],
+                        F.sha2(_spans("pii", True), 256).alias("base_sha256"), _spans("pii").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_counts": op2_token_counts,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_license_scan": op7_license_scan,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
