@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import licenses, mixing, pii, quality, secret_scan, tokens
+from shelfcast.llm import decontam, licenses, mixing, near_dup, pii, quality, secret_scan, tokens
 from shelfcast.llm.common import read
 from shelfcast.session import materialize
 
@@ -48,6 +48,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_spans("secrets", True), 256).alias("base_sha256"), _spans("secrets").alias("spans"))
 
 
+def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.with_contamination(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("hits.n_words").alias("n_words"), decontam.n_hit().alias("n_hit"),
+                        F.size("hits.items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+                        (F.size("hits.spans") > 0).alias("contaminated"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.with_quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -59,6 +68,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.with_components(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents"))
     return found.select("doc_id", *[_count("pii", k) for k in pii.KINDS],
@@ -69,8 +82,10 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
+    "op4_benchmark_hits": op4_benchmark_hits,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_personal_data": op10_personal_data,
 }
 
