@@ -35,3 +35,13 @@ def let(value: Column, body) -> Column:
 
 def spans_digest(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
+
+
+# Largest table (bytes, measured) that is shipped whole to every task.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def near(table: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast if the sum of ``row_bytes`` allows it, else unchanged (a shuffled join)."""
+    measured = table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if measured <= limit else table

@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from shelfcast.llm.common import text_or_empty
+from shelfcast.llm.common import near, text_or_empty
+from shelfcast.llm.hashing import mix64, word_hashes
 from shelfcast.session import materialize
 
 # Defaults of near-duplicate stages; the registered query sets its contract's two words.
@@ -55,72 +56,55 @@ RATE = 20.0                  # rate of the exponential hash values
 TOP = 2 ** 16 - 2            # registers are truncated to 0..TOP + 1
 SEED = 11
 SLACK = 7.0                  # standard errors below the threshold that the estimate may lie
-# Largest id list shipped to every task (8-byte ids; 2 million take some 50 MB there).
-ID_BROADCAST_ROWS = 2_000_000
-CACHE_WORDS = 400_000
+# Bytes that an id of a broadcast list takes in a task.
+ID_BYTES = 24
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(SEED)
-_MULTIPLIERS = _rng.integers(0, 2 ** 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
-_OFFSETS = _rng.integers(0, 2 ** 64, REGISTERS, dtype=np.uint64)
+_MULTIPLIERS = _rng.integers(0, 2 ** 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
+_OFFSETS = _rng.integers(0, 2 ** 32, REGISTERS, dtype=np.uint32)
 
 
-def mix64(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+def shingles(text: str, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words than ``size`` form one."""
+    ids = word_hashes(np.frombuffer(text.encode().translate(_LOWER), np.uint8))
+    if not len(ids):
+        return ids
+    size = min(size, len(ids))
+    n = len(ids) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + ids[k:k + n])
+    return np.unique(h)
 
 
-class WordHashes(dict):
-    """Word → 64-bit hash; at most ``CACHE_WORDS`` words are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def shingles(self, text: str, size: int) -> np.ndarray:
-        """Sorted hashes of the distinct shingles; fewer words than ``size`` form one."""
-        words = text.encode().translate(_LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        size = min(size, len(words))
-        ids = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        n = len(ids) - size + 1
-        h = np.full(n, size, np.uint64)
-        for k in range(size):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + ids[k:k + n])
-        return np.unique(h)
-
-
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch registers (uint16) of a non-empty set of hashes."""
-    least = np.full(REGISTERS, 2 ** 64 - 1, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at:at + 4096]
+    least = np.full(REGISTERS, 2 ** 32 - 1, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 4096):
+        part = short[at:at + 4096]
         for i in range(0, REGISTERS, 25):
             spread = part[None, :] * _MULTIPLIERS[i:i + 25, None] + _OFFSETS[i:i + 25, None]
             least[i:i + 25] = np.minimum(least[i:i + 25], spread.min(axis=1))
-    uniform = (least.astype(np.float64) + 0.5) / 2.0 ** 64
-    smallest = -np.log1p(-np.minimum(uniform, 1 - 2.0 ** -53)) / RATE
+    smallest = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0 ** 32) / RATE
     return np.clip(np.floor(1 - np.log(smallest) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
-SKETCH = "struct<n:long,signature:binary,registers:binary>"
+SKETCH = "struct<n:long,signature:binary,registers:binary,hashes:array<long>>"
 
 
-def sketch(text: Column, size: int) -> Column:
+def sketch(text: Column, size: int, with_set: bool = False) -> Column:
+    """Set size, 128-bit digest of the set, registers and, if asked for, the set itself."""
     @pandas_udf(SKETCH)
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
         for texts in batches:
             rows = []
             for text in texts:
-                s = words.shingles(text, size)
-                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), registers(s).tobytes())
-                            if len(s) else (0, None, None))
-            yield pd.DataFrame(rows, columns=["n", "signature", "registers"])
+                s = shingles(text, size)
+                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), registers(s).tobytes(),
+                             s.view(np.int64) if with_set else None) if len(s) else (0, None, None, None))
+            yield pd.DataFrame(rows, columns=["n", "signature", "registers", "hashes"])
     return make(text)
 
 
@@ -137,15 +121,6 @@ def bands(sketches: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def shingle_sets(text: Column, size: int) -> Column:
-    @pandas_udf("array<long>")
-    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = WordHashes()
-        for texts in batches:
-            yield pd.Series([words.shingles(t, size).view(np.int64) for t in texts], dtype=object)
-    return make(text)
-
-
 def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of pairs from how many registers are above, below and equal."""
     above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
@@ -175,17 +150,17 @@ def estimated(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The (a, b) pairs whose sets share at least ``pct`` percent of their union."""
+    """The (a, b) pairs (repeated ids may repeat a pair) whose sets share at least ``pct`` percent of their union."""
     side = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "registers", "hashes")])
     j = pct / 100
     least = j - SLACK * (j * (1 - j) / REGISTERS) ** 0.5
     # A larger set bounds the similarity by the ratio of the sizes.
-    near = (pairs.join(side("b"), F.col("b") == F.col("id_b")).drop("id_b")
+    close = (pairs.join(side("b"), F.col("b") == F.col("id_b")).drop("id_b")
                  .join(side("a"), F.col("a") == F.col("id_a")).drop("id_a")
                  .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * pct)
                  .where(estimated("registers_a", "registers_b", "n_a", "n_b") >= least))
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    return (near.withColumn("_shared", shared)
+    return (close.withColumn("_shared", shared)
                 .where(F.col("_shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("_shared")) * pct)
                 .select("a", "b"))
 
@@ -233,12 +208,11 @@ def with_components(docs: DataFrame, size: int = SHINGLE, pct: int = SIMILARITY_
                         "near-stars")
 
     ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= ID_BROADCAST_ROWS else ids
-    full = docs.select(F.col("doc_id").alias("id"), body.alias("body")).join(wanted, "id", "left_semi")
-    sets = full.select("id", shingle_sets(F.col("body"), size).alias("hashes"), sketch(F.col("body"), size).alias("s"))
-    sets = materialize(sets.where("s.n > 0").select("id", F.col("s.n").alias("n"), F.col("s.signature").alias("signature"),
-                                                    F.col("s.registers").alias("registers"), "hashes")
-                           .dropDuplicates(["id", "signature"]).drop("signature"), "near-sets")
+    full = docs.select(F.col("doc_id").alias("id"), body.alias("body")).join(near(ids, F.lit(ID_BYTES)), "id", "left_semi")
+    sets = full.select("id", sketch(F.col("body"), size, with_set=True).alias("s")).where("s.n > 0")
+    sets = materialize(sets.select("id", "s.*"), "near-sets")
+    if sets.count() > ids.count():                           # rows that repeat an id
+        sets = materialize(sets.dropDuplicates(["id", "signature"]), "near-sets")
 
     links = materialize(confirm(stars, sets, pct), "near-confirmed")
     found = components(links)

@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, one ``opN_<name>`` each.
 
-Every query reads its whole table and returns a full result; ``ORACLES``
-holds the DuckDB twin of each query that SQL can express.
+Every query reads its whole table and returns a full result; the DuckDB twins
+of those that SQL can express are in :mod:`shelfcast.llm.oracles`.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontam, licenses, mixing, near_dup, pii, quality, secret_scan, tokens
+from shelfcast.llm import (decontam, licenses, line_runs, mixing, near_dup, pii, quality, secret_scan,
+                           suffix_dedup, tokens)
 from shelfcast.llm.common import read
 from shelfcast.session import materialize
 
@@ -63,6 +64,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.without_repeated_runs(docs).select(
+        "doc_id", F.col("deduped.n_lines").alias("n_lines"), F.col("deduped.n_removed").alias("n_removed"),
+        F.col("deduped.words_removed").alias("words_removed"),
+        F.sha2(F.coalesce("deduped.text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -72,6 +81,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.with_components(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs).select(
+        "doc_id", F.col("deduped.n_bytes").alias("n_bytes"), F.col("deduped.n_removed").alias("n_removed"),
+        F.col("deduped.n_spans").alias("n_spans"), F.sha2("deduped.kept", 256).alias("kept_sha256"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents"))
     return found.select("doc_id", *[_count("pii", k) for k in pii.KINDS],
@@ -84,9 +100,9 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_benchmark_hits": op4_benchmark_hits,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_personal_data": op10_personal_data,
 }
-
-ORACLES: dict[str, str] = {}

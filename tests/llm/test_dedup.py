@@ -103,3 +103,128 @@ def test_sketch_estimates_and_merges():
         got = joint_estimate(registers(a)[None], registers(b)[None], np.array([size_a]), np.array([size_b]))[0]
         assert abs(got - true) < 0.12
         assert (registers(np.union1d(a, b)) == np.maximum(registers(a), registers(b))).all()
+
+
+def brute_bytes(rows, length=100):
+    """Positions covered by a string that starts earlier; rows equal in id and text are one document."""
+    from collections import defaultdict
+    unique = sorted({(2 ** 63 - 1 if d is None else d, t or "") for d, t in rows},
+                    key=lambda r: (r[0], r[1]))
+    first, result = {}, {}
+    for doc, text in unique:
+        data = text.encode()
+        hit = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if first.setdefault(data[i:i + length], (doc, i)) != (doc, i):
+                hit[i:i + length] = b"\1" * length
+        result[doc, text] = data, hit
+    out = []
+    for d, t in rows:
+        data, hit = result[2 ** 63 - 1 if d is None else d, t or ""]
+        spans = sum(1 for i, x in enumerate(hit) if x and (i == 0 or not hit[i - 1]))
+        kept = bytes(b for b, x in zip(data, hit) if not x)
+        out.append((d, len(data), sum(hit), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeated_bytes(run, documents, folder):
+    wanted = brute_bytes([(d, t) for d, t, _ in documents(folder)])
+    found = run("op9_repeated_bytes", folder, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    assert found == sorted(wanted, key=repr)
+
+
+def test_passages_in_varied_contexts(spark, monkeypatch):
+    """Repeats that start and end anywhere, overlap, and touch a text's ends; small runs and blocks."""
+    from shelfcast.llm import suffix_dedup as sd
+    monkeypatch.setattr(sd, "RUN_ROWS", 50)
+    monkeypatch.setattr(sd, "BLOCK", 700)
+    rng = np.random.default_rng(5)
+    letters = list("abcdefg é")
+    noise = lambda n: "".join(rng.choice(letters, n))
+    passages = [noise(n) for n in (99, 100, 101, 150, 400, 1500)]
+    rows = []
+    for d in range(60):
+        text = ""
+        for _ in range(rng.integers(1, 6)):
+            p = passages[rng.integers(0, len(passages))]
+            a = rng.integers(0, 40)
+            text += p[a:] if rng.random() < 0.5 else p[:len(p) - a]
+            text += noise(int(rng.integers(0, 30)))
+        rows.append((int(rng.integers(0, 10 ** 6)) * 100 + d, text))
+    rows += [(5, "ab" * 400), (6, "ab" * 300), (7, "x" * 1500)]
+    found = sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select(
+        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", "deduped.kept").collect()
+    found = sorted((r[0], r[1], r[2], r[3], hashlib.sha256(bytes(r[4])).hexdigest()) for r in found)
+    assert found == sorted(brute_bytes(rows))
+
+
+def test_loser_tree_merges_and_shares():
+    from shelfcast.llm.suffix_dedup import merge_runs, shared_prefixes
+    rng = np.random.default_rng(2)
+    for k in (1, 2, 3, 7):
+        runs = []
+        for _ in range(k):
+            strings = sorted("".join(rng.choice(list("ab"), rng.integers(1, 9))).encode() for _ in range(rng.integers(1, 60)))
+            runs.append((strings, shared_prefixes(strings).astype(np.uint8).tobytes()))
+        order, shared, strings = merge_runs(runs)
+        assert strings == sorted(s for r in runs for s in r[0])
+        assert [runs[r][0][i] for r, i in order] == strings
+        assert shared == shared_prefixes(strings).tolist()
+
+
+def brute_lines(rows, min_words):
+    """Runs of 1, 2, 4, … lines with an earlier copy; neighbours at one distance form a run."""
+    docs = sorted({(d is None, d or 0, t or "") for d, t in rows})
+    lines, where = [], {}
+    for key in docs:
+        for at, line in enumerate(key[2].split("\n")):
+            if WORD.search(line):
+                lines.append((key, at, line.strip(" \t\n\r\x0b\x0c"), len(WORD.findall(line))))
+        lines.append((key, None, None, 0))                  # between documents
+    gone, depth = set(), 1
+    while depth <= len(lines):
+        first, far = {}, {}
+        for p in range(len(lines) - depth + 1):
+            window = tuple(x[2] for x in lines[p:p + depth])
+            if None not in window:
+                if first.setdefault(window, p) < p:
+                    far[p] = p - first[window]
+        for p in far:
+            if far.get(p - 1) != far[p]:
+                end = p
+                while far.get(end + 1) == far[p]:
+                    end += 1
+                run = range(p, end + depth)
+                if sum(lines[x][3] for x in run) >= min_words:
+                    gone |= set(run)
+        depth *= 2
+    cut = {}
+    for p in gone:
+        cut.setdefault(lines[p][0], {})[lines[p][1]] = lines[p][3]
+    out = []
+    for d, t in rows:
+        mine = cut.get((d is None, d or 0, t or ""), {})
+        all_lines = (t or "").split("\n")
+        kept = "\n".join(x for at, x in enumerate(all_lines) if at not in mine)
+        out.append((d, sum(1 for x in all_lines if WORD.search(x)), len(mine), sum(mine.values()),
+                    hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def test_line_runs(run, documents, folder):
+    wanted = brute_lines([(d, t) for d, t, _ in documents(folder)], 8)
+    found = run("op6_line_dedup", folder, ["doc_id", "n_lines", "n_removed", "words_removed", "kept_sha256"])
+    assert found == sorted(wanted, key=repr)
+
+
+def test_line_runs_of_every_length(spark):
+    from shelfcast.llm.line_runs import without_repeated_runs
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in range(40):
+        rows.append((d, "\n".join("line " + " ".join("xyz"[:rng.integers(1, 4)]) + str(rng.integers(0, 4))
+                                  for _ in range(rng.integers(0, 30)))))
+    found = without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", "deduped.n_lines", "deduped.n_removed", "deduped.words_removed", "deduped.text").collect()
+    found = sorted((*r[:4], hashlib.sha256(r[4].encode()).hexdigest()) for r in map(tuple, found))
+    assert found == sorted(brute_lines(rows, 8))
