@@ -22,9 +22,9 @@ b AS (SELECT item_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM benchmar
 p AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS words
       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM p),
-at AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
+spot AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
-hit AS (SELECT doc_id, i, n, item_id FROM at JOIN p USING (n, words)),
+hit AS (SELECT doc_id, i, n, item_id FROM spot JOIN p USING (n, words)),
 pos AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY ALL),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY ALL)
@@ -44,7 +44,7 @@ _LINE_FAILS = f"""(
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
            FROM documents),
 win AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
@@ -72,7 +72,7 @@ OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
 phrases(label, words, n) AS (VALUES {_PHRASES}),
 templates(k, label, words) AS (VALUES {_TEMPLATES}),
-base AS (SELECT doc_id, label, i - 1 AS at FROM (
+base AS (SELECT doc_id, label, i - 1 AS spot FROM (
            SELECT doc_id, w, label, words, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, phrases)
          WHERE array_to_string(w[i:i + n - 1], ' ') = words),
 block AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(x), '{_ALNUM}')) AS words
@@ -80,7 +80,7 @@ block AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(x), '{_ALNUM}'))
 share AS (SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share
           FROM block b, templates t
           WHERE len(list_intersect(b.words, t.words)) >= ceil({licenses.THRESHOLD} * len(t.words) - 1e-9)),
-n AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word,
+n AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY ALL),
 alls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
          FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM share) GROUP BY ALL),
