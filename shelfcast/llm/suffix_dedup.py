@@ -371,8 +371,7 @@ def removed_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     again = (dealt.groupBy("bucket").applyInPandas(_repeated_hashes, "key long, ordinals binary")
                   .groupBy("key").agg(F.collect_list("ordinals").alias("lists")))
     again = materialize(again, "suffix-anchors")
-    size = F.aggregate("lists", F.lit(32).cast("long"), lambda a, x: a + 16 + F.octet_length(x))
-    chosen = body.join(near(again, size), F.col("doc") == F.col("key")).select("doc", "th", "body", "lists")
+    chosen = body.join(again, F.col("doc") == F.col("key")).select("doc", "th", "body", "lists")
 
     runs = chosen.mapInPandas(_sort_runs(parts), RUN)
     found = runs.groupBy("group").applyInPandas(_merge_range(parts), "doc long, th long, start long, end long")
