@@ -28,9 +28,9 @@ start at anchors, about one byte in 36; nothing is lost.
 Scale: counting, merging and output are dealt by hash; range and bucket
 numbers grow with the corpus bytes, so a task's share stays the same.  Copies
 are folded before the exchange, so a group of any size sends at most one
-suffix per anchor and run.  Survivors and removed spans reach the texts by a
-broadcast while they are small (measured against ``common.BROADCAST_BYTES``), beyond
-that by a join.
+suffix per anchor and run.  The survivors of step 1 reach the texts by a join;
+the removed spans (a few per document) by a broadcast while they are small,
+measured against ``common.BROADCAST_BYTES``, beyond that by a join.
 
 Cases: null and empty text have no bytes; texts under ``LENGTH`` bytes lose
 nothing; rows equal in id and text are one document and get the same result;
