@@ -29,14 +29,18 @@ HEADLINE = (
     "a4_monthly_rollup",            # A4: monthly rollup over the fastseller variant of X1
     "f2_index_categories",          # F2: seven category indexes over X2
     "m2_forest_regressor",          # M2: 20-tree forest fit + scoring
-    "x3_weekly_model",              # X3: 3-depth × 4-fold CV forest
+    "x3_weekly_model",              # X3: 3-depth × 4-fold CV forest over the saved table
+    "s4_upsert_features",           # S4: two upserts of the feature table and the read-back
+    "x4_monthly_model",             # X4: 20-tree forest over the saved monthly table
+    "x5_stock_model",               # X5: cleansing, three indexes, decision tree over the saved table
 )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+                        extra={"spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g")})
     shared_dir(spark)
     QUERIES["x1_product_features"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
     timings = {}

@@ -4,20 +4,21 @@ Strategy
 --------
 The right side of every lookup join here is a *grouped* frame (one row per
 key group), so its size is bounded by the number of groups, not by the
-number of view events.  Broadcast is an explicit, checked decision: callers
-pass the right side's row count (counted after materializing the small
-aggregate, or bounded by a fitted dictionary), and only sides at or below
-the session's broadcast limit are broadcast — then the large left side is
-never shuffled.  Above the limit the join is left to AQE (runtime
-broadcast from measured bytes, else sort-merge with skewed partitions
-split).
-
-For keys known to be hot, :func:`lookup_join` can also salt explicitly:
-left rows get a deterministic salt from a hash of their own columns, the
-right side is replicated once per salt value.  That spreads one hot key
-over ``salt_buckets`` tasks while the replicated side grows only by the
-(small) salt factor.  The salt is a pure function of the row, so a
-recomputed task after an executor loss yields the same assignment.
+number of view events.  Every lookup goes through :func:`lookup_join`, and
+broadcast is an explicit, checked decision: callers pass the right side's
+bytes (measured after materializing the small aggregate, or from a fitted
+dictionary), and only sides within the session's broadcast limit are
+broadcast — then the large left side is never shuffled.  Above the limit
+the join is left to AQE (runtime broadcast from measured bytes, else
+sort-merge with skewed partitions split).
+
+For keys known to be hot, the session conf ``shelfcast.join.saltBuckets``
+also salts every lookup over the limit: left rows get a deterministic salt
+from a hash of their own columns, the right side is replicated once per salt
+value.  That spreads one hot key over the buckets while the replicated side
+grows only by the (small) salt factor.  The salt is a pure function of the
+row, so a recomputed task after an executor loss yields the same
+assignment; rows equal in every column share a salt.
 """
 
 from __future__ import annotations
@@ -38,36 +39,44 @@ VIEW_STAT_COLUMNS = ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreo
                      "sellergrade", "numberofviews", "brand")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                salt_buckets: int | None = None, right_rows: int | None = None) -> DataFrame:
-    """Equi-join a large ``left`` to a grouped ``right`` on ``on``.
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str | tuple[str, str]], how: str = "left",
+                salt_buckets: int | None = None, right_bytes: int | None = None,
+                null_safe: bool = False) -> DataFrame:
+    """Equi-join a large ``left`` to a grouped ``right``; the right side's keys are dropped.
 
-    ``right_rows`` is the right side's exact (or upper-bound) row count when
-    the caller knows it.  At or below the session's broadcast limit the
-    right side is broadcast: the left side is never shuffled, so a hot key
-    costs nothing.  Above it (or when unknown) the join is left to AQE —
-    runtime broadcast from measured size, else sort-merge with skewed
-    partitions split — or salted explicitly with ``salt_buckets`` > 1
-    (default: the session conf ``shelfcast.join.saltBuckets``, off).
+    ``on`` lists key names, or (left, right) pairs of names.  ``right_bytes``
+    is the right side's measured (or upper-bound) size when the caller knows
+    it: within the session's broadcast limit the right side is broadcast and
+    the left side is never shuffled, so a hot key costs nothing.  Above it
+    (or when unknown) the join is left to AQE, or salted with
+    ``salt_buckets`` > 1 (default: the session conf
+    ``shelfcast.join.saltBuckets``, off).  ``null_safe`` lets null keys match.
     """
-    on = list(on)
+    pairs = [(k, k) if isinstance(k, str) else k for k in on]
     spark = left.sparkSession
-    if right_rows is not None and right_rows <= broadcast_limit(spark):
-        return left.join(F.broadcast(right), on, how)
-    if salt_buckets is None:
+    # Names of their own for the right keys: both sides may come from one frame.
+    right = right.withColumnsRenamed({r: f"_on_{i}" for i, (_, r) in enumerate(pairs)})
+    names = [(k, f"_on_{i}") for i, (k, _) in enumerate(pairs)]
+    small = right_bytes is not None and right_bytes <= broadcast_limit(spark)
+    if small:
+        right = F.broadcast(right)
+    elif salt_buckets is None:
         salt_buckets = int(spark.conf.get("shelfcast.join.saltBuckets", "0"))
-    if salt_buckets <= 1:
-        return left.join(right, on, how)
-    salted_left = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+    columns = left.columns
+    if not small and (salt_buckets or 0) > 1:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salt_buckets)))
+        right = right.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        names.append(("_salt", "_salted"))
+    equal = (lambda a, b: F.col(a).eqNullSafe(F.col(b))) if null_safe else (lambda a, b: F.col(a) == F.col(b))
+    cond = reduce(lambda a, b: a & b, [equal(a, b) for a, b in names])
+    joined = left.join(right, cond, how)
+    return joined.select(*columns, *[c for c in right.columns if c not in {b for _, b in names}])
 
 
 def join_view_stats(orders: DataFrame, stats: DataFrame,
                     order_columns: Sequence[str] = ORDER_KEEP_COLUMNS,
                     stat_columns: Sequence[str] = VIEW_STAT_COLUMNS,
-                    salt_buckets: int | None = None, stats_rows: int | None = None) -> DataFrame:
+                    salt_buckets: int | None = None, stats_bytes: int | None = None) -> DataFrame:
     """Orders ⟕ view stats on productid.
 
     The stats are grouped by product *and brand*, so a product viewed under
@@ -76,7 +85,7 @@ def join_view_stats(orders: DataFrame, stats: DataFrame,
     """
     left = orders.select(*order_columns)
     right = stats.select("productid", *[c for c in stat_columns if c != "productid"])
-    joined = lookup_join(left, right, ["productid"], "left", salt_buckets, stats_rows)
+    joined = lookup_join(left, right, ["productid"], "left", salt_buckets, stats_bytes)
     return joined.select(*order_columns, *[c for c in stat_columns if c != "productid"])
 
 
@@ -96,9 +105,9 @@ def one_brand_per_product(stats: DataFrame) -> DataFrame:
 
 def with_relative_brand(df: DataFrame, counts: DataFrame,
                         keys: Sequence[str] = ("relativeprice", "brand"),
-                        counts_rows: int | None = None) -> DataFrame:
+                        counts_bytes: int | None = None) -> DataFrame:
     """Attach the per-(price bucket, brand) count back to every row."""
-    return lookup_join(df, counts, keys, "left", right_rows=counts_rows)
+    return lookup_join(df, counts, keys, "left", right_bytes=counts_bytes)
 
 
 def suffix_columns(df: DataFrame, columns: Sequence[str], suffix: str = "1") -> DataFrame:
@@ -108,29 +117,25 @@ def suffix_columns(df: DataFrame, columns: Sequence[str], suffix: str = "1") ->
 
 def join_view_stats_by_merchant(orders: DataFrame, stats: DataFrame,
                                 keys: Sequence[str] = ("merchantid", "productid", "channel", "sellerid"),
-                                suffix: str = "1", stats_rows: int | None = None) -> DataFrame:
+                                suffix: str = "1", stats_bytes: int | None = None,
+                                salt_buckets: int | None = None) -> DataFrame:
     """Orders ⟕ suffixed merchant-level stats on 4 keys (nulls never match).
 
-    The stats are grouped by 6 keys, so brand × fastseller combinations fan out.
+    The stats are grouped by 6 keys, so brand × fastseller combinations fan
+    out.  The suffixed keys stay in the result (null where nothing matched).
     """
-    if stats_rows is not None and stats_rows <= broadcast_limit(orders.sparkSession):
-        stats = F.broadcast(stats)
-    cond = reduce(lambda a, b: a & b, [orders[k] == stats[f"{k}{suffix}"] for k in keys])
-    return orders.join(stats, cond, "left")
+    kept = stats.withColumns({f"_key_{k}": F.col(f"{k}{suffix}") for k in keys})
+    joined = lookup_join(orders, kept, [(k, f"_key_{k}") for k in keys], "left", salt_buckets, stats_bytes)
+    return joined.select(*orders.columns, *stats.columns)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                   right_rows: int | None = None) -> DataFrame:
+                   right_bytes: int | None = None) -> DataFrame:
     """Equi-join where null keys match each other (``<=>``).
 
     Returns all left columns plus the right side's non-key columns.
     """
-    if right_rows is not None and right_rows <= broadcast_limit(left.sparkSession):
-        right = F.broadcast(right)
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-    right_only = [c for c in right.columns if c not in keys]
-    return left.join(right, cond, how).select(*[left[c] for c in left.columns],
-                                               *[right[c] for c in right_only])
+    return lookup_join(left, right, keys, how, right_bytes=right_bytes, null_safe=True)
 
 
 def pair_join_counts(left: DataFrame, right: DataFrame,

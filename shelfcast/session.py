@@ -6,13 +6,17 @@ Scale notes
   and skewed partitions of a sort-merge join are split (``skewJoin``) so a
   hot key does not land in a single task.
 * No broadcast is chosen from plan estimates.  Jobs broadcast a lookup
-  side after counting it (``measured``) against ``broadcast_limit``; any
-  other join may still become a broadcast at run time, but only when AQE
-  has measured its materialised size.
+  side after measuring its bytes (``measured``) against
+  ``broadcast_limit``; any other join may still become a broadcast at run
+  time, but only when AQE has measured its materialised size.
 * Lineage is cut by writing parquet (``materialize``) into the folder
   named by ``spark.checkpoint.dir`` (a shared, fault-tolerant location on a
-  cluster).  A local folder is only created when the session has none
-  configured, i.e. in tests and local benches.
+  cluster).  A local folder is made only for a local master with none
+  configured, i.e. in tests and local benches; any other master without a
+  folder is an error, since executors would each write to their own disk.
+* A job whose result is committed inside it wraps its work in
+  ``scratch_folder``: what it materializes goes to a folder of its own that
+  is deleted at the end.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,33 +47,35 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Largest lookup side (bytes in memory) that jobs broadcast after measuring
+# it.  Override with the session conf ``shelfcast.broadcast.maxBytes``.
+BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+# Rows in memory take up to so many times their bytes in compressed parquet.
+MEMORY_PER_FILE_BYTE = 4
 
-# Largest lookup side (rows) that jobs broadcast after counting it; a grouped
-# lookup row is ~100 bytes, so the default keeps broadcasts near 100 MB.
-# Override with the session conf ``shelfcast.broadcast.maxRows``.
-BROADCAST_MAX_ROWS = 1_000_000
+_scratch: ContextVar[str | None] = ContextVar("shelfcast_scratch", default=None)
 
 
 def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
+    return int(spark.conf.get("shelfcast.broadcast.maxBytes", str(BROADCAST_MAX_BYTES)))
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "shelfcast", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` or ``local[*]``; on a
-    cluster pass ``None`` and let spark-submit decide.
+    A master is set only when the caller names one (or ``BENCH_CPUS`` asks
+    for local threads); otherwise the one of the submission holds.  Memory
+    is the caller's or the submission's choice, too.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None:
-        cpus = os.environ.get("BENCH_CPUS")
-        master = f"local[{cpus}]" if cpus else "local[*]"
-    builder = builder.master(master)
-    if master.startswith("local"):
-        builder = (builder.config("spark.driver.host", "127.0.0.1")
-                   .config("spark.driver.bindAddress", "127.0.0.1")
-                   .config("spark.driver.memory", "16g"))
+    if master is None and os.environ.get("BENCH_CPUS"):
+        master = f"local[{os.environ['BENCH_CPUS']}]"
+    if master is not None:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = (builder.config("spark.driver.host", "127.0.0.1")
+                       .config("spark.driver.bindAddress", "127.0.0.1"))
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions is not None:
@@ -78,23 +87,78 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def work_folder(master: str, configured: str | None) -> str:
+    """The folder for intermediate data; a fresh local one only for a local master with none configured."""
+    if configured:
+        return configured
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master!r} intermediate tables need a "
+                           "folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shelfcast-ckpt-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Return the shared folder used for checkpoints and written tables.
 
     Reads the session's checkpoint directory (``spark.checkpoint.dir`` or
-    one set earlier).  Only when none is configured — local tests and
-    benches — a fresh local folder is created and registered.
+    one set earlier); see ``work_folder`` for a session without one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="shelfcast-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(configured)
+    folder = work_folder(sc.master, sc.getConf().get("spark.checkpoint.dir"))
+    sc.setCheckpointDir(folder)
     # setCheckpointDir appends a per-application subfolder.
-    return sc.getCheckpointDir() or configured
+    return sc.getCheckpointDir() or folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.exists(hadoop_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path``."""
+    fs, hadoop_path = _file_system(spark, path)
+    return int(fs.getContentSummary(hadoop_path).getLength())
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables materialized inside go to one folder, deleted at the end.
+
+    Only for work whose result is committed elsewhere (or collected) inside:
+    a lazy frame that leaves the block would lose its files.
+    """
+    outer = _scratch.get()
+    if outer is not None:                      # part of a larger job
+        yield outer
+        return
+    path = f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        delete_path(spark, path)
+
+
+def _write(df: DataFrame, name: str) -> str:
+    folder = _scratch.get() or shared_dir(df.sparkSession).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -108,17 +172,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     metadata (nominal attributes, vector sizes) is kept in the parquet
     schema.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(_write(df, name))
 
 
 def measured(df: DataFrame, name: str = "lookup") -> tuple[DataFrame, int]:
-    """Materialize a (grouped, small-ish) frame and return it with its exact row count.
+    """Materialize a (grouped, small-ish) frame and return it with the bytes it takes in memory.
 
-    The count comes from the written parquet footers, so the size check
-    behind a broadcast decision costs no extra pass over the source.
+    The size comes from the written files, times ``MEMORY_PER_FILE_BYTE``,
+    so the check behind a broadcast decision costs no extra pass.
     """
-    out = materialize(df, name)
-    return out, out.count()
+    spark = df.sparkSession
+    path = _write(df, name)
+    return spark.read.parquet(path), written_bytes(spark, path) * MEMORY_PER_FILE_BYTE

@@ -18,7 +18,7 @@ VIEW_SCHEMA = ("productid string, sellerid string, merchantid string, year int,
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session(master="local[*]", shuffle_partitions=8)
+    session = get_session(master="local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     shared_dir(session)
     yield session
 

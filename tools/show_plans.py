@@ -34,7 +34,7 @@ def summary(plan: str) -> str:
 def main(argv: list[str]) -> None:
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/")] or list(DEFAULT)
-    spark = get_session(shuffle_partitions=16)
+    spark = get_session(master="local[*]", shuffle_partitions=16, extra={"spark.driver.memory": "8g"})
     shared_dir(spark)
     for name in names:
         df = QUERIES[name](spark, sf_dir)
