@@ -5,8 +5,8 @@ so Catalyst sees one declarative plan per job: scans are pruned and filtered
 at the parquet reader, aggregations run partial + final, and join strategies
 are chosen at run time by adaptive query execution from measured sizes.
 
-Subpackages
------------
+Modules
+-------
 sources    readers for the driver tables, the derived order/view summaries,
            LIBSVM files, and the feature-table sink (keyed upsert).
 functions  column expressions (scores, price buckets, flags, splits,
@@ -14,7 +14,7 @@ functions  column expressions (scores, price buckets, flags, splits,
 operators  the relational and ML building blocks (cleansing, aggregates,
            joins, rollups, indexing, vectors, learners, metrics).
 plans      end-to-end jobs composed from the operators.
-streaming  the incremental (micro-batch) form of the feature-table sink.
+fixed      input and output contracts of the jobs (column lists, types, keys).
 """
 
 from shelfcast.session import get_session, shared_dir, materialize

@@ -7,47 +7,29 @@ size — not input size — drives the exchange.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MONTHLY_KEYS = ("productid", "sellerid", "year", "month")
-WEEKLY_KEYS = ("productid", "sellerid", "year", "month", "week")   # month stays: split weeks
+from shelfcast.fixed import (LABEL_LIMIT, MONTHLY_KEYS, MONTHLY_MEANS, MONTHLY_SUMS, WEEKLY_KEYS, WEEKLY_MEANS,
+                             WEEKLY_SUMS)
 
-MONTHLY_MEANS = ("brandindexed", "disprice", "fastsellerindexed", "finalprice", "price",
-                 "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo",
-                 "sellergrade", "stock", "relativeprice")
-WEEKLY_MEANS = ("brandindexed", "disprice", "finalprice", "price", "scores", "relativebrand",
-                "sellergrade", "stock", "relativeprice")
 
-LABEL_LIMIT = 20
+def _rollup(po: DataFrame, keys: Sequence[str], means: Sequence[str],
+            sums: Sequence[tuple[str, str]]) -> DataFrame:
+    return po.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in means],
+                                 *[F.sum(c).alias(out) for c, out in sums])
 
 
 def monthly_rollup(po: DataFrame) -> DataFrame:
     """A4: per (product, seller, year, month): summed views and units, 13 means."""
-    return po.groupBy(*MONTHLY_KEYS).agg(
-        *[F.avg(c).alias(c) for c in MONTHLY_MEANS[:4]],
-        F.sum("numberofviews").alias("numberofviews"),
-        *[F.avg(c).alias(c) for c in MONTHLY_MEANS[4:5]],
-        F.sum("productcount").alias("productcount"),
-        *[F.avg(c).alias(c) for c in MONTHLY_MEANS[5:]],
-    )
+    return _rollup(po, MONTHLY_KEYS, MONTHLY_MEANS, MONTHLY_SUMS)
 
 
 def weekly_rollup(po: DataFrame) -> DataFrame:
     """A5: per (product, seller, year, month, week): units → label, views summed, 9 means."""
-    return po.groupBy(*WEEKLY_KEYS).agg(
-        F.avg("brandindexed").alias("brandindexed"),
-        F.avg("disprice").alias("disprice"),
-        F.avg("finalprice").alias("finalprice"),
-        F.sum("numberofviews").alias("numberofviews"),
-        F.avg("price").alias("price"),
-        F.sum("productcount").alias("label"),
-        F.avg("scores").alias("scores"),
-        F.avg("relativebrand").alias("relativebrand"),
-        F.avg("sellergrade").alias("sellergrade"),
-        F.avg("stock").alias("stock"),
-        F.avg("relativeprice").alias("relativeprice"),
-    )
+    return _rollup(po, WEEKLY_KEYS, WEEKLY_MEANS, WEEKLY_SUMS)
 
 
 def having(df: DataFrame, condition: str = f"label < {LABEL_LIMIT}") -> DataFrame:

@@ -61,16 +61,16 @@ def cols(names: Sequence[str], prefix: str = "") -> str:
 # --------------------------------------------------------------------------- summaries
 
 cte("os", """
-SELECT 'P' || CAST(l_partkey % 110 AS VARCHAR) AS productid,
-       'S' || CAST(l_suppkey % 4 AS VARCHAR) AS sellerid,
-       'M' || CAST(l_suppkey % 2 AS VARCHAR) AS merchantid,
+SELECT CASE WHEN l_orderkey % 37 = 0 THEN '' ELSE 'P' || CAST(l_partkey % 110 AS VARCHAR) END AS productid,
+       CASE WHEN l_orderkey % 31 = 0 THEN '' ELSE 'S' || CAST(l_suppkey % 4 AS VARCHAR) END AS sellerid,
+       CASE WHEN l_orderkey % 5 <> 0 THEN 'M' || CAST(l_suppkey % 2 AS VARCHAR) END AS merchantid,
        CAST(year(o_orderdate) AS INTEGER) AS year,
        CAST(month(o_orderdate) AS INTEGER) AS month,
        CAST(weekofyear(o_orderdate) AS INTEGER) AS week,
        CAST(day(o_orderdate) AS INTEGER) AS day,
        CASE WHEN l_orderkey % 7 = 0 THEN '' WHEN l_orderkey % 11 = 0 THEN NULL
             ELSE o_orderpriority END AS attrs,
-       CASE WHEN l_returnflag = 'R' THEN 'mobile_web' WHEN l_returnflag = 'A' THEN 'mobile'
+       CASE WHEN l_orderkey % 29 = 0 THEN '' WHEN l_returnflag = 'R' THEN 'mobile_web' WHEN l_returnflag = 'A' THEN 'mobile'
             ELSE 'web' END AS channel,
        CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS price,
        l_extendedprice / l_quantity * (1 - l_discount) AS disprice,
@@ -84,14 +84,14 @@ cte("vs", """
 SELECT 'P' || CAST(k AS VARCHAR) AS productid,
        'S' || CAST(user_id % 4 AS VARCHAR) AS sellerid,
        CASE WHEN event_id % 19 = 0 THEN NULL ELSE 'M' || CAST(user_id % 2 AS VARCHAR) END AS merchantid,
-       CAST(year(ts) AS INTEGER) AS year,
-       CAST(month(ts) AS INTEGER) AS month,
-       CAST(weekofyear(ts) AS INTEGER) AS week,
-       CAST(day(ts) AS INTEGER) AS day,
-       CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'Brand#' || CAST(k % 25 AS VARCHAR) END AS brand,
+       CAST(year(view_day) AS INTEGER) AS year,
+       CAST(month(view_day) AS INTEGER) AS month,
+       CAST(weekofyear(view_day) AS INTEGER) AS week,
+       CAST(day(view_day) AS INTEGER) AS day,
+       CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN '' ELSE 'Brand#' || CAST(k % 25 AS VARCHAR) END AS brand,
        CASE WHEN user_id % 3 = 0 THEN 'mobile_web' WHEN user_id % 3 = 1 THEN 'mobile'
             ELSE 'web' END AS channel,
-       CASE WHEN event_id % 5 = 0 THEN 'yes' ELSE 'no' END AS fastseller,
+       CASE WHEN event_id % 83 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'yes' ELSE 'no' END AS fastseller,
        value AS price,
        value AS disprice,
        CAST(1 AS INTEGER) AS eventcount,
@@ -102,7 +102,8 @@ SELECT 'P' || CAST(k AS VARCHAR) AS productid,
        CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(event_id % 3 AS INTEGER) END AS scoretwo,
        CAST(event_id % 2 AS INTEGER) AS scoreone,
        CAST(user_id % 10 AS INTEGER) AS sellergrade
-FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+             DATE '1995-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) AS view_day FROM events)""")
 
 # --------------------------------------------------------------------------- product features
 
@@ -319,10 +320,13 @@ oracle("x1_product_features_monthly", "SELECT * FROM x1m", "x1m")
 oracle("a8_row_count", "SELECT count(*) AS n FROM x1", "x1")
 oracle("l1_preview", "SELECT * FROM x1 ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in PRODUCT_ORDER)
        + " LIMIT 20", "x1")
-oracle("s4_upsert_features",
-       "SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY productid, year, month, week, day "
-       "ORDER BY " + ", ".join(f"{c} DESC NULLS LAST" for c in PRODUCT_ORDER[5:]) + ") AS _rn FROM x1) "
-       "WHERE _rn = 1", "x1")
+def collapsed(source: str, columns: Sequence[str], keys: Sequence[str]) -> str:
+    """One row per key, the greatest other columns first: what a save leaves."""
+    rest = [c for c in columns if c not in keys]
+    return (f"SELECT {cols(columns)} FROM (SELECT *, row_number() OVER (PARTITION BY {cols(keys)} ORDER BY "
+            + ", ".join(f"{c} DESC NULLS LAST" for c in rest) + f") AS _rn FROM {source}) WHERE _rn = 1")
+
+
 oracle("a5_weekly_rollup", rounded("weekly_raw", WEEKLY_MEANS), "weekly_raw")
 oracle("p3_having", rounded("weekly", WEEKLY_MEANS), "weekly")
 oracle("p12_having_count", "SELECT count(*) AS n FROM weekly_raw WHERE label < 10", "weekly_raw")
@@ -448,3 +452,80 @@ oracle("f4_index_vector", " UNION ALL ".join(
     "FROM weekly" for i, e in enumerate(WEEKLY_FEATURE_SQL)), "weekly")
 oracle("s3_read_libsvm", ORACLES["f3_assemble_weekly"])
 oracle("p13_named_prediction", f"SELECT {Q('prediction')} AS pdecisiontree FROM tree_pred", "tree_pred")
+
+# --------------------------------------------------------------------------- jobs over the saved tables
+
+cte("x1_saved", collapsed("x1", PRODUCT_ORDER, PRODUCT_ORDER[:5]), ["x1"])
+cte("x1m_saved", collapsed("x1m", PRODUCT_ORDER + MONTHLY_EXTRA, PRODUCT_ORDER[:5]), ["x1m"])
+cte("weekly_saved", CTES["weekly_raw"].replace(" FROM x1 ", " FROM x1_saved "), ["x1_saved"])
+cte("monthly_saved", CTES["monthly_raw"].replace(" FROM x1m ", " FROM x1m_saved "), ["x1m_saved"])
+oracle("a5_weekly_rollup_saved", rounded("weekly_saved", WEEKLY_MEANS), "weekly_saved")
+oracle("a4_monthly_rollup_saved", rounded("monthly_saved", MONTHLY_MEANS), "monthly_saved")
+
+cte("x2_saved", collapsed("x2", X2_COLS, STOCK_CLASS_KEYS), ["x2"])
+cte("x2_saved_clean", CTES["x2_clean"].replace(" FROM x2", " FROM x2_saved"), ["x2_saved"])
+_VECTOR_INDEXES = [(c, o) for c, o in STOCK_INDEXED if o in STOCK_FEATURES]
+for _c, _o in _VECTOR_INDEXES:
+    cte(f"dict_saved_{_c}", rank_dict("x2_saved_clean", _c, _o), ["x2_saved_clean"])
+cte("x2_saved_indexed", "SELECT x.*, " + ", ".join(f"d_{c}.{o}" for c, o in _VECTOR_INDEXES) + " FROM x2_saved_clean x "
+    + " ".join(f"LEFT JOIN dict_saved_{c} d_{c} ON CAST(x.{c} AS VARCHAR) = d_{c}._lbl" for c, _ in _VECTOR_INDEXES),
+    ["x2_saved_clean"] + [f"dict_saved_{c}" for c, _ in _VECTOR_INDEXES])
+oracle("x5_stock_dataset_saved", "SELECT CAST(stock AS DOUBLE) AS label, "
+       + feature_columns([Q(c) if c in MERCHANT_ROUND else c for c in STOCK_FEATURES]) + " FROM x2_saved_indexed",
+       "x2_saved_indexed")
+
+
+def holdout(source: str, label: str, keys: str) -> str:
+    """Rows and label moments of the test part of a job."""
+    bucket = md5_bucket(keys.split(", "))
+    return (f"SELECT count(*) AS n, sum(label) AS sum_label, sum(label * label) AS sum_label2, min(label) AS min_label, "
+            f"max(label) AS max_label, count(*) AS n_predicted FROM (SELECT CAST({label} AS DOUBLE) AS label "
+            f"FROM {source} WHERE {bucket} >= 70)")
+
+
+cte("weekly_saved_small", "SELECT * FROM weekly_saved WHERE label < 20", ["weekly_saved"])
+oracle("x3_weekly_holdout", holdout("weekly_saved_small", "label", WEEKLY_KEYS), "weekly_saved_small")
+oracle("x4_monthly_holdout", holdout("monthly_saved", "productcount", MONTHLY_KEYS), "monthly_saved")
+
+# --------------------------------------------------------------------------- pipelines, scoring, model reports
+
+oracle("m6_pipeline", ONE_FEATURE_PRED, "tree_pred")
+oracle("m9_score", ONE_FEATURE_PRED, "tree_pred")
+# A tree over k separable values has k leaves.  Of up to four values the first split is the one that
+# lowers the squared error most; a middle split of four gives depth 2, an outer one depth 3.
+cte("tree_values", "SELECT row_number() OVER (ORDER BY relativeprice) AS i, count(*) OVER () AS k, sum(label) AS s, "
+                   "count(*) AS n FROM x1_train GROUP BY relativeprice", ["x1_train"])
+cte("tree_splits", "SELECT a.i, any_value(a.k) AS k, sum(b.s) FILTER (b.i <= a.i) ** 2 / sum(b.n) FILTER (b.i <= a.i) "
+                   "+ sum(b.s) FILTER (b.i > a.i) ** 2 / sum(b.n) FILTER (b.i > a.i) AS gain "
+                   "FROM tree_values a, tree_values b WHERE a.i < a.k GROUP BY a.i", ["tree_values"])
+oracle("m14_tree_report", "SELECT 0 AS tree_id, CAST(CASE WHEN k <= 3 THEN k - 1 WHEN arg_max(i, gain) = 2 THEN 2 ELSE 3 END "
+       "AS INTEGER) AS depth, CAST(2 * k - 1 AS INTEGER) AS num_nodes, 1.0::DOUBLE AS weight, 0 AS feature, "
+       "1.0::DOUBLE AS importance FROM tree_splits GROUP BY k", "tree_splits")
+
+cte("lin_residuals", "SELECT label, label - (my - slope * mx + slope * relativeprice) AS e FROM x1_train, lin_fit",
+    ["x1_train", "lin_fit"])
+oracle("m4_linear_summary", f"SELECT {Q('sqrt(avg(e * e))')} AS rmse, "
+       f"{Q('1.0 - sum(e * e) / (count(*) * var_pop(label))')} AS r2 FROM lin_residuals", "lin_residuals")
+oracle("m4_linear_residuals", f"SELECT {Q('e')} AS residual, count(*) AS n FROM lin_residuals GROUP BY 1", "lin_residuals")
+
+
+def indexed_values(limit: int) -> str:
+    """Vector indexing: a feature of at most ``limit`` values becomes the rank of its value, zero first."""
+    names = [f"f{i:02d}" for i in range(len(WEEKLY_FEATURE_SQL))]
+    base = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in zip(names, WEEKLY_FEATURE_SQL))
+    counts = ", ".join(f"count(DISTINCT {n}) AS k_{n}" for n in names)
+    ranks = ", ".join(f"dense_rank() OVER (ORDER BY {n} <> 0.0, {n}) - 1 AS r_{n}" for n in names)
+    picked = ", ".join(f"{Q(f'CASE WHEN k_{n} <= {limit} THEN CAST(r_{n} AS DOUBLE) ELSE {n} END')} AS {n}" for n in names)
+    return (f"SELECT label, {picked} FROM (SELECT *, {ranks} FROM (SELECT CAST(label AS DOUBLE) AS label, {base} "
+            f"FROM weekly)), (SELECT {counts} FROM (SELECT {base} FROM weekly))")
+
+
+for _n in (4, 20):
+    oracle(f"f4_indexed_values_{_n}", indexed_values(_n), "weekly")
+
+# --------------------------------------------------------------------------- upsert
+
+# Keys of bucket 40 and above come (again) with the second batch, whose stock values are changed.
+cte("x1_upserted", "SELECT * REPLACE (CASE WHEN bucket >= 40 THEN stock + 10.0 ELSE stock END AS stock) FROM x1_split",
+    ["x1_split"])
+oracle("s4_upsert_features", collapsed("x1_upserted", PRODUCT_ORDER, PRODUCT_ORDER[:5]), "x1_upserted")

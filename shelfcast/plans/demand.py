@@ -15,21 +15,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions.columns import cast_label
-from shelfcast.operators.learners import cross_validate, forest_regressor, make_pipeline, param_grid
+from shelfcast.fixed import (LABEL_LIMIT, MONTHLY_FEATURES, MONTHLY_KEYS, WEEKLY_FEATURES, WEEKLY_KEYS)
+from shelfcast.functions.columns import cast_label, key_bucket
+from shelfcast.operators.learners import check_bins, cross_validate, forest_regressor, make_pipeline, param_grid
 from shelfcast.operators.metrics import regression_metrics
-from shelfcast.operators.rollups import LABEL_LIMIT, having, monthly_rollup, weekly_rollup
+from shelfcast.operators.rollups import having, monthly_rollup, weekly_rollup
 from shelfcast.operators.vectors import assemble, fit_vector_indexer, split
 from shelfcast.session import materialize
 
-WEEKLY_FEATURES = ("brandindexed", "disprice", "finalprice", "numberofviews", "price",
-                   "relativebrand", "relativeprice", "scores", "sellergrade", "stock")
-MONTHLY_FEATURES = ("brandindexed", "disprice", "fastsellerindexed", "finalprice", "numberofviews",
-                    "price", "scorefive", "scorefour", "scorethree", "scoretwo", "scoreone",
-                    "sellergrade", "stock", "relativeprice")
-WEEKLY_KEYS = ("productid", "sellerid", "year", "month", "week")
-MONTHLY_KEYS = ("productid", "sellerid", "year", "month")
-
 # Fixed model settings of the two jobs.
 WEEKLY_MAX_CATEGORIES = 40
 WEEKLY_MAX_BINS = 40          # ≥ max categories (a 40-category feature needs 40 bins)
@@ -69,12 +62,15 @@ def weekly_model(po: DataFrame, seed: int = 7, leaky: bool = False, parallelism:
     """
     data = materialize(weekly_dataset(po, keep_keys=True))
     indexer = fit_vector_indexer(data, "features", "indexedfeatures", WEEKLY_MAX_CATEGORIES)
+    # Folds are a property of the row key, like the split: the same rows meet however they are partitioned.
+    data = data.withColumn("_fold", key_bucket(WEEKLY_KEYS, WEEKLY_FOLDS, seed).cast("int"))
     train, test = split(data, WEEKLY_KEYS, 0.7)
+    check_bins(WEEKLY_MAX_BINS, WEEKLY_MAX_CATEGORIES)
     forest = forest_regressor("label", "indexedfeatures", maxBins=WEEKLY_MAX_BINS, seed=seed)
     pipeline = make_pipeline([indexer, forest])
     grid = param_grid(forest, {"maxDepth": list(WEEKLY_DEPTH_GRID)})
     model, _ = cross_validate(data if leaky else train, pipeline, grid, "label", folds=WEEKLY_FOLDS,
-                              seed=seed, parallelism=parallelism)
+                              fold_col="_fold", seed=seed, parallelism=parallelism)
     predictions = model.transform(test)
     return ModelRun(model, predictions, regression_metrics(predictions, "label"))
 

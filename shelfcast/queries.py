@@ -9,11 +9,15 @@ library functions themselves return full precision.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.fixed import (MERCHANT_ORDER_KEYS, MONTHLY_FEATURES, MONTHLY_KEYS, MONTHLY_MEANS,
+                             PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, STOCK_FEATURES, WEEKLY_FEATURES,
+                             WEEKLY_MEANS)
 from shelfcast.functions.columns import (cast_label, exp_prediction, key_bucket, log_label,
                                          named_prediction, quantize, quantize_columns,
                                          with_relative_price, with_scores, with_stock_flag)
@@ -24,34 +28,29 @@ from shelfcast.operators.clean import fill_numeric, fill_string, replace_blank
 from shelfcast.operators.indexing import index_category
 from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_view_stats_by_merchant,
                                        pair_join_counts, with_relative_brand)
-from shelfcast.operators.learners import (cross_validate, fit, forest_regressor, gbt_regressor,
+from shelfcast.operators.learners import (cross_validate, feature_importances, fit, forest_regressor, gbt_regressor,
                                           last_model, linear_regressor, linear_summary, make_pipeline,
-                                          param_grid, tree_classifier, tree_regressor, tree_report)
+                                          param_grid, score, tree_classifier, tree_regressor, tree_report)
 from shelfcast.operators.metrics import classification_metrics, nrmse, regression_metrics
 from shelfcast.operators.rollups import having, having_count, monthly_rollup, weekly_rollup
 from shelfcast.operators.vectors import (assemble, fit_vector_indexer, vector_category_report,
                                          vector_columns, with_split)
-from shelfcast.plans.demand import (MONTHLY_FEATURES, MONTHLY_KEYS, WEEKLY_FEATURES,
-                                    WEEKLY_MAX_CATEGORIES, monthly_dataset, monthly_model,
-                                    weekly_dataset, weekly_model)
+from shelfcast.plans.demand import (MONTHLY_MAX_CATEGORIES, WEEKLY_MAX_CATEGORIES, monthly_dataset,
+                                    monthly_model, weekly_dataset, weekly_model)
 from shelfcast.plans.libsvm import libsvm_model
 from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
                                                merchant_stats)
 from shelfcast.plans.product_features import joined_view_features, product_features
-from shelfcast.plans.stock import STOCK_FEATURES, indexed_stock_table, stock_dataset, stock_model
+from shelfcast.plans.stock import (STOCK_MAX_CATEGORIES, indexed_stock_table, stock_classifier,
+                                   stock_dataset, stock_model)
 from shelfcast.session import materialize, measured, shared_dir
-from shelfcast.sources.sinks import PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, read_features, write_features
+from shelfcast.sources.sinks import read_features, write_features
 from shelfcast.sources.summaries import order_summary, view_summary
 from shelfcast.sources.tables import read_libsvm, write_libsvm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-WEEKLY_MEANS = ("brandindexed", "disprice", "finalprice", "price", "scores", "relativebrand",
-                "sellergrade", "stock", "relativeprice")
-MONTHLY_MEANS = ("brandindexed", "disprice", "fastsellerindexed", "finalprice", "price",
-                 "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo", "sellergrade",
-                 "stock", "relativeprice")
 MERCHANT_SUFFIXED_MEANS = tuple(f"{c}1" for c in MERCHANT_VIEW_MEANS)
 MERCHANT_ROUND = ("price", "scorefive", "scorefour", "scoreone", "scorethree", "scoretwo")
 X1_KEY = ("productid", "year", "month", "week", "day")
@@ -88,6 +87,25 @@ def _x2(spark, d):
     return merchant_features(_orders(spark, d), _views(spark, d))
 
 
+def _saved(spark, df, keys):
+    """Save to a new feature table and read it back: keys collapse, as on the jobs' real sink."""
+    root = f"{shared_dir(spark).rstrip('/')}/features_{uuid.uuid4().hex}"
+    write_features(df, root, keys)
+    return read_features(spark, root)
+
+
+def _x1_saved(spark, d):
+    return _saved(spark, _x1(spark, d), PRODUCT_ORDER_KEYS)
+
+
+def _x1_monthly_saved(spark, d):
+    return _saved(spark, _x1_monthly(spark, d), PRODUCT_ORDER_KEYS)
+
+
+def _x2_saved(spark, d):
+    return _saved(spark, _x2(spark, d), MERCHANT_ORDER_KEYS)
+
+
 def _filled(spark, d):
     return joined_view_features(_orders(spark, d), _views(spark, d))
 
@@ -109,14 +127,20 @@ def s2_projected_view_scan(spark, d):
     return _views(spark, d).select(*VIEW_SCAN_COLUMNS)
 
 
+UPSERT_FIRST_BELOW = 70      # key buckets (of 100) that the first batch holds
+UPSERT_SECOND_FROM = 40      # and the second, whose stock values are changed
+UPSERT_STOCK_CHANGE = 10.0
+
+
 @query("s4_upsert_features")
 def s4_upsert_features(spark, d):
-    """Write the feature table twice (second write is an idempotent upsert) and read it back."""
-    import uuid
-    root = f"{shared_dir(spark).rstrip('/')}/product_order_{uuid.uuid4().hex[:8]}"
-    x1 = _x1(spark, d)
-    write_features(x1, root, PRODUCT_ORDER_KEYS)
-    write_features(x1, root, PRODUCT_ORDER_KEYS)
+    """Two batches that share some keys, the second with other values: its rows win, others stay."""
+    root = f"{shared_dir(spark).rstrip('/')}/product_order_{uuid.uuid4().hex}"
+    x1 = materialize(_x1(spark, d).withColumn("_bucket", key_bucket(X1_KEY, 100)), "upsert-source")
+    first = x1.where(F.col("_bucket") < UPSERT_FIRST_BELOW).drop("_bucket")
+    second = x1.where(F.col("_bucket") >= UPSERT_SECOND_FROM).drop("_bucket")
+    write_features(first, root, PRODUCT_ORDER_KEYS)
+    write_features(second.withColumn("stock", F.col("stock") + UPSERT_STOCK_CHANGE), root, PRODUCT_ORDER_KEYS)
     return read_features(spark, root).select(*PRODUCT_ORDER_CONTRACT)
 
 
@@ -206,6 +230,17 @@ def a5_weekly_rollup(spark, d):
     return quantize_columns(weekly_rollup(_x1(spark, d)), WEEKLY_MEANS)
 
 
+@query("a5_weekly_rollup_saved")
+def a5_weekly_rollup_saved(spark, d):
+    """X1 → S4 → A5: the rollup as the weekly job runs it, over the saved table."""
+    return quantize_columns(weekly_rollup(_x1_saved(spark, d)), WEEKLY_MEANS)
+
+
+@query("a4_monthly_rollup_saved")
+def a4_monthly_rollup_saved(spark, d):
+    return quantize_columns(monthly_rollup(_x1_monthly_saved(spark, d)), MONTHLY_MEANS)
+
+
 @query("p3_having")
 def p3_having(spark, d):
     return quantize_columns(having(weekly_rollup(_x1(spark, d))), WEEKLY_MEANS)
@@ -276,8 +311,8 @@ def j4_join_null_safe(spark, d):
     """
     keys = ("merchantid", "productid", "year", "month", "week", "day")
     stats = view_stats(_views(spark, d), keys, count_col="channel").withColumnRenamed("sellergrade", "sellergrade1")
-    stats, rows = measured(stats, "day-stats")
-    return quantize_columns(join_null_safe(_orders(spark, d), stats, keys, "left", rows), NULL_SAFE_MEANS)
+    stats, size = measured(stats, "day-stats")
+    return quantize_columns(join_null_safe(_orders(spark, d), stats, keys, "left", size), NULL_SAFE_MEANS)
 
 
 @query("j5_pair_join_counts")
@@ -307,6 +342,12 @@ def x5_stock_dataset(spark, d):
     return _rounded_vector(stock_dataset(_x2(spark, d)), STOCK_FEATURES, MERCHANT_ROUND)
 
 
+@query("x5_stock_dataset_saved")
+def x5_stock_dataset_saved(spark, d):
+    """X2 → S4 → X5's dataset: keys collapse on save, then the cleansing and the indexes."""
+    return _rounded_vector(stock_dataset(_x2_saved(spark, d)), STOCK_FEATURES, MERCHANT_ROUND)
+
+
 @query("f3_assemble_weekly")
 def f3_assemble_weekly(spark, d):
     return _rounded_vector(weekly_dataset(_x1(spark, d)), WEEKLY_FEATURES, WEEKLY_MEANS)
@@ -332,9 +373,9 @@ def f6_split_40_60(spark, d):
 # ---------------------------------------------------------------- learners on one feature (exact oracles)
 #
 # With the single feature ``relativeprice`` (4 distinct values) a regression
-# tree separates every value, so tree, forest without bootstrap and a
-# one-iteration GBT all predict the train mean of the label per value —
-# a closed form SQL can check exactly.
+# tree separates every value, so tree, forest without bootstrap and a GBT
+# (whose later trees fit zero residuals) all predict the train mean of the
+# label per value — a closed form SQL can check exactly.
 
 ONE_FEATURE_SEED = 7
 
@@ -366,7 +407,7 @@ def m2_forest_regressor(spark, d):
 
 @query("m3_gbt_regressor")
 def m3_gbt_regressor(spark, d):
-    return _fit_one_feature(spark, d, gbt_regressor("label", "features", maxIter=1, seed=ONE_FEATURE_SEED))
+    return _fit_one_feature(spark, d, gbt_regressor("label", "features", seed=ONE_FEATURE_SEED))
 
 
 def _tree_predictions(spark, d):
@@ -375,6 +416,41 @@ def _tree_predictions(spark, d):
     return model.transform(data.where(F.col("split") == "test"))
 
 
+@query("m6_pipeline")
+def m6_pipeline(spark, d):
+    """A fitted vector indexer and a tree as one pipeline."""
+    data = _one_feature(spark, d)
+    indexer = fit_vector_indexer(data, "features", "indexedfeatures", MONTHLY_MAX_CATEGORIES)
+    tree = tree_regressor("label", "indexedfeatures", seed=ONE_FEATURE_SEED)
+    model = make_pipeline([indexer, tree]).fit(data.where(F.col("split") == "train"))
+    pred = model.transform(data.where(F.col("split") == "test"))
+    return pred.select(*X1_KEY, "relativeprice", "label", quantize("prediction").alias("prediction"))
+
+
+def _one_feature_tree(spark, d):
+    data = _one_feature(spark, d)
+    return data, fit(data.where(F.col("split") == "train"),
+                     [tree_regressor("label", "features", seed=ONE_FEATURE_SEED)])
+
+
+@query("m9_score")
+def m9_score(spark, d):
+    data, model = _one_feature_tree(spark, d)
+    pred = score(model, data.where(F.col("split") == "test"))
+    return pred.select(*X1_KEY, "relativeprice", "label", quantize("prediction").alias("prediction"))
+
+
+@query("m14_tree_report")
+def m14_tree_report(spark, d):
+    """Depth, nodes and the importance of each feature of the one-feature tree."""
+    _, model = _one_feature_tree(spark, d)
+    report = spark.createDataFrame(tree_report(model),
+                                   "tree_id int, depth int, num_nodes int, weight double, structure string")
+    importances = spark.createDataFrame([(0, *row) for row in feature_importances(model)],
+                                        "tree_id int, feature int, importance double")
+    return report.drop("structure").join(importances, "tree_id")
+
+
 @query("m10_regression_metrics")
 def m10_regression_metrics(spark, d):
     m = regression_metrics(_tree_predictions(spark, d), "label")
@@ -443,52 +519,82 @@ def f4_index_vector(spark, d):
                                  "feature int, is_categorical boolean, num_categories int")
 
 
+def _indexed_values(spark, d, max_categories):
+    data = materialize(weekly_dataset(_x1(spark, d)), "weekly")
+    model = fit_vector_indexer(data, "features", "indexedfeatures", max_categories)
+    out = vector_columns(model.transform(data), "indexedfeatures", len(WEEKLY_FEATURES), keep=("label",))
+    return quantize_columns(out, [f"f{i:02d}" for i in range(len(WEEKLY_FEATURES))])
+
+
+@query("f4_indexed_values_4")
+def f4_indexed_values_4(spark, d):
+    """The indexed vectors at the stock job's limit: categorical values become ranks, zero first."""
+    return _indexed_values(spark, d, STOCK_MAX_CATEGORIES)
+
+
+@query("f4_indexed_values_20")
+def f4_indexed_values_20(spark, d):
+    return _indexed_values(spark, d, MONTHLY_MAX_CATEGORIES)
+
+
 @query("s3_read_libsvm")
 def s3_read_libsvm(spark, d):
     """Weekly dataset → LIBSVM text in the shared folder → read back with the LIBSVM source."""
-    import uuid
     path = f"{shared_dir(spark).rstrip('/')}/weekly_libsvm_{uuid.uuid4().hex[:8]}"
     write_libsvm(weekly_dataset(_x1(spark, d)), path)
     back = read_libsvm(spark, path, num_features=len(WEEKLY_FEATURES))
     return _rounded_vector(back, WEEKLY_FEATURES, WEEKLY_MEANS)
 
 
-# ---------------------------------------------------------------- full jobs and model reports (rows-only)
+# ---------------------------------------------------------------- full jobs (errors rows-only, holdout exact)
+
+def _holdout(run):
+    """What the job scored: rows of the test part and moments of its label."""
+    return run.predictions.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("sum_label"), F.sum(F.col("label") ** 2).alias("sum_label2"),
+        F.min("label").alias("min_label"), F.max("label").alias("max_label"),
+        F.count("prediction").alias("n_predicted"))
+
 
 @query("x3_weekly_model")
 def x3_weekly_model(spark, d):
-    return weekly_model(_x1(spark, d)).metrics
+    return weekly_model(_x1_saved(spark, d)).metrics
+
+
+@query("x3_weekly_holdout")
+def x3_weekly_holdout(spark, d):
+    return _holdout(weekly_model(_x1_saved(spark, d)))
 
 
 @query("x4_monthly_model")
 def x4_monthly_model(spark, d):
-    return monthly_model(_x1_monthly(spark, d)).metrics
+    return monthly_model(_x1_monthly_saved(spark, d)).metrics
+
+
+@query("x4_monthly_holdout")
+def x4_monthly_holdout(spark, d):
+    return _holdout(monthly_model(_x1_monthly_saved(spark, d)))
 
 
 @query("x5_stock_model")
 def x5_stock_model(spark, d):
-    return stock_model(_x2(spark, d)).metrics
+    return stock_model(_x2_saved(spark, d)).metrics
 
 
-@query("x6_libsvm_model")
-def x6_libsvm_model(spark, d):
-    import uuid
-    path = f"{shared_dir(spark).rstrip('/')}/monthly_libsvm_{uuid.uuid4().hex[:8]}"
-    write_libsvm(monthly_dataset(_x1_monthly(spark, d)), path)
-    return libsvm_model(spark, path, num_features=len(MONTHLY_FEATURES)).metrics
+@query("x5_stock_classifier")
+def x5_stock_classifier(spark, d):
+    return stock_classifier(_x2_saved(spark, d)).metrics
 
 
-@query("m14_tree_report")
-def m14_tree_report(spark, d):
-    run = monthly_model(_x1_monthly(spark, d))
-    return spark.createDataFrame(tree_report(run.model),
-                                 "tree_id int, depth int, num_nodes int, weight double, structure string")
+def _monthly_libsvm(spark, d):
+    path = f"{shared_dir(spark).rstrip('/')}/monthly_libsvm_{uuid.uuid4().hex}"
+    write_libsvm(monthly_dataset(_x1_monthly(spark, d)), path)
+    return libsvm_model(spark, path, num_features=len(MONTHLY_FEATURES))
 
 
-@query("m9_score")
-def m9_score(spark, d):
-    run = monthly_model(_x1_monthly(spark, d))
-    return run.predictions.select(*MONTHLY_KEYS, "label", "prediction")
+@query("x6_libsvm_model")
+def x6_libsvm_model(spark, d):
+    return _monthly_libsvm(spark, d).metrics
 
 
 @query("p13_named_prediction")
@@ -497,10 +603,21 @@ def p13_named_prediction(spark, d):
     return quantize_columns(renamed, ("pdecisiontree",))
 
 
+def _linear(spark, d):
+    train = _one_feature(spark, d).where(F.col("split") == "train")
+    return fit(train, [linear_regressor("label", "features")])
+
+
 @query("m4_linear_summary")
 def m4_linear_summary(spark, d):
-    data = weekly_dataset(_x1(spark, d))
-    s = linear_summary(fit(data, [linear_regressor("label", "features")]))
-    return spark.createDataFrame([(int(s["iterations"]), float(s["rmse"]), float(s["r2"]),
-                                   [float(v) for v in s["objective_history"]])],
-                                 "iterations int, rmse double, r2 double, objective_history array<double>")
+    """Error and r2 of the one-feature linear fit on its training part."""
+    s = linear_summary(_linear(spark, d))
+    out = spark.createDataFrame([(float(s["rmse"]), float(s["r2"]))], "rmse double, r2 double")
+    return quantize_columns(out, ("rmse", "r2"))
+
+
+@query("m4_linear_residuals")
+def m4_linear_residuals(spark, d):
+    """Residuals of the training part, counted by value."""
+    residuals = linear_summary(_linear(spark, d))["residuals"].select(quantize("residuals").alias("residual"))
+    return residuals.groupBy("residual").agg(F.count(F.lit(1)).alias("n"))

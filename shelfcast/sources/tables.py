@@ -25,6 +25,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df
 
 
+def require_columns(df: DataFrame, contract: Sequence[tuple[str, str]], what: str) -> None:
+    """Raise unless ``df`` has every (column, type) of ``contract``; further columns may follow."""
+    found = dict(df.dtypes)
+    wrong = [f"{name} {kind} (found {found.get(name, 'nothing')})" for name, kind in contract
+             if found.get(name) != kind]
+    if wrong:
+        raise ValueError(f"{what} lacks columns: {', '.join(wrong)}")
+
+
 def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None) -> DataFrame:
     """S3: LIBSVM text (``label idx:value ...``, 1-based indices) → (label, features).
 

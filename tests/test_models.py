@@ -2,9 +2,12 @@
 
 import math
 
+import pytest
+
 from shelfcast.plans.demand import monthly_model, weekly_model
-from shelfcast.plans.stock import stock_model
+from shelfcast.plans.stock import stock_classifier, stock_model
 from shelfcast.queries import _x1, _x1_monthly, _x2
+from shelfcast.session import materialize
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -41,9 +44,35 @@ def test_stock_tree_uses_categorical_indexes_and_is_repeatable(spark):
     assert {a["name"] for a in attrs["nominal"]} == {"channelindexed", "yearindexed", "fastsellerindexed"}
 
 
-def test_weekly_cross_validated_forest_runs(spark):
+def test_weekly_cross_validated_forest_beats_nothing_less_than_the_data(spark):
+    """The forest scores the whole test part, picks a depth of the grid and errs less than the label's spread."""
     run = weekly_model(_x1(spark, SMOKE), seed=3)
     m = _metrics(run)
-    assert m["n"] >= 0 and _finite(m)
+    label = run.predictions.selectExpr("stddev_pop(label) AS sd", "count(label) AS n").first()
+    assert m["n"] == label["n"] > 0 and _finite(m)
+    assert 0 < m["rmse"] < 1.5 * label["sd"]
     depths = {p.name: v for p, v in run.model.bestModel.stages[-1].extractParamMap().items()}["maxDepth"]
     assert depths in (4, 8, 10)
+
+
+def test_weekly_model_does_not_depend_on_the_partitioning(spark):
+    """Split and folds are properties of the row key."""
+    po = materialize(_x1(spark, SMOKE), "x1")
+    first, second = weekly_model(po, seed=3), weekly_model(po.repartition(5, "week"), seed=3)
+    keys = ["productid", "sellerid", "year", "month", "week"]
+    assert sorted(first.predictions.select(*keys).collect()) == sorted(second.predictions.select(*keys).collect())
+    assert all(math.isclose(a, b, rel_tol=0.05) for a, b in zip(first.model.avgMetrics, second.model.avgMetrics))
+
+
+def test_bins_must_hold_the_categories():
+    from shelfcast.operators.learners import check_bins
+    check_bins(40, 40)
+    with pytest.raises(ValueError):
+        check_bins(32, 40)
+
+
+def test_stock_classifier_on_fourteen_features(spark):
+    run = stock_classifier(_x2(spark, SMOKE), seed=3)
+    m = _metrics(run)
+    assert m["n"] > 0 and 0 <= m["accuracy"] <= 1 and math.isclose(m["accuracy"] + m["test_error"], 1)
+    assert run.model.stages[-1].getMaxBins() == 158 and run.model.stages[-1].numFeatures == 14

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators.indexing import index_categories
 from shelfcast.operators.joins import lookup_join
 from shelfcast.operators.vectors import assemble
-from shelfcast.session import materialize, measured
+from shelfcast.session import broadcast_limit, materialize, measured
 
 
 def _plan(df) -> str:
@@ -24,26 +24,26 @@ def _hot_frames(spark):
 
 def test_measured_lookup_is_broadcast_below_limit(spark):
     left, right = _hot_frames(spark)
-    right, rows = measured(right, "hot-stats")
-    assert rows == 98
-    plan = _plan(lookup_join(left, right, ["key"], "left", right_rows=rows))
+    right, size = measured(right, "hot-stats")
+    assert 98 * 8 < size < broadcast_limit(spark)
+    plan = _plan(lookup_join(left, right, ["key"], "left", right_bytes=size))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_lookup_over_limit_is_not_broadcast_and_results_agree(spark):
     left, right = _hot_frames(spark)
-    right, rows = measured(right, "hot-stats")
-    small = sorted(lookup_join(left, right, ["key"], "left", right_rows=rows).collect())
-    spark.conf.set("shelfcast.broadcast.maxRows", "10")
+    right, size = measured(right, "hot-stats")
+    small = sorted(lookup_join(left, right, ["key"], "left", right_bytes=size).collect())
+    spark.conf.set("shelfcast.broadcast.maxBytes", "10")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        big = lookup_join(left, right, ["key"], "left", right_rows=rows)
+        big = lookup_join(left, right, ["key"], "left", right_bytes=size)
         assert "BroadcastHashJoin" not in _plan(big)
-        salted = lookup_join(left, right, ["key"], "left", salt_buckets=8, right_rows=rows)
+        salted = lookup_join(left, right, ["key"], "left", salt_buckets=8, right_bytes=size)
         assert sorted(big.collect()) == small
         assert sorted(salted.collect()) == small
     finally:
-        spark.conf.unset("shelfcast.broadcast.maxRows")
+        spark.conf.unset("shelfcast.broadcast.maxBytes")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
 
 
@@ -76,17 +76,72 @@ def _hot_orders_and_views(spark):
     return orders, views
 
 
+def _over_limit(spark):
+    """Settings under which no lookup may be broadcast and each must be salted."""
+    spark.conf.set("shelfcast.broadcast.maxBytes", "0")
+    spark.conf.set("shelfcast.join.saltBuckets", "8")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+
+
+def _reset(spark):
+    spark.conf.unset("shelfcast.broadcast.maxBytes")
+    spark.conf.unset("shelfcast.join.saltBuckets")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
+
+
+def _logical(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_large_lookup_is_salted_over_the_limit(spark):
+    """Joins of the order rows in X1, X2 (J3) and the indexed stock table (F2) all carry a salt."""
+    from shelfcast.operators.indexing import fit_dictionary, apply_dictionary
+    from shelfcast.plans.merchant_features import merchant_features
+    from shelfcast.plans.product_features import product_features
+    orders, views = _hot_orders_and_views(spark)
+    _over_limit(spark)
+    try:
+        for df, lookups in ((product_features(orders, views), 3), (merchant_features(orders, views), 1),
+                            (apply_dictionary(orders, fit_dictionary(orders, ["channel", "year"]),
+                                              {"channel": "ci", "year": "yi"}), 2)):
+            conditions = [line for line in _logical(df).splitlines() if "Join LeftOuter" in line]
+            assert len(conditions) == lookups
+            assert all("_salt" in line for line in conditions)
+    finally:
+        _reset(spark)
+
+
+def test_feature_plan_writes_nothing_fanned_out_and_indexes_the_small_side(spark, monkeypatch):
+    from shelfcast.plans import product_features as plan
+    import shelfcast.session as session
+    orders, views = _hot_orders_and_views(spark)
+    written = {}
+    write = session._write
+
+    def counted(df, name):
+        path = write(df, name)
+        written[name] = df.sparkSession.read.parquet(path).count()
+        return path
+    monkeypatch.setattr(session, "_write", counted)
+    df = plan.product_features(orders, views)
+    assert max(written.values()) == written["order-summary"] == 1200
+    assert df.count() == 3600
+    # One join to the statistics, one to the counts; the dictionary joined the statistics before.
+    joins = [line for line in _logical(df).splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 + 1 and sum("_label" in line for line in joins) == 1
+
+
 def test_feature_job_with_hot_product_same_on_broadcast_and_salted_paths(spark):
     from shelfcast.plans.product_features import product_features
     orders, views = _hot_orders_and_views(spark)
     broadcast_path = sorted(product_features(orders, views).collect())
-    spark.conf.set("shelfcast.broadcast.maxRows", "0")
+    spark.conf.set("shelfcast.broadcast.maxBytes", "0")
     spark.conf.set("shelfcast.join.saltBuckets", "8")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         salted_path = sorted(product_features(orders, views).collect())
     finally:
-        spark.conf.unset("shelfcast.broadcast.maxRows")
+        spark.conf.unset("shelfcast.broadcast.maxBytes")
         spark.conf.unset("shelfcast.join.saltBuckets")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
     assert len(broadcast_path) == 1200 * 3     # every product has three brands
