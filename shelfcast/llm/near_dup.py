@@ -14,9 +14,13 @@
    pair's similarity is estimated by joint maximum likelihood over its
    registers; a pair estimated far below the threshold is dropped (seven
    standard errors), all others are checked on their full sets.
-5. Confirmed pairs are contracted to components.  Members of one bucket that
-   are still in different components are then all compared, so no link
-   between components is lost, and pairs inside a component are never made.
+5. Confirmed pairs are contracted to components.  Where members of one bucket
+   are still in different components, they meet in one task (a large bucket is
+   dealt in blocks of ``BLOCK_ROWS`` by ``BLOCK_ROWS``) and all pairs across
+   components are compared there on 32-bit copies of their sets; only pairs
+   that reach the threshold leave the task, and these are checked on the full
+   sets.  So no link between components is lost, pairs inside a component are
+   never looked at, and no list of pairs is made.
 
 Scale: no step gathers a group in one task: classes and hubs come from
 combinable aggregates, the rest are equi-joins whose large keys adaptive
@@ -55,7 +59,13 @@ BASE = 1.02                  # exponential spacing of the registers
 RATE = 20.0                  # rate of the exponential hash values
 TOP = 2 ** 16 - 2            # registers are truncated to 0..TOP + 1
 SEED = 11
+# Rows of a batch that are turned into results at a time.
+SLICE_ROWS = 500
 SLACK = 7.0                  # standard errors below the threshold that the estimate may lie
+# Members of a bucket that one task compares with as many others.
+BLOCK_ROWS = 2048
+# Up to so many members pairs are intersected one by one, beyond that by a matrix product.
+PAIRWISE_ROWS = 24
 # Bytes that an id of a broadcast list takes in a task.
 ID_BYTES = 24
 
@@ -91,20 +101,26 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(smallest) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
-SKETCH = "struct<n:long,signature:binary,registers:binary,hashes:array<long>>"
+SKETCH = "struct<n:long,signature:binary,registers:binary,hashes:array<long>,short:binary>"
 
 
 def sketch(text: Column, size: int, with_set: bool = False) -> Column:
-    """Set size, 128-bit digest of the set, registers and, if asked for, the set itself."""
+    """Set size, 128-bit digest of the set, registers and, if asked for, the set in 64 and in 32 bits."""
+    columns = ["n", "signature", "registers", "hashes", "short"]
+
     @pandas_udf(SKETCH)
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for text in texts:
                 s = shingles(text, size)
+                short = np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() if with_set else None
                 rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), registers(s).tobytes(),
-                             s.view(np.int64) if with_set else None) if len(s) else (0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n", "signature", "registers", "hashes"])
+                             s.view(np.int64) if with_set else None, short) if len(s) else (0, *[None] * 4))
+                if len(rows) == SLICE_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
     return make(text)
 
 
@@ -165,6 +181,95 @@ def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 .select("a", "b"))
 
 
+def _across(components: list[int], sets: list[np.ndarray], left: list[int], right: list[int], pct: int):
+    """Pairs of left and right members (by position) of different components that may reach the threshold."""
+    n = np.array([len(x) for x in sets], np.int64)
+    slack = 2 + n * n // 2 ** 31                               # hashes of 32 bits may meet
+    comp = np.array(components)
+    if len(sets) <= PAIRWISE_ROWS:
+        for i in left:
+            for j in right:
+                if comp[i] != comp[j] and min(n[i], n[j]) * 100 >= (max(n[i], n[j]) - slack[i] - slack[j]) * pct:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) + slack[i] + slack[j]
+                    if shared * 100 >= (n[i] + n[j] - shared) * pct:
+                        yield i, j
+        return
+    # Columns of hashes that several members hold; the product counts what each pair shares.
+    flat = np.concatenate(sets)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    held = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[held], number[column[held]]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(number[-1]) + 1, 1024):          # so many columns at a time
+        at = slice(*np.searchsorted(column, [start, start + 1024]))
+        a = np.zeros((len(left), 1024), np.float32)
+        b = np.zeros((len(right), 1024), np.float32)
+        r, c = row[at], column[at] - start
+        a[place_l[r[place_l[r] >= 0]], c[place_l[r] >= 0]] = 1
+        b[place_r[r[place_r[r] >= 0]], c[place_r[r] >= 0]] = 1
+        shared += a @ b.T
+    more = shared + slack[left][:, None] + slack[right][None, :]
+    near_ = more * 100 >= (n[left][:, None] + n[right][None, :] - more) * pct
+    for i, j in zip(*np.nonzero(near_ & (comp[left][:, None] != comp[right][None, :]))):
+        yield left[i], right[j]
+
+
+def _compare(pct: int):
+    """Rows sorted by (bucket, lo, hi) → pairs across components, one for each two components of a block."""
+    def block(rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, comps, parts, raw = zip(*rows)
+        lo, hi = min(parts), max(parts)
+        left = [k for k, p in enumerate(parts) if p == lo]
+        right = left if lo == hi else [k for k, p in enumerate(parts) if p == hi]
+        joined, out = {c: c for c in comps}, []
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                c = joined[c]
+            return c
+        for i, j in _across(list(comps), [np.frombuffer(r, np.uint32) for r in raw], left, right, pct):
+            a, b = root(comps[i]), root(comps[j])
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for bucket, lo, hi, *row in zip(*(batch[c] for c in ("bucket", "lo", "hi", "id", "component", "part", "short"))):
+                if (bucket, lo, hi) != key:
+                    out += block(rows) if rows else []
+                    key, rows = (bucket, lo, hi), []
+                rows.append(tuple(row))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(block(rows) if rows else [], columns=["a", "b"], dtype="int64")
+    return compare
+
+
+def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Candidate pairs (a, b) between components that share a bucket; ``label``: bucket, id, component."""
+    split = label.groupBy("bucket").agg(F.min("component").alias("_min"), F.max("component").alias("_max"),
+                                        F.ceil(F.count(F.lit(1)) / block_rows).alias("parts")).where("_min != _max")
+    apart = (label.join(split.select("bucket", "parts"), "bucket")
+                  .withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")))
+                  .join(sets.select("id", "short"), "id"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = apart.withColumn("other", other).select(
+        "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+        "id", "component", "part", "short")
+    keys = ["bucket", "lo", "hi"]
+    return (dealt.repartition(*keys).sortWithinPartitions(*keys)
+                 .mapInPandas(_compare(pct), "a long, b long").distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for every id in them.
 
@@ -220,12 +325,7 @@ def with_components(docs: DataFrame, size: int = SHINGLE, pct: int = SIMILARITY_
     # What the stars left apart: members of a bucket that are in different components.
     label = member.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     label = materialize(label, "near-labels")
-    split = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    apart = label.join(split.select("bucket"), "bucket")
-    left = apart.select("bucket", F.col("id").alias("a"), F.col("component").alias("_c"))
-    right = apart.select("bucket", F.col("id").alias("b"), F.col("component").alias("_d"))
-    rest = (left.join(right, "bucket").where("a < b and _c != _d").select("a", "b").distinct()
-                .join(stars, ["a", "b"], "left_anti"))
+    rest = links_across(label, sets, pct)
     more = materialize(confirm(rest, sets, pct), "near-confirmed")
     if more.head(1):
         found = components(links.union(more))

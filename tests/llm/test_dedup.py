@@ -228,3 +228,37 @@ def test_line_runs_of_every_length(spark):
         "doc_id", "deduped.n_lines", "deduped.n_removed", "deduped.words_removed", "deduped.text").collect()
     found = sorted((*r[:4], hashlib.sha256(r[4].encode()).hexdigest()) for r in map(tuple, found))
     assert found == sorted(brute_lines(rows, 8))
+
+
+@pytest.mark.parametrize("pairwise", [24, 2])
+def test_pairs_across_components(pairwise, monkeypatch):
+    """Both ways of intersecting find exactly the pairs across components that reach the threshold."""
+    from shelfcast.llm import near_dup
+    monkeypatch.setattr(near_dup, "PAIRWISE_ROWS", pairwise)
+    rng = np.random.default_rng(8)
+    for n in (2, 9, 24):
+        pool = np.unique(rng.integers(0, 2 ** 32, 80, dtype=np.uint32))
+        sets = [np.unique(rng.choice(pool, rng.integers(40, 70))) for _ in range(n)]
+        comps = rng.integers(0, 3, n).tolist()
+        left, right = list(range(0, n, 2)), list(range(n))
+        wanted = {(i, j) for i in left for j in right if comps[i] != comps[j]
+                  and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
+        found = set(near_dup._across(comps, sets, left, right, 60))
+        assert wanted <= found                             # 32-bit sets allow for two hashes that meet
+        assert all(100 * (len(np.intersect1d(sets[i], sets[j])) + 4) >= 60 * (len(np.union1d(sets[i], sets[j])) - 4)
+                   for i, j in found)
+
+
+def test_blocks_do_not_change_anchors(monkeypatch):
+    from shelfcast.llm import suffix_dedup as sd
+    rng = np.random.default_rng(6)
+    data = np.frombuffer("".join(rng.choice(list("abc "), 5000)).encode() + b"xy" * 300, np.uint8)
+
+    def by_window():
+        at, h, first, last = sd.anchors(data)
+        return [(int(a), int(k)) for a, k, s, e in zip(at, h, first, last) for _ in range(s, e + 1)]
+    whole = by_window()
+    assert len(whole) == len(data) - sd.LENGTH + 1
+    assert all(i <= a <= i + sd.SPAN - 1 for i, (a, _) in enumerate(whole))
+    monkeypatch.setattr(sd, "BLOCK", 700)
+    assert by_window() == whole
