@@ -523,6 +523,19 @@ def indexed_values(limit: int) -> str:
 for _n in (4, 20):
     oracle(f"f4_indexed_values_{_n}", indexed_values(_n), "weekly")
 
+# --------------------------------------------------------------------------- product-level model
+
+PRODUCT_FEATURES = ("channelindexed", "disprice", "eventcount", "finalprice", "price", "stock",
+                    "fastsellerindexed", "scorefive", "scorefour", "scorethree", "scoretwo", "scoreone",
+                    "sellergrade", "numberofviews", "brandindexed")
+cte("channel_dictm", rank_dict("j1m_filled", "channel", "channelindexed"), ["j1m_filled"])
+cte("product_rows", f"SELECT f.* REPLACE ({STOCK_FLAG} AS stock), b.brandindexed, s.fastsellerindexed, c.channelindexed "
+                    "FROM j1m_filled f LEFT JOIN brand_dictm b ON f.brand = b._lbl "
+                    "LEFT JOIN fast_dictm s ON f.fastseller = s._lbl LEFT JOIN channel_dictm c ON f.channel = c._lbl",
+    ["j1m_filled", "brand_dictm", "fast_dictm", "channel_dictm"])
+oracle("x7_product_dataset", "SELECT CAST(productcount AS DOUBLE) AS label, "
+       + feature_columns([Q(c) for c in PRODUCT_FEATURES]) + " FROM product_rows", "product_rows")
+
 # --------------------------------------------------------------------------- upsert
 
 # Keys of bucket 40 and above come (again) with the second batch, whose stock values are changed.

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.fixed import (MERCHANT_ORDER_KEYS, MONTHLY_FEATURES, MONTHLY_KEYS, MONTHLY_MEANS,
-                             PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, STOCK_FEATURES, WEEKLY_FEATURES,
-                             WEEKLY_MEANS)
+                             PRODUCT_FEATURES, PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, STOCK_FEATURES,
+                             WEEKLY_FEATURES, WEEKLY_MEANS)
 from shelfcast.functions.columns import (cast_label, exp_prediction, key_bucket, log_label,
                                          named_prediction, quantize, quantize_columns,
                                          with_relative_price, with_scores, with_stock_flag)
@@ -41,6 +41,7 @@ from shelfcast.plans.libsvm import libsvm_model
 from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
                                                merchant_stats)
 from shelfcast.plans.product_features import joined_view_features, product_features
+from shelfcast.plans.product_models import product_dataset, product_model, weekly_comparison
 from shelfcast.plans.stock import (STOCK_MAX_CATEGORIES, indexed_stock_table, stock_classifier,
                                    stock_dataset, stock_model)
 from shelfcast.session import materialize, measured, shared_dir
@@ -586,6 +587,28 @@ def x5_stock_classifier(spark, d):
     return stock_classifier(_x2_saved(spark, d)).metrics
 
 
+@query("x7_product_dataset")
+def x7_product_dataset(spark, d):
+    """The 15 inputs of the product-level model."""
+    return _rounded_vector(product_dataset(_orders(spark, d), _views(spark, d)), PRODUCT_FEATURES, PRODUCT_FEATURES)
+
+
+@query("x7_product_tree")
+def x7_product_tree(spark, d):
+    return product_model(_orders(spark, d), _views(spark, d)).metrics
+
+
+@query("x7_product_forest")
+def x7_product_forest(spark, d):
+    return product_model(_orders(spark, d), _views(spark, d), forest=True).metrics
+
+
+@query("x3_weekly_comparison")
+def x3_weekly_comparison(spark, d):
+    """Tree, boosted trees and linear model on the same test rows, one column each."""
+    return weekly_comparison(_x1_saved(spark, d))
+
+
 def _monthly_libsvm(spark, d):
     path = f"{shared_dir(spark).rstrip('/')}/monthly_libsvm_{uuid.uuid4().hex}"
     write_libsvm(monthly_dataset(_x1_monthly(spark, d)), path)

@@ -111,3 +111,17 @@ def test_libsvm_source_reads_one_based_indices(spark, tmp_path):
     assert [r.label for r in rows] == [24.0, 21.6]
     assert rows[0].features.toArray().tolist() == [0.00632, 18.0, 0.0, 0.0]
     assert rows[1].features.toArray().tolist() == [0.02731, 0.0, 7.07, 0.0]
+
+
+def test_missing_inputs_give_null_if_asked_for(spark):
+    import pytest
+    from shelfcast.functions.columns import with_relative_price, with_scores, with_stock_flag
+    rows = [(1, 1, 1, 1, 1, 1500.0, 5), (-999, 1, 1, 1, 1, -999.0, -999), (1, 1, None, 1, 1, None, None)]
+    df = spark.createDataFrame(rows, "scorefive int, scorefour int, scorethree int, scoretwo int, scoreone int, "
+                                     "price double, stock int")
+    out = with_stock_flag(with_relative_price(with_scores(df, missing="null"), missing="null"), missing="null")
+    assert [(r.scores, r.relativeprice, r.stock) for r in out.collect()] == [(15, 1.0, 1.0)] + [(None, None, None)] * 2
+    kept = with_stock_flag(with_relative_price(with_scores(df)))
+    assert [(r.scores, r.relativeprice, r.stock) for r in kept.collect()][1] == (-999 * 5 + 10, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        with_scores(df, missing="drop")
