@@ -63,7 +63,7 @@ SEED = 11
 SLICE_ROWS = 500
 SLACK = 7.0                  # standard errors below the threshold that the estimate may lie
 # Members of a bucket that one task compares with as many others.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 # Up to so many members pairs are intersected one by one, beyond that by a matrix product.
 PAIRWISE_ROWS = 24
 # Bytes that an id of a broadcast list takes in a task.
