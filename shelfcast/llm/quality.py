@@ -37,7 +37,7 @@ MAX_SEPARATORS = 2        # menu separators in a line of prose
 MAX_SYMBOL_SHARE = 0.3    # symbols, or shouted marks, per word
 ENDINGS = r"""[.!?:;…。！？][\"'”’»)\]]*\s*$"""
 SENTENCE_INSIDE = r"""[.!?…。！？][\"'”’»)\]]*\s"""
-NAVIGATION = r"(?i)^\W*(home|menu|log ?in|sign (in|up)|next|previous|search|skip to|back to|read more|click here|share)\b\W*(\w+\W*){0,4}$"
+NAVIGATION = r"(?i)^\W*(home|menu|log ?in|sign (in|up)|next|previous|search|skip to|back to|read more|click here|share)\b\W*(?:\w+\W+){0,4}\w*$"
 BOILERPLATE = (r"(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|enable javascript|"
                r"lorem ipsum|subscribe to|powered by|newsletter")
 

@@ -189,3 +189,25 @@ def test_long_runs_stay_linear():
         pii.candidates(text)
         secret_scan.candidates(text)
     assert time.time() - start < 20
+
+
+def test_line_rules_stay_linear(spark):
+    import time
+    from shelfcast.llm.quality import with_quality
+    rows = [("home" + "x" * 200_000,), ("home " + "a " * 100_000,), ("." * 200_000,), (". " * 100_000,), (" " * 300_000,),
+            ("|" * 100_000,), ("!" * 200_000,), ("sign in " + "-" * 200_000 + "y",)]
+    start = time.time()
+    assert with_quality(spark.createDataFrame(rows, "text string")).count() == len(rows)
+    assert with_quality(spark.createDataFrame(rows, "text string")).where("kept").count() == 0
+    assert time.time() - start < 60
+
+
+def test_long_texts_of_licenses_stay_linear(spark):
+    import time
+    from shelfcast.llm.licenses import with_licenses
+    rows = [("license " * 50_000,), ("general " * 50_000 + "license",), ("general" + " " * 200_000 + "public",),
+            ("mit" + "-" * 100_000 + "license",)]
+    start = time.time()
+    found = with_licenses(spark.createDataFrame(rows, "text string")).select("n_base").collect()
+    assert [r[0] for r in found] == [0, 0, 0, 1]
+    assert time.time() - start < 60
