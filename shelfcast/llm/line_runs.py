@@ -112,7 +112,10 @@ def _islands(ranks: DataFrame, depth: int, stride: int, min_words: int) -> DataF
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs) of the documents that lose lines; ``lines`` has a row per line."""
-    repeated = (lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    # Written first: a join with the aggregate itself would share its partitioning, and a line that
+    # many documents have could then not be split over tasks.
+    repeated = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+                           "line-names")
     left = materialize(lines.join(repeated, ["h1", "h2"]).dropDuplicates(["doc_id", "th", "k"]), "line-repeated")
     docs = materialize(global_rank(left.select("doc_id", "th").distinct(),
                                    [F.col("doc_id").isNull(), F.col("doc_id"), F.col("th")], "d")
