@@ -258,7 +258,8 @@ def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int =
     """Candidate pairs (a, b) between components that share a bucket; ``label``: bucket, id, component."""
     split = label.groupBy("bucket").agg(F.min("component").alias("_min"), F.max("component").alias("_max"),
                                         F.ceil(F.count(F.lit(1)) / block_rows).alias("parts")).where("_min != _max")
-    apart = (label.join(split.select("bucket", "parts"), "bucket")
+    split = materialize(split.select("bucket", "parts"), "near-split")
+    apart = (label.join(split, "bucket")
                   .withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")))
                   .join(sets.select("id", "short"), "id"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -307,7 +308,9 @@ def with_components(docs: DataFrame, size: int = SHINGLE, pct: int = SIMILARITY_
              .agg(F.min("doc_id").alias("id"), F.any_value("registers").alias("registers")), "near-classes")
 
     member = materialize(classes.select("id", F.explode(bands("registers")).alias("bucket")), "near-bands")
-    hubs = member.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last")
+    # Written before the join, so that adaptive execution can split a bucket that many members share.
+    hubs = materialize(member.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+                             .where("hub != last").drop("last"), "near-hubs")
     member = materialize(member.join(hubs, "bucket").select("bucket", "id", "hub"), "near-buckets")
     stars = materialize(member.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(),
                         "near-stars")
