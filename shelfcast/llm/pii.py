@@ -10,8 +10,9 @@ on shape, context and vote features), which judges every candidate.  Base
 findings always stay; others are added when the classifier is sure
 (``MIN_PROBABILITY``).
 
-The pattern table covers every candidate; the classifier is fitted on a
-sample of at most ``SAMPLE`` candidates, taken by hash.  Texts are read once.
+The pattern table covers every candidate; the classifier is fitted on at most
+``SAMPLE`` distinct feature rows, taken by hash and weighted by how often
+they occur.  Texts are read once.
 
 Cases: null text counts as empty (no span, digest of the empty string); with
 fewer than ``MIN_TRAIN`` candidates nothing is fitted and only base findings
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shelfcast.llm.common import text_or_empty
+from shelfcast.llm.common import sample_by_hash, text_or_empty
 from shelfcast.session import materialize
 
 # Contract patterns and limits (fixed values).
@@ -187,12 +188,13 @@ def label_model(patterns: pd.DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarra
     return table, posterior
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Soft-label logistic regression by gradient steps with momentum."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Soft-label logistic regression by gradient steps with momentum; rows count by ``weight``."""
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    weight = weight / weight.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        speed = 0.9 * speed - 0.5 * (x.T @ (p - y) / len(x) + 1e-4 * w)
+        speed = 0.9 * speed - 0.5 * (x.T @ ((p - y) * weight) + 1e-4 * w)
         w = w + speed
     return w
 
@@ -216,10 +218,10 @@ def fit_classifier(found: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
         return None
     _, posterior = label_model(patterns)
     by_votes = {tuple(v): p for v, p in zip(patterns["votes"], posterior)}
-    rows = (spans.select("votes", "features").orderBy(F.xxhash64("features", "votes"), "features", "votes")
-                 .limit(sample).toPandas())
+    distinct = materialize(spans.groupBy("votes", "features").agg(F.count(F.lit(1)).alias("n")), "pii-features")
+    rows = sample_by_hash(distinct, ["features", "votes"], sample).toPandas()
     x = np.array(rows["features"].tolist(), dtype=float)
-    return fit_logistic(x, np.array([by_votes[tuple(v)] for v in rows["votes"]]))
+    return fit_logistic(x, np.array([by_votes[tuple(v)] for v in rows["votes"]]), rows["n"].to_numpy(float))
 
 
 def find_pii(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

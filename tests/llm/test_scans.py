@@ -211,3 +211,14 @@ def test_long_texts_of_licenses_stay_linear(spark):
     found = with_licenses(spark.createDataFrame(rows, "text string")).select("n_base").collect()
     assert [r[0] for r in found] == [0, 0, 0, 1]
     assert time.time() - start < 60
+
+
+def test_sample_by_hash_is_bounded_and_stable(spark):
+    from shelfcast.llm.common import sample_by_hash
+    rows = spark.range(5000).selectExpr("cast(id as string) AS w")
+    first = [r["w"] for r in sample_by_hash(rows, ["w"], 100).collect()]
+    again = [r["w"] for r in sample_by_hash(rows.repartition(7), ["w"], 100).collect()]
+    from pyspark.sql import functions as F
+    wanted = [r["w"] for r in rows.orderBy(F.xxhash64("w")).limit(100).collect()]
+    assert first == again == wanted
+    assert sample_by_hash(rows.limit(30), ["w"], 100).count() == 30
