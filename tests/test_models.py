@@ -44,7 +44,7 @@ def test_stock_tree_uses_categorical_indexes_and_is_repeatable(spark):
     assert {a["name"] for a in attrs["nominal"]} == {"channelindexed", "yearindexed", "fastsellerindexed"}
 
 
-def test_weekly_cross_validated_forest_beats_nothing_less_than_the_data(spark):
+def test_weekly_cross_validated_forest_scores_the_whole_test_part(spark):
     """The forest scores the whole test part, picks a depth of the grid and errs less than the label's spread."""
     run = weekly_model(_x1(spark, SMOKE), seed=3)
     m = _metrics(run)
