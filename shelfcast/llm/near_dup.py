@@ -17,10 +17,11 @@
 5. Confirmed pairs are contracted to components.  Where members of one bucket
    are still in different components, they meet in one task (a large bucket is
    dealt in blocks of ``BLOCK_ROWS`` by ``BLOCK_ROWS``) and all pairs across
-   components are compared there on 32-bit copies of their sets; only pairs
-   that reach the threshold leave the task, and these are checked on the full
-   sets.  So no link between components is lost, pairs inside a component are
-   never looked at, and no list of pairs is made.
+   components are compared there: first on 32-bit copies of their sets, and
+   what passes on the full sets.  Only a pair that reaches the threshold on
+   these joins two components of the block and leaves the task, so a pair
+   below it hides no other.  No link between components is lost, pairs inside
+   a component are never looked at, and no list of pairs is made.
 
 Scale: no step gathers a group in one task: classes and hubs come from
 combinable aggregates, the rest are equi-joins whose large keys adaptive
@@ -221,9 +222,13 @@ def _across(components: list[int], sets: list[np.ndarray], left: list[int], righ
 
 
 def _compare(pct: int):
-    """Rows sorted by (bucket, lo, hi) → pairs across components, one for each two components of a block."""
+    """Rows sorted by (bucket, lo, hi) → links across components, one for each two components of a block."""
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared * 100 >= (len(a) + len(b) - shared) * pct
+
     def block(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps, parts, raw = zip(*rows)
+        ids, comps, parts, raw, full = zip(*rows)
         lo, hi = min(parts), max(parts)
         left = [k for k, p in enumerate(parts) if p == lo]
         right = left if lo == hi else [k for k, p in enumerate(parts) if p == hi]
@@ -235,7 +240,7 @@ def _compare(pct: int):
             return c
         for i, j in _across(list(comps), [np.frombuffer(r, np.uint32) for r in raw], left, right, pct):
             a, b = root(comps[i]), root(comps[j])
-            if a != b:
+            if a != b and linked(full[i], full[j]):
                 joined[max(a, b)] = min(a, b)
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return out
@@ -244,7 +249,7 @@ def _compare(pct: int):
         key, rows = None, []
         for batch in batches:
             out = []
-            for bucket, lo, hi, *row in zip(*(batch[c] for c in ("bucket", "lo", "hi", "id", "component", "part", "short"))):
+            for bucket, lo, hi, *row in zip(*(batch[c] for c in ("bucket", "lo", "hi", "id", "component", "part", "short", "hashes"))):
                 if (bucket, lo, hi) != key:
                     out += block(rows) if rows else []
                     key, rows = (bucket, lo, hi), []
@@ -255,17 +260,17 @@ def _compare(pct: int):
 
 
 def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Candidate pairs (a, b) between components that share a bucket; ``label``: bucket, id, component."""
+    """Linked pairs (a, b) of components that share a bucket; ``label``: bucket, id, component."""
     split = label.groupBy("bucket").agg(F.min("component").alias("_min"), F.max("component").alias("_max"),
                                         F.ceil(F.count(F.lit(1)) / block_rows).alias("parts")).where("_min != _max")
     split = materialize(split.select("bucket", "parts"), "near-split")
     apart = (label.join(split, "bucket")
                   .withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")))
-                  .join(sets.select("id", "short"), "id"))
+                  .join(sets.select("id", "short", "hashes"), "id"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = apart.withColumn("other", other).select(
         "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
-        "id", "component", "part", "short")
+        "id", "component", "part", "short", "hashes")
     keys = ["bucket", "lo", "hi"]
     return (dealt.repartition(*keys).sortWithinPartitions(*keys)
                  .mapInPandas(_compare(pct), "a long, b long").distinct())
@@ -328,8 +333,7 @@ def with_components(docs: DataFrame, size: int = SHINGLE, pct: int = SIMILARITY_
     # What the stars left apart: members of a bucket that are in different components.
     label = member.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     label = materialize(label, "near-labels")
-    rest = links_across(label, sets, pct)
-    more = materialize(confirm(rest, sets, pct), "near-confirmed")
+    more = materialize(links_across(label, sets, pct), "near-across")
     if more.head(1):
         found = components(links.union(more))
 

@@ -249,6 +249,27 @@ def test_pairs_across_components(pairwise, monkeypatch):
                    for i, j in found)
 
 
+@pytest.mark.parametrize("pairwise", [24, 1])
+def test_pairs_below_the_threshold_hide_no_link(spark, pairwise, monkeypatch):
+    """Pairs just below the threshold stand before the only link of two components, also by a third one."""
+    from shelfcast.llm import near_dup
+    monkeypatch.setattr(near_dup, "PAIRWISE_ROWS", pairwise)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    base, other, third = words("s", 100), words("t", 100), words("u", 100)
+    texts = {                                              # (1, 3), (5, 6) and (6, 7) share 86 of 114 words
+        1: base, 3: base[:86] + words("x", 14),
+        2: other, 4: other[:95] + words("y", 5),
+        6: third, 5: third[:86] + words("z", 14), 7: third[14:] + words("v", 14),
+        8: other[5:] + words("w", 5)}
+    component = {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 7}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string").coalesce(1)
+    sets = docs.select("id", near_dup.sketch(docs.text, 1, with_set=True).alias("s")).select("id", "s.*").localCheckpoint()
+    label = spark.createDataFrame([(9, i, c) for i, c in component.items()], "bucket long, id long, component long")
+    found = near_dup.confirm(near_dup.links_across(label, sets, 80), sets, 80).collect()
+    groups = {frozenset((component[r.a], component[r.b])) for r in found}
+    assert groups == {frozenset((1, 3)), frozenset((1, 7))} or groups == {frozenset((1, 3)), frozenset((3, 7))}
+
+
 def test_blocks_do_not_change_anchors(monkeypatch):
     from shelfcast.llm import suffix_dedup as sd
     rng = np.random.default_rng(6)
