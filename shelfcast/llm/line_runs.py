@@ -1,23 +1,23 @@
-"""Operator 6 — line dedup: repeated line runs by a suffix array over line ids.
-
-Every line with a word gets an id; the corpus is one sequence of ids, document
-after document (by doc_id, nulls last).  Distributed prefix doubling ranks the
-suffixes by their first 1, 2, 4, … lines: the rank at depth 2^(k+1) is the
-global rank of the pair (rank at depth 2^k here, rank 2^k lines on).  Suffixes
-of one rank form an LCP interval; an interval of one suffix is a run that does
-not repeat and leaves the sequence, so each round works on what is left, and
-rounds end with the longest repeated run.
-
-An interval's smallest position is its first copy.  Neighbouring positions
-whose copies stand at the same distance belong to one run, so at every depth
-the islands of equal distance are the maximal repeated runs that also occur
-earlier.  A run of at least ``MIN_WORDS`` words is deleted with all its lines;
-first copies stay.
-
-Scale: an interval is an aggregate that combines before the shuffle, so a
-line or passage that a third of all documents share is one row of it; the
-joins are equi-joins whose large keys adaptive execution splits; windows run
-inside one document.  Each round is written to the shared folder.
+"""Operator 6 — line dedup: repeated line runs by their shortest windows.
+
+A run of lines with at least ``MIN_WORDS`` words that also starts at an earlier
+position (document after document by doc_id, nulls last; copies may overlap) is
+deleted with all its lines; first copies stay.
+
+A window is shortest if it has the words and loses them without its first or
+without its last line.  Every line of a repeated run lies in a shortest window
+of that run: in the one that starts there if enough words follow, else in the
+one that ends there if enough come before, else in the one from the run's first
+line.  A window inside a repeated run repeats as well, so the lines of all
+shortest windows with an earlier copy are exactly the lines of all repeated
+runs, whatever their lengths and wherever their parts occur first.  Each line
+has a word, so a window has at most ``MIN_WORDS`` lines and a line starts and
+ends one window each; windows are named by the 128-bit hash of their line ids.
+
+Scale: a window's first copy is an aggregate that combines before the shuffle,
+so a line or passage that a third of all documents share is one row of it; the
+join is an equi-join whose large keys adaptive execution splits; windows run
+inside one document.
 
 Cases: null and empty text have no lines and stay as they are; lines without a
 word are neither counted nor deleted; rows that are equal in id and text count
@@ -30,18 +30,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shelfcast.functions.ranking import global_rank
 from shelfcast.llm.common import text_or_empty
 from shelfcast.session import materialize
 
 # Words that a repeated run must have to be deleted.
 MIN_WORDS = 8
 
-LINES = "array<struct<k:int,h1:long,h2:long,c0:long,c1:long>>"
+WINDOWS = "array<struct<from:int,to:int,h1:long,h2:long>>"
 
 
 def lines_with_words(text: str) -> list[tuple[int, bytes, int]]:
@@ -54,19 +53,40 @@ def lines_with_words(text: str) -> list[tuple[int, bytes, int]]:
     return out
 
 
-def _ids(text: Column) -> Column:
-    """Per line: ordinal, 128-bit id, words of the document before and up to its end."""
-    @pandas_udf(LINES)
+def shortest_windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """[from, to] of the windows with the words that lack them without the first or without the last line."""
+    out, lo, n = set(), 0, 0
+    for at, w in enumerate(words):                           # the latest start for each end
+        n += w
+        while n - words[lo] >= min_words and lo < at:
+            n -= words[lo]
+            lo += 1
+        if n >= min_words:
+            out.add((lo, at))
+    hi, n = len(words) - 1, 0
+    for at in range(len(words) - 1, -1, -1):                 # the earliest end for each start
+        n += words[at]
+        while n - words[hi] >= min_words and hi > at:
+            n -= words[hi]
+            hi -= 1
+        if n >= min_words:
+            out.add((at, hi))
+    return sorted(out)
+
+
+def _windows(text: Column, min_words: int) -> Column:
+    """Per shortest window: ordinals of its first and last line, 128-bit id."""
+    @pandas_udf(WINDOWS)
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             rows = []
             for text in texts:
-                row, words = [], 0
-                for k, (_, line, n) in enumerate(lines_with_words(text)):
-                    h = xxhash.xxh128_intdigest(line)
-                    row.append({"k": k, "h1": (h >> 64) - 2 ** 63, "h2": h % 2 ** 64 - 2 ** 63,
-                                "c0": words, "c1": words + n})
-                    words += n
+                lines = lines_with_words(text)
+                ids = [xxhash.xxh128_digest(line) for _, line, _ in lines]
+                row = []
+                for lo, hi in shortest_windows([n for _, _, n in lines], min_words):
+                    h = xxhash.xxh128_intdigest(b"".join(ids[lo:hi + 1]))
+                    row.append({"from": lo, "to": hi, "h1": (h >> 64) - 2 ** 63, "h2": h % 2 ** 64 - 2 ** 63})
                 rows.append(row)
             yield pd.Series(rows, dtype=object)
     return make(text)
@@ -90,63 +110,24 @@ def _cut(text: Column, runs: Column) -> Column:
     return make(text, runs)
 
 
-def _ranked(suffixes: DataFrame) -> DataFrame:
-    """Name the pairs (r1, r2): (pos, r, first, c0, c1) of the suffixes whose pair repeats."""
-    intervals = (suffixes.groupBy("r1", "r2").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-                         .where("first != last").drop("last"))
-    ranks = global_rank(intervals, [F.col("r1"), F.col("r2")], "r").withColumn("r", F.col("r").cast("long"))
-    return materialize(suffixes.join(ranks, ["r1", "r2"]).select("pos", "r", "first", "c0", "c1"), "line-ranks")
-
-
-def _islands(ranks: DataFrame, depth: int, stride: int, min_words: int) -> DataFrame:
-    """(d, from, to): runs of document d that also occur earlier and have the words."""
-    later = ranks.where("first < pos").withColumn("d", F.floor(F.col("pos") / stride).cast("long")) \
-                 .withColumn("far", F.col("pos") - F.col("first"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("d", "far").orderBy("pos"))
-    runs = later.withColumn("island", island).groupBy("d", "far", "island").agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), (F.max("c1") - F.min("c0")).alias("words"))
-    return runs.where(F.col("words") >= min_words).select(
-        "d", (F.col("lo") - F.col("d") * stride).cast("int").alias("from"),
-        (F.col("hi") - F.col("d") * stride + depth - 1).cast("int").alias("to"))
-
-
-def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, runs) of the documents that lose lines; ``lines`` has a row per line."""
-    # Written first: a join with the aggregate itself would share its partitioning, and a line that
+def repeated_runs(windows: DataFrame) -> DataFrame:
+    """(doc_id, th, runs) of the documents that lose lines; ``windows`` has a row per window."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "from")
+    # Written first: a join with the aggregate itself would share its partitioning, and a window that
     # many documents have could then not be split over tasks.
-    repeated = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-                           "line-names")
-    left = materialize(lines.join(repeated, ["h1", "h2"]).dropDuplicates(["doc_id", "th", "k"]), "line-repeated")
-    docs = materialize(global_rank(left.select("doc_id", "th").distinct(),
-                                   [F.col("doc_id").isNull(), F.col("doc_id"), F.col("th")], "d")
-                       .withColumn("d", F.col("d").cast("long")), "line-documents")
-    # Positions of one document are consecutive; the gap keeps runs inside a document.
-    stride = (left.agg(F.max("k")).first()[0] or 0) + 2
-    place = docs.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    suffixes = (left.join(place, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-                    .select((F.col("d") * stride + F.col("k")).alias("pos"), F.col("h1").alias("r1"),
-                            F.col("h2").alias("r2"), "c0", "c1"))
-    runs, depth = None, 1
-    ranks = _ranked(suffixes)
-    while ranks.head(1):
-        found = materialize(_islands(ranks, depth, stride, min_words), "line-runs")
-        runs = found if runs is None else runs.union(found)
-        on = ranks.select((F.col("pos") - depth).alias("pos"), F.col("r").alias("r2"), F.col("c1").alias("_c1"))
-        ranks = _ranked(ranks.join(on, "pos").select("pos", F.col("r").alias("r1"), "r2", "c0",
-                                                     F.col("_c1").alias("c1")))
-        depth *= 2
-    if runs is None:
-        runs = _islands(ranks, depth, stride, min_words)
-    grouped = runs.distinct().groupBy("d").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
-    return docs.join(grouped, "d").drop("d")
+    repeated = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+                                  .where("n > 1").drop("n"), "line-windows-repeated")
+    later = windows.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("from", "to")).alias("runs"))
 
 
 def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` plus ``deduped``: text (null stays null), n_lines, n_removed, words_removed."""
     th = F.xxhash64(text_or_empty())
-    lines = materialize(docs.select("doc_id", th.alias("th"), F.explode(_ids(text_or_empty())).alias("line"))
-                            .select("doc_id", "th", "line.*"), "line-ids")
-    runs = materialize(repeated_runs(lines, min_words), "line-cuts")
+    windows = materialize(
+        docs.select("doc_id", th.alias("th"), F.explode(_windows(text_or_empty(), min_words)).alias("window"))
+            .select("doc_id", "th", "window.*"), "line-windows")
+    runs = materialize(repeated_runs(windows), "line-cuts")
     runs = runs.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th").withColumnRenamed("runs", "_runs")
     joined = docs.withColumn("_key", th).join(
         runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")

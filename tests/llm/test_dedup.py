@@ -230,6 +230,45 @@ def test_line_runs_of_every_length(spark):
     assert found == sorted(brute_lines(rows, 8))
 
 
+def longest_lines(rows, min_words):
+    """(n_lines, n_removed, words_removed, text) by id: each position is compared with all earlier ones."""
+    lines = []
+    for d, t in sorted(rows):
+        lines += [(d, at, x.strip(), len(WORD.findall(x))) for at, x in enumerate(t.split("\n")) if WORD.search(x)]
+        lines.append((d, None, None, 0))                    # between documents
+    gone = {}
+    for p in range(len(lines)):
+        most = 0
+        for q in range(p):
+            n = 0
+            while lines[p + n][2] is not None and lines[p + n][2] == lines[q + n][2]:
+                n += 1
+            most = max(most, n)
+        if sum(x[3] for x in lines[p:p + most]) >= min_words:
+            for d, at, _, n in lines[p:p + most]:
+                gone.setdefault(d, {})[at] = n
+    return sorted((d, sum(1 for x in t.split("\n") if WORD.search(x)), len(gone.get(d, ())),
+                   sum(gone.get(d, {}).values()),
+                   "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone.get(d, ()))) for d, t in rows)
+
+
+def test_line_runs_whose_parts_occur_first_elsewhere(spark):
+    from shelfcast.llm.line_runs import without_repeated_runs
+    a, b, c, x, y = ("one two three", "four five six", "seven eight nine", "other words here", "yet more words")
+    rows = [(1, [a, b, x]), (2, [y, b, c]), (3, [a, b, c]), (4, [a, b, c]), (5, ["so so so"] * 4),
+            (6, [a, b, "", c, y]), (7, ["a line of eight words that stands alone", x]),
+            (8, [y, "a line of eight words that stands alone", x]), (9, [c, a])]
+    rng = np.random.default_rng(9)
+    rows += [(10 + d, [f"l{rng.integers(0, 4)}" + " w" * int(rng.integers(0, 3)) for _ in range(rng.integers(0, 25))])
+             for d in range(40)]
+    rows = [(d, "\n".join(lines)) for d, lines in rows]
+    found = without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", "deduped.n_lines", "deduped.n_removed", "deduped.words_removed", "deduped.text").collect()
+    found = sorted(map(tuple, found))
+    assert found[3] == (4, 3, 3, 9, "") and found[4][2] == 3
+    assert found == longest_lines(rows, 8)
+
+
 @pytest.mark.parametrize("pairwise", [24, 2])
 def test_pairs_across_components(pairwise, monkeypatch):
     """Both ways of intersecting find exactly the pairs across components that reach the threshold."""
