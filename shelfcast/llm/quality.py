@@ -1,8 +1,10 @@
 """Operator 5 — line-first quality rules, built-in functions only.
 
 Each line with a word is judged by itself: it fails as navigation (cut by
-separators, or a menu phrase), as boilerplate (a stock phrase), for lacking
+separators, or a menu phrase), as boilerplate (stock phrases), for lacking
 any closing punctuation, or for carrying symbols or shouted marks on most words.
+Separators and stock phrases count by the line's words, so a long paragraph or a
+document in one line does not fail for a phrase that it mentions.
 Failing lines are removed; a document that loses more than ``MAX_LOST`` of
 the characters of its lines is rejected, and so is one that fails the base
 rules (fewer than 50 words, or more than half of its words inside repeated
@@ -34,6 +36,8 @@ WINDOW = 3
 # Line rules (parameters).
 MAX_LOST = 0.5            # share of line characters a kept document may lose
 MAX_SEPARATORS = 2        # menu separators in a line of prose
+MAX_SEPARATOR_SHARE = 0.1  # menu separators per word, in a line with more than those
+PHRASE_WORDS = 20         # words of a line that one stock phrase makes boilerplate
 MAX_SYMBOL_SHARE = 0.3    # symbols, or shouted marks, per word
 ENDINGS = r"""[.!?:;…。！？][\"'”’»)\]]*\s*$"""
 SENTENCE_INSIDE = r"""[.!?…。！？][\"'”’»)\]]*\s"""
@@ -67,9 +71,11 @@ def line_fails(line: Column) -> Column:
     """The verdict on one line that has a word."""
     n_words = F.regexp_count(line, F.lit(WORD))
     limit = n_words * MAX_SYMBOL_SHARE
+    separators = F.regexp_count(line, F.lit(r"[|»›•]"))
     return ((~line.rlike(ENDINGS) & ~line.rlike(SENTENCE_INSIDE))
-            | (F.regexp_count(line, F.lit(r"[|»›•]")) > MAX_SEPARATORS)
-            | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+            | ((separators > MAX_SEPARATORS) & (separators > n_words * MAX_SEPARATOR_SHARE))
+            | line.rlike(NAVIGATION)
+            | (line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PHRASE_WORDS >= n_words))
             | (line.rlike(SYMBOLS) & (F.regexp_count(line, F.lit(SYMBOLS)) > limit))
             | (F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit("!!+")) > limit)))
 

@@ -105,6 +105,22 @@ def test_quality_line_rules(spark):
     assert not found["open"]["kept"] and found["open"]["lost"] == 1
 
 
+def test_long_paragraphs_may_mention_stock_phrases(spark):
+    from shelfcast.llm.quality import with_quality
+    prose, more = (" ".join([f"Word{i} follows other{i} then comes thing{i} and last{i}." for i in range(k, k + 60)])
+                   for k in (0, 60))
+    said = prose + " She baked a cookie, wrote a newsletter, and said \u00abyes\u00bb, \u00abno\u00bb and \u00abnever\u00bb. " + more
+    short = ["We use cookies to make this site better.", "All rights reserved by the owner.",
+             "World news | Sport results | Weather | Travel tips and more."]
+    menu = " | ".join(f"Section {i} of the paper" for i in range(40)) + "."
+    banner = " ".join(["This site needs cookies, see the privacy policy."] * 12)
+    rows = [("one line", said), ("paragraphs", "\n".join([said, *short, "An end."])), ("menu", menu), ("banner", banner)]
+    found = {r["k"]: r for r in with_quality(spark.createDataFrame(rows, "k string, text string")).collect()}
+    assert found["one line"]["kept"] and found["one line"]["cleaned"] == said
+    assert found["paragraphs"]["kept"] and found["paragraphs"]["cleaned"] == said + "\nAn end."
+    assert found["menu"]["lost"] == 1 and found["banner"]["lost"] == 1
+
+
 def brute_license(text):
     words = ALNUM.findall(text.translate(LOWER))
     phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
