@@ -137,7 +137,8 @@ def votes(text: str, kind: str, start: int, end: int) -> list[int]:
         checksum = 1 if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else -1
     if kind == "ssn":
         checksum = -1 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" else 1
-    return [1 if kind in KINDS else 0, checksum, gazetteer,
+    # Every candidate stands on its kind's pattern.
+    return [1, checksum, gazetteer,
             1 if CUES.search(left) else 0, -1 if AGAINST.search(left) else 0,
             -1 if left[-1:].isalnum() or right[:1].isalnum() else 1,
             -1 if len(digits) > 5 and len(set(digits)) < 3 else 0]
@@ -238,7 +239,7 @@ def find_pii(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "te
                 for c in row:
                     z = 0.0 if weights is None else float(np.dot(weights, np.asarray(c["features"], float)))
                     score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                    if c["base"] or (weights is not None and score >= MIN_PROBABILITY and sum(c["votes"]) >= 2):
+                    if c["base"] or (weights is not None and score >= MIN_PROBABILITY):
                         kept.append({"kind": c["kind"], "start": c["start"], "end": c["end"],
                                      "base": bool(c["base"]), "score": float(score)})
                 out.append(sorted(kept, key=lambda s: (ALL_KINDS.index(s["kind"]), s["start"])))

@@ -196,6 +196,26 @@ def test_label_model_recovers_reliabilities():
     assert ((posterior[index] > 0.5) == y).mean() > 0.95
 
 
+def test_personal_data_is_added_by_probability_alone(spark):
+    """Local numbers and names are reported without a cue word; the score alone decides."""
+    import numpy as np
+    from shelfcast.llm import pii
+    plain = "Then 212 555 %04d was noted, and later Dr. Smithers came by."
+    rows = [(k, f"Please call 212 555 {k:04d} or mail person{k}@example.org, Dr. Maria knows.") for k in range(300)]
+    rows += [(1000 + k, plain % k) for k in range(100)]
+    rows += [(2000 + k, f"The order no. {k:03d}-22-{k:04d}x and version {k:03d}-{k:03d}-{k:04d} of the part id.")
+             for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["pii"] for r in pii.find_pii(docs).collect()}
+    weights = pii.fit_classifier(docs.select(pii.scan(docs.text).alias("found")))
+    for doc_id, text in rows[::25]:
+        sure = {(c["kind"], c["start"]) for c in pii.candidates(text) if c["base"]
+                or 1 / (1 + np.exp(-np.dot(weights, c["features"]))) >= pii.MIN_PROBABILITY}
+        assert {(s["kind"], s["start"]) for s in found[doc_id]} == sure
+    assert {s["kind"] for s in found[1007]} == {"phone_local", "name"}
+    assert not found[2007]
+
+
 def test_long_runs_stay_linear():
     import time
     from shelfcast.llm import pii, secret_scan
