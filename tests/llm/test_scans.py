@@ -74,6 +74,26 @@ def test_network_learns_from_labelled_tokens():
     assert called[y[held] == 0].mean() <= 0.02
 
 
+def test_network_is_shown_short_and_lettered_secrets():
+    from shelfcast.llm.secret_scan import candidates
+    for text, value in (("set pwd=hunter2x9 now", "hunter2x9"), ("passphrase: correcthorse", "correcthorse"),
+                        ("Authorization: Basic QWxhZGRpbjpvcGVu", "QWxhZGRpbjpvcGVu"), ("pwd='pa$s!w&r~d'", "pa$s!w&r~d"),
+                        ("use kQzVbNwXpRtYjHgF there", "kQzVbNwXpRtYjHgF"), ("pin: a1b2c3d4", "a1b2c3d4")):
+        at = text.index(value)
+        assert any(s <= at and at + len(value) <= e for _, s, e, _, _ in candidates(text)), text
+    assert candidates("Nothing notable happens in ordinary unremarkable sentences.") == []
+
+
+def test_threshold_keeps_the_asked_recall():
+    import numpy as np
+    from shelfcast.llm.secret_scan import CharNet, MIN_RECALL
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(32, 127, (2000, 72)), (rng.random(2000) < 0.3).astype(float)      # classes that look alike
+    net = CharNet()
+    net.calibrate(x, y)
+    assert (net.probabilities(x[y == 1]) >= net.threshold).mean() >= MIN_RECALL
+
+
 def brute_quality(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
