@@ -1,7 +1,8 @@
 """DuckDB twins of the training-data queries that SQL can express.
 
 Not here, tested against brute force instead: op1 (knapsack), op2 (merging),
-op3 and op10 (trained models), op6 (suffix ranks), op9 (bytes), pipeline.
+op3, op10 and op13 (trained models), op6 (maximal line runs), op9 (bytes), op11
+(tokenizers), op12 (all pairs are too slow on whole tables), pipeline.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import (decontam, licenses, line_runs, mixing, near_dup, pii, quality, secret_scan,
-                           suffix_dedup, tokens)
+from shelfcast.llm import (alignment, decontam, licenses, line_runs, mixing, near_dup, negatives, pii, quality,
+                           secret_scan, suffix_dedup, tokens, url_filter)
 from shelfcast.llm.common import read
 from shelfcast.session import materialize
 
@@ -94,6 +94,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_spans("pii", True), 256).alias("base_sha256"), _spans("pii").alias("spans"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, read(spark, sf_dir, "documents")).documents()
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"), label=negatives.op12_label())
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -105,4 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_personal_data": op10_personal_data,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_url_filter": op13_url_filter,
 }

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,15 +38,44 @@ def edge_dir(spark, tmp_path_factory):
     items = [(1, "seven old sailors watch from the harbour wall. None of them had seen"), (2, None), (3, ""),
              (4, "license mit"), (10, "SPAM spam"), (2, "word"), (None, "blanks"), (5, "not in any text at all ever")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    clash = [F.lit("clash").alias(c) for c in ("row", "id", "vec", "leaf", "rank", "score", "positive_id", "n")]
+    spark.createDataFrame(edge_vectors(), "vec_id long, embedding array<float>, label int").repartition(3).select(
+        "*", *clash).write.parquet(f"{root}/embeddings.parquet")
+    clash = [F.lit("clash").alias(c) for c in ("host", "path", "rule", "verdict", "score", "accepted", "cell", "n")]
+    spark.createDataFrame(list(enumerate(URLS)) + [(None, URLS[3]), (4, URLS[4])], "page_id long, url string") \
+         .select("*", *clash).write.parquet(f"{root}/pages.parquet")
     return root
 
 
+URLS = [None, "", "no scheme at all/en/", "http://a.com/x", "HTTP://WWW.Example.COM/en/1", "https://example.com/en/2?q=://b",
+        "https://blog.example.com/en/2#x", "https://example.com/EN/2", "http://com/x", "http://xcom/", "http://a.com",
+        "http://a.com?x=/en/", "ftp://a.net/es/", "http://a.net/fr", "http://www.net/fr/été", "http://a.org/\nen/x://y",
+        "://", "http://É.com/ü", "http://a.example.com:80/en/", "x://" + "long/" * 3000, "http://a.org/" + "9" * 200,
+        *[f"http://news.site{i}.com/story/{i}.html" for i in range(30)],
+        *[f"http://win{i % 3}.net/es/casino?id={i}" for i in range(30)],
+        *[f"http://site{i}.org/story/{i}.html" for i in range(5)], *[f"http://b{i}.org/casino?id={i}" for i in range(5)]]
+
+
+def edge_vectors():
+    rng = np.random.default_rng(12)
+    nan, inf = float("nan"), float("inf")
+    some = rng.normal(size=(40, 6)).round(2)
+    rows = [(i, [float(x) for x in some[i % 40]], int(i % 4)) for i in range(330)]          # many equal vectors
+    rows += [(300, rows[300][1], 1), (300, rows[300][1], 1), (-100, rows[5][1], -3), (400, [0.0] * 6, 2),
+             (401, [0.0] * 6, 3), (500, [], 2), (600, [1.0, 2.0], 3), (700, None, 1), (800, [1.0, None], 1),
+             (900, [nan] * 6, 1), (901, [inf] * 6, 1), (1000, [1.0] * 6, None), (None, [1.0] * 6, 1),
+             (1100, [500.0] * 6, 9), (1200, [-2.0] * 6, 77), (1201, [-2.0] * 6, 78)]
+    return rows
+
+
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long") \
          .write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame([], "page_id long, url string").write.parquet(f"{root}/pages.parquet")
     return root
 
 
