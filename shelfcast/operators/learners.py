@@ -84,15 +84,17 @@ def param_grid(estimator: Estimator, values: Mapping[str, Sequence]) -> list[dic
 
 def cross_validate(df: DataFrame, pipeline: Pipeline, grid: list[dict], label: str = "label",
                    folds: int = 4, fold_col: str | None = None, metric: str = "rmse",
-                   seed: int | None = None, parallelism: int = 1) -> tuple[CrossValidatorModel, DataFrame]:
+                   seed: int | None = None, parallelism: int = 1,
+                   keep_sub_models: bool = False) -> tuple[CrossValidatorModel, DataFrame]:
     """M8: k-fold CV; returns the refitted best model and one row per grid point.
 
     ``fold_col`` (ints in [0, folds)) makes fold membership a property of
-    the data; ``parallelism`` fits grid points concurrently.
+    the data; ``parallelism`` fits grid points concurrently;
+    ``keep_sub_models`` keeps every fold's models (``model.subModels[fold][point]``).
     """
     evaluator = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator,
-                        numFolds=folds, parallelism=parallelism)
+                        numFolds=folds, parallelism=parallelism, collectSubModels=keep_sub_models)
     if fold_col is not None:
         cv = cv.setFoldCol(fold_col)
     if seed is not None:

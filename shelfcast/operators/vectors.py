@@ -5,6 +5,9 @@
   become categorical.  Its fit aggregates per-partition value sets capped
   at N+1 per feature, so what reaches the driver is bounded by
   features × N, not by rows.
+* ``random_split`` — seeded split by row instead of by key: rows are ranked
+  under a total order and the draw is a hash of seed and rank, so equal rows
+  fall apart and the result is the same after any ``repartition``.
 * ``split`` — deterministic train/test split from an md5 bucket of the row
   key: independent of partitioning, so recomputing a lost partition puts
   every row on the same side again (``randomSplit`` is only reproducible
@@ -13,14 +16,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler, VectorIndexer, VectorIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import key_bucket
+from shelfcast.functions.ranking import global_rank
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features",
@@ -64,3 +70,41 @@ def split(df: DataFrame, keys: Sequence[str], train: float = 0.7,
     tagged = with_split(df, keys, train, seed, "_split")
     return (tagged.where(F.col("_split") == "train").drop("_split"),
             tagged.where(F.col("_split") == "test").drop("_split"))
+
+
+# Draws per unit of weight in a random split.
+DRAWS = 1_000_000
+
+
+def random_split(df: DataFrame, weights: Sequence[float], seed: int, order: Sequence[str] | None = None) -> list[DataFrame]:
+    """F5/F6, second form: one frame per weight, rows drawn one by one.
+
+    ``order`` (default: all columns) must order the rows totally but for equal
+    ones; which of several equal rows falls where makes no difference.  The
+    ranked frame is written once, so all parts read the same ranks.
+    """
+    columns = df.columns
+    # Nulls first, as any other value.
+    ranked = global_rank(df, [F.col(c).asc_nulls_first() for c in (order or columns)], "_rank")
+    drawn = ranked.withColumn("_rank", F.col("_rank").cast("long"))
+    drawn = drawn.withColumn("_draw", key_bucket(["_rank"], DRAWS, seed))
+    total, low, parts = sum(weights), 0, []
+    for i, w in enumerate(weights):
+        high = DRAWS if i == len(weights) - 1 else round(DRAWS * sum(weights[:i + 1]) / total)
+        parts.append(drawn.where((F.col("_draw") >= low) & (F.col("_draw") < high)).select(*columns))
+        low = high
+    return parts
+
+
+@contextmanager
+def persisted(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept in memory (or on disk) for the repeated scans inside, given back at the end.
+
+    A lost executor costs the recomputation of its blocks; what must survive
+    without recomputation is written with ``materialize`` instead.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()

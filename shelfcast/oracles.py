@@ -542,3 +542,94 @@ oracle("x7_product_dataset", "SELECT CAST(productcount AS DOUBLE) AS label, "
 cte("x1_upserted", "SELECT * REPLACE (CASE WHEN bucket >= 40 THEN stock + 10.0 ELSE stock END AS stock) FROM x1_split",
     ["x1_split"])
 oracle("s4_upsert_features", collapsed("x1_upserted", PRODUCT_ORDER, PRODUCT_ORDER[:5]), "x1_upserted")
+
+# --------------------------------------------------------------------------- named tables, row-preserving pair join
+
+oracle("s1_bucketed_rollup", ORACLES["a5_weekly_rollup"])
+oracle("s1_bucketed_join", ORACLES["j1_join_view_stats"])
+oracle("j5_pair_join_rows",
+       "SELECT o.*, p.partners FROM os o JOIN (SELECT merchantid, productid, count(*) AS partners FROM vs "
+       "GROUP BY merchantid, productid) p ON o.merchantid = p.merchantid AND o.productid = p.productid", "os", "vs")
+
+# --------------------------------------------------------------------------- random splits by rank
+
+ORDER_COLUMNS = ("productid", "sellerid", "merchantid", "year", "month", "week", "day", "attrs", "channel", "price",
+                 "disprice", "finalprice", "productcount", "eventcount", "stock")
+
+
+def random_parts(train: int, seed: int) -> str:
+    """A row's draw is a hash of its rank under the order of all columns, nulls first."""
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in ORDER_COLUMNS)
+    draw = f"CAST('0x' || substr(md5('{seed}|' || CAST(rank AS VARCHAR)), 1, 8) AS BIGINT) % 1000000"
+    return (f"SELECT CAST(CASE WHEN {draw} < {train} THEN 0 ELSE 1 END AS INTEGER) AS part, count(*) AS n, "
+            "CAST(sum(productcount) AS BIGINT) AS units, CAST(sum(eventcount) AS BIGINT) AS events, "
+            f"max(price) AS max_price FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS rank FROM os) GROUP BY 1")
+
+
+oracle("f5_random_split", random_parts(700000, 5), "os")
+oracle("f6_random_split_40_60", random_parts(400000, 11), "os")
+
+# --------------------------------------------------------------------------- model checks
+
+
+NOTHING_WRONG = ", ".join(f"CAST(0 AS BIGINT) AS wrong_{c}" for c in ("trees", "counts", "gains", "importances"))
+
+
+def checked(source: str, keys: str, trees: int) -> str:
+    """What must hold of a model: all test rows score alike, better than the mean, and nothing is wrong."""
+    return (f"SELECT count(*) AS n_test, count(*) AS n_equal, true AS better, CAST({trees} AS BIGINT) AS trees, "
+            f"{NOTHING_WRONG} FROM {source} WHERE {md5_bucket(keys.split(', '))} >= 70")
+
+
+def checked_whole(source: str, trees: int, rest: str = "") -> str:
+    """The same where the split cannot be told in SQL: rows of both parts."""
+    return (f"SELECT count(*) AS n_rows, true AS all_equal, CAST({trees} AS BIGINT) AS trees, {NOTHING_WRONG}{rest} "
+            f"FROM {source}")
+
+
+ONE_TREE = ", true AS same_sum, CAST(0 AS BIGINT) AS wrong_leaves"
+oracle("x3_weekly_check", checked("weekly_saved_small", WEEKLY_KEYS, 20), "weekly_saved_small")
+oracle("x4_monthly_check", checked("monthly_saved", MONTHLY_KEYS, 20), "monthly_saved")
+oracle("x5_stock_check", checked_whole("x2_saved_indexed", 1, ONE_TREE), "x2_saved_indexed")
+oracle("x6_libsvm_check", checked_whole("monthly_raw", 20), "monthly_raw")
+oracle("x7_product_check", checked_whole("product_rows", 1, ONE_TREE), "product_rows")
+oracle("m9_score_by_nodes", ONE_FEATURE_PRED, "tree_pred")
+oracle("m8_weekly_folds",
+       f"SELECT fold, depth, count(*) AS n, true AS same_error, true AS same_mean, true AS chose_least FROM "
+       f"(SELECT CAST({md5_bucket(WEEKLY_KEYS.split(', '), 4, 7)} AS INTEGER) AS fold FROM weekly_saved_small "
+       f"WHERE {md5_bucket(WEEKLY_KEYS.split(', '))} < 70), (SELECT CAST(unnest([4, 8, 10]) AS INTEGER) AS depth) "
+       "GROUP BY fold, depth", "weekly_saved_small")
+
+# --------------------------------------------------------------------------- elastic net on ten features
+
+# Coordinate descent on the standardised second moments, one coordinate a step, as a recursive query.
+LINEAR_SWEEPS = 600
+_K = len(WEEKLY_FEATURE_SQL)
+_NAMES = [f"f{i}" for i in range(_K)]
+cte("lm_rows", "SELECT CAST(label AS DOUBLE) AS y, " + ", ".join(
+    f"CAST({e} AS DOUBLE) AS {n}" for e, n in zip(WEEKLY_FEATURE_SQL, _NAMES))
+    + f" FROM weekly WHERE {md5_bucket(WEEKLY_KEYS.split(', '))} < 70", ["weekly"])
+cte("lm_means", "SELECT count(*) AS n, avg(y) AS my, " + ", ".join(f"avg({n}) AS m_{n}" for n in _NAMES)
+    + ", stddev_samp(y) AS sy, " + ", ".join(f"coalesce(nullif(stddev_samp({n}), 0), 1) AS s_{n}" for n in _NAMES)
+    + " FROM lm_rows", ["lm_rows"])
+cte("lm_standard", "SELECT n, (y - my) / sy AS y, " + ", ".join(f"({n} - m_{n}) / s_{n} AS {n}" for n in _NAMES)
+    + " FROM lm_rows, lm_means", ["lm_rows", "lm_means"])
+cte("lm_system", "SELECT [" + ", ".join("[" + ", ".join(f"sum({a} * {b}) / any_value(n)" for b in _NAMES) + "]"
+                                        for a in _NAMES) + "] AS a, ["
+    + ", ".join(f"sum({a} * y) / any_value(n)" for a in _NAMES) + "] AS b FROM lm_standard", ["lm_standard"])
+cte("lm_steps", f"SELECT 0 AS step, [{', '.join(['0.0::DOUBLE'] * _K)}] AS w UNION ALL "
+    f"SELECT step + 1, list_concat(w[:step % {_K}], [new], w[step % {_K} + 2:]) FROM (SELECT step, w, "
+    "CASE WHEN d = 0 THEN 0.0 ELSE sign(rho) * greatest(abs(rho) - 0.3 * 0.8 / sy, 0.0) / (d + 0.3 * (1 - 0.8) / sy) END AS new "
+    f"FROM (SELECT step, w, sy, a[step % {_K} + 1][step % {_K} + 1] AS d, b[step % {_K} + 1] - "
+    f"(list_dot_product(a[step % {_K} + 1], w) - a[step % {_K} + 1][step % {_K} + 1] * w[step % {_K} + 1]) AS rho "
+    f"FROM lm_steps, lm_system, lm_means WHERE step < {_K * LINEAR_SWEEPS}))", ["lm_system", "lm_means"])
+cte("lm_fit", "SELECT [" + ", ".join(f"w[{i + 1}] * sy / s_{n}" for i, n in enumerate(_NAMES)) + "] AS c, ["
+    + ", ".join(f"w[{i + 1}] * sy" for i in range(_K)) + "] AS e, my, ["
+    + ", ".join(f"m_{n}" for n in _NAMES) + f"] AS m FROM lm_steps, lm_means WHERE step = {_K * LINEAR_SWEEPS}",
+    ["lm_steps", "lm_means"])
+oracle("m4_weekly_linear", " UNION ALL ".join(
+    f"SELECT {i} AS feature, {Q(f'c[{i + 1}]')} AS coefficient, {Q(f'e[{i + 1}]')} AS effect, true AS optimal FROM lm_fit"
+    for i in range(_K)) + f" UNION ALL SELECT {_K}, {Q('my - list_dot_product(c, m)')}, NULL, true FROM lm_fit", "lm_fit")
+ORACLES["m4_weekly_linear"] = (ORACLES["m4_weekly_linear"].replace("WITH ", "WITH RECURSIVE ", 1)
+                               .replace("lm_means AS (", "lm_means AS MATERIALIZED (")
+                               .replace("lm_system AS (", "lm_system AS MATERIALIZED ("))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +53,12 @@ class ModelRun:
     model: PipelineModel
     predictions: DataFrame
     metrics: DataFrame
+    train: DataFrame | None = None
+    cv: CrossValidatorModel | None = None        # with its sub-models, where the job tunes
 
 
-def weekly_model(po: DataFrame, seed: int = 7, leaky: bool = False, parallelism: int = 3) -> ModelRun:
+def weekly_model(po: DataFrame, seed: int = 7, leaky: bool = False, parallelism: int = 3,
+                 keep_sub_models: bool = False) -> ModelRun:
     """Vector indexer (fit before the split, as the job does) + forest, tuned by 4-fold CV.
 
     ``leaky=True`` reproduces the original refit on *all* rows before
@@ -69,10 +73,11 @@ def weekly_model(po: DataFrame, seed: int = 7, leaky: bool = False, parallelism:
     forest = forest_regressor("label", "indexedfeatures", maxBins=WEEKLY_MAX_BINS, seed=seed)
     pipeline = make_pipeline([indexer, forest])
     grid = param_grid(forest, {"maxDepth": list(WEEKLY_DEPTH_GRID)})
-    model, _ = cross_validate(data if leaky else train, pipeline, grid, "label", folds=WEEKLY_FOLDS,
-                              fold_col="_fold", seed=seed, parallelism=parallelism)
+    fitted_on = data if leaky else train
+    model, _ = cross_validate(fitted_on, pipeline, grid, "label", folds=WEEKLY_FOLDS, fold_col="_fold", seed=seed,
+                              parallelism=parallelism, keep_sub_models=keep_sub_models)
     predictions = model.transform(test)
-    return ModelRun(model, predictions, regression_metrics(predictions, "label"))
+    return ModelRun(model, predictions, regression_metrics(predictions, "label"), fitted_on, model)
 
 
 def monthly_model(po_monthly: DataFrame, seed: int = 7) -> ModelRun:
@@ -83,4 +88,4 @@ def monthly_model(po_monthly: DataFrame, seed: int = 7) -> ModelRun:
     forest = forest_regressor("label", "indexedfeatures", seed=seed)
     model = make_pipeline([indexer, forest]).fit(train)
     predictions = model.transform(test)
-    return ModelRun(model, predictions, regression_metrics(predictions, "label", with_range=True))
+    return ModelRun(model, predictions, regression_metrics(predictions, "label", with_range=True), train)

@@ -31,4 +31,4 @@ def libsvm_model(spark: SparkSession, path: str, num_features: int | None = None
     train, test = split(data, ["_row"], 0.7)
     model = make_pipeline([indexer, forest_regressor("label", "indexedfeatures", seed=seed)]).fit(train)
     predictions = model.transform(test).drop("_row")
-    return ModelRun(model, predictions, regression_metrics(predictions, "label"))
+    return ModelRun(model, predictions, regression_metrics(predictions, "label"), train.drop("_row"))

@@ -43,7 +43,7 @@ def product_model(orders: DataFrame, views: DataFrame, forest: bool = False, see
     learner = forest_regressor if forest else tree_regressor
     model = make_pipeline([indexer, learner("label", "indexedfeatures", maxBins=PRODUCT_MAX_BINS, seed=seed)]).fit(train)
     predictions = model.transform(test)
-    return ModelRun(model, predictions, regression_metrics(predictions, "label"))
+    return ModelRun(model, predictions, regression_metrics(predictions, "label"), train)
 
 
 def weekly_comparison(po: DataFrame, seed: int = 7) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.fixed import (MERCHANT_ORDER_KEYS, MONTHLY_FEATURES, MONTHLY_KEYS, MONTHLY_MEANS,
                              PRODUCT_FEATURES, PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, STOCK_FEATURES,
-                             WEEKLY_FEATURES, WEEKLY_MEANS)
+                             WEEKLY_FEATURES, WEEKLY_KEYS, WEEKLY_MEANS)
 from shelfcast.functions.columns import (cast_label, exp_prediction, key_bucket, log_label,
                                          named_prediction, quantize, quantize_columns,
                                          with_relative_price, with_scores, with_stock_flag)
@@ -27,16 +27,19 @@ from shelfcast.operators.aggregates import (MERCHANT_VIEW_KEYS, MERCHANT_VIEW_ME
 from shelfcast.operators.clean import fill_numeric, fill_string, replace_blank
 from shelfcast.operators.indexing import index_category
 from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_view_stats_by_merchant,
-                                       pair_join_counts, with_relative_brand)
+                                       pair_join_counts, pair_join_rows, with_relative_brand)
 from shelfcast.operators.learners import (cross_validate, feature_importances, fit, forest_regressor, gbt_regressor,
                                           last_model, linear_regressor, linear_summary, make_pipeline,
                                           param_grid, score, tree_classifier, tree_regressor, tree_report)
+from shelfcast.operators.linear_sums import deviations, elastic_net, moments, objective
 from shelfcast.operators.metrics import classification_metrics, nrmse, regression_metrics
 from shelfcast.operators.rollups import having, having_count, monthly_rollup, weekly_rollup
-from shelfcast.operators.vectors import (assemble, fit_vector_indexer, vector_category_report,
-                                         vector_columns, with_split)
-from shelfcast.plans.demand import (MONTHLY_MAX_CATEGORIES, WEEKLY_MAX_CATEGORIES, monthly_dataset,
-                                    monthly_model, weekly_dataset, weekly_model)
+from shelfcast.operators.trees import (close, fold_errors, model_check, node_importances, node_table,
+                                       score_by_nodes)
+from shelfcast.operators.vectors import (assemble, fit_vector_indexer, persisted, random_split, split,
+                                         vector_category_report, vector_columns, with_split)
+from shelfcast.plans.demand import (MONTHLY_MAX_CATEGORIES, WEEKLY_DEPTH_GRID, WEEKLY_MAX_CATEGORIES,
+                                    monthly_dataset, monthly_model, weekly_dataset, weekly_model)
 from shelfcast.plans.libsvm import libsvm_model
 from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
                                                merchant_stats)
@@ -45,6 +48,7 @@ from shelfcast.plans.product_models import product_dataset, product_model, weekl
 from shelfcast.plans.stock import (STOCK_MAX_CATEGORIES, indexed_stock_table, stock_classifier,
                                    stock_dataset, stock_model)
 from shelfcast.session import materialize, measured, shared_dir
+from shelfcast.sources.catalog import save_table
 from shelfcast.sources.sinks import read_features, write_features
 from shelfcast.sources.summaries import order_summary, view_summary
 from shelfcast.sources.tables import read_libsvm, write_libsvm
@@ -123,6 +127,24 @@ def s1_view_summary(spark, d):
     return _views(spark, d)
 
 
+def _named(spark, df, bucket_by):
+    """``df`` as a catalog table of a name of its own."""
+    return save_table(df, f"features_{uuid.uuid4().hex}", bucket_by)
+
+
+@query("s1_bucketed_rollup")
+def s1_bucketed_rollup(spark, d):
+    """A5 over the feature table saved in the catalog, bucketed by product: no exchange."""
+    return quantize_columns(weekly_rollup(_named(spark, _x1(spark, d), ["productid"])), WEEKLY_MEANS)
+
+
+@query("s1_bucketed_join")
+def s1_bucketed_join(spark, d):
+    """J1 over orders and view statistics saved in the catalog, both bucketed by product: no exchange."""
+    orders = _named(spark, _orders(spark, d), ["productid"])
+    return join_view_stats(orders, _named(spark, view_stats(_views(spark, d)), ["productid"]))
+
+
 @query("s2_projected_view_scan")
 def s2_projected_view_scan(spark, d):
     return _views(spark, d).select(*VIEW_SCAN_COLUMNS)
@@ -321,6 +343,11 @@ def j5_pair_join_counts(spark, d):
     return pair_join_counts(_orders(spark, d), _views(spark, d), ("merchantid", "productid"))
 
 
+@query("j5_pair_join_rows")
+def j5_pair_join_rows(spark, d):
+    return pair_join_rows(_orders(spark, d), _views(spark, d), ("merchantid", "productid"))
+
+
 @query("p10_replace_blank")
 def p10_replace_blank(spark, d):
     return quantize_columns(replace_blank(_x2(spark, d)), MERCHANT_ROUND)
@@ -371,6 +398,28 @@ def f6_split_40_60(spark, d):
             .groupBy(*X1_KEY, "split").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _random_parts(spark, d, weights, seed):
+    """Rows and sums of each part of a seeded random split of the order summary."""
+    parts = random_split(_orders(spark, d), weights, seed)
+    counted = []
+    for i, part in enumerate(parts):
+        with persisted(part) as kept:
+            rows = kept.agg(F.count(F.lit(1)).alias("n"), F.sum("productcount").alias("units"),
+                            F.sum("eventcount").alias("events"), F.max("price").alias("max_price")).first()
+        counted.append((i, rows["n"], rows["units"], rows["events"], rows["max_price"]))
+    return spark.createDataFrame(counted, "part int, n long, units long, events long, max_price double")
+
+
+@query("f5_random_split")
+def f5_random_split(spark, d):
+    return _random_parts(spark, d, (0.7, 0.3), 5)
+
+
+@query("f6_random_split_40_60")
+def f6_random_split_40_60(spark, d):
+    return _random_parts(spark, d, (0.4, 0.6), 11)
+
+
 # ---------------------------------------------------------------- learners on one feature (exact oracles)
 #
 # With the single feature ``relativeprice`` (4 distinct values) a regression
@@ -644,3 +693,116 @@ def m4_linear_residuals(spark, d):
     """Residuals of the training part, counted by value."""
     residuals = linear_summary(_linear(spark, d))["residuals"].select(quantize("residuals").alias("residual"))
     return residuals.groupBy("residual").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- model checks over full vectors (exact oracles)
+#
+# No SQL can refit a bagged forest, but what a fitted model says can be checked
+# row by row: its node rows score like MLlib on every test row, add up, and (one
+# tree) give in every leaf the mean label of the training rows that land there.
+
+@query("x3_weekly_check")
+def x3_weekly_check(spark, d):
+    run = weekly_model(_x1_saved(spark, d))
+    return model_check(spark, run.model, run.predictions, run.train)
+
+
+@query("x4_monthly_check")
+def x4_monthly_check(spark, d):
+    run = monthly_model(_x1_monthly_saved(spark, d))
+    return model_check(spark, run.model, run.predictions, run.train)
+
+
+def _one_tree_check(check):
+    """These splits hash doubles as text, which engines write differently: only both parts together are compared."""
+    return check.select((F.col("n_test") + F.col("n_train")).alias("n_rows"),
+                        (F.col("n_test") == F.col("n_equal")).alias("all_equal"),
+                        close(F.col("sum_label"), F.col("sum_prediction")).alias("same_sum"),
+                        *[c for c in check.columns if c.startswith("wrong_") or c == "trees"])
+
+
+@query("x5_stock_check")
+def x5_stock_check(spark, d):
+    run = stock_model(_x2_saved(spark, d))
+    return _one_tree_check(model_check(spark, run.model, run.predictions, run.model.transform(run.train), "features",
+                                       exact_leaves=True))
+
+
+@query("x6_libsvm_check")
+def x6_libsvm_check(spark, d):
+    run = _monthly_libsvm(spark, d)
+    # The split hashes a vector's text, which no SQL can write: only both parts together are compared.
+    checked = model_check(spark, run.model, run.predictions, run.train)
+    return (checked.withColumn("all_equal", F.col("n_test") == F.col("n_equal"))
+                   .withColumn("n_rows", F.col("n_test") + F.lit(run.train.count())).drop("n_test", "n_equal", "better"))
+
+
+@query("x7_product_check")
+def x7_product_check(spark, d):
+    run = product_model(_orders(spark, d), _views(spark, d))
+    return _one_tree_check(model_check(spark, run.model, run.predictions, run.model.transform(run.train),
+                                       exact_leaves=True))
+
+
+def _nodes(spark, model):
+    """Node rows with the importance of their feature in the whole model."""
+    nodes = materialize(node_table(spark, model), "nodes")
+    return nodes.join(F.broadcast(node_importances(nodes)), "feature", "left")     # a row per feature
+
+
+@query("x4_monthly_nodes")
+def x4_monthly_nodes(spark, d):
+    return _nodes(spark, monthly_model(_x1_monthly_saved(spark, d)).model)
+
+
+@query("x5_stock_nodes")
+def x5_stock_nodes(spark, d):
+    return _nodes(spark, stock_model(_x2_saved(spark, d)).model)
+
+
+@query("x6_libsvm_nodes")
+def x6_libsvm_nodes(spark, d):
+    return _nodes(spark, _monthly_libsvm(spark, d).model)
+
+
+@query("m9_score_by_nodes")
+def m9_score_by_nodes(spark, d):
+    """The one-feature tree as a CASE expression: the same rows as its transform."""
+    data, model = _one_feature_tree(spark, d)
+    pred = score_by_nodes(data.where(F.col("split") == "test"), node_table(spark, model), "features", "prediction")
+    return pred.select(*X1_KEY, "relativeprice", "label", quantize("prediction").alias("prediction"))
+
+
+@query("m8_weekly_folds")
+def m8_weekly_folds(spark, d):
+    """Held-out rows of each of the 12 fold fits of the weekly job, whether node rows and MLlib give one error, and
+    whether the depth of the refitted model has the least mean error."""
+    run = weekly_model(_x1_saved(spark, d), keep_sub_models=True)
+    errors = materialize(fold_errors(run.cv, run.train, WEEKLY_DEPTH_GRID, "_fold"), "fold-errors")
+    chosen = last_model(run.model).getMaxDepth()
+    means = errors.groupBy("grid_point").agg(F.avg("rmse").alias("mean_rmse"))
+    least = means.orderBy("mean_rmse", "grid_point").first()["grid_point"]         # one row per depth
+    depth = F.lit(list(WEEKLY_DEPTH_GRID))[F.col("grid_point")]
+    told = spark.createDataFrame([(i, float(m)) for i, m in enumerate(run.cv.avgMetrics)], "grid_point int, told double")
+    return errors.join(F.broadcast(means.join(told, "grid_point")), "grid_point").select(
+        "fold", depth.alias("depth"), "n", close(F.col("rmse"), F.col("mllib_rmse")).alias("same_error"),
+        close(F.col("mean_rmse"), F.col("told")).alias("same_mean"),
+        F.lit(WEEKLY_DEPTH_GRID[least] == chosen).alias("chose_least"))
+
+
+@query("m4_weekly_linear")
+def m4_weekly_linear(spark, d):
+    """Elastic net on the weekly job's ten features from the sums of one aggregate: one row per coefficient, with what
+    one deviation of the feature adds, and whether the objective is as low as that of the job's own solver."""
+    weekly = having(weekly_rollup(_x1(spark, d)))
+    data = materialize(cast_label(weekly, "label"), "weekly-linear")
+    train, _ = split(data, WEEKLY_KEYS, 0.7)
+    sums = moments(train, WEEKLY_FEATURES)
+    found = elastic_net(sums)
+    told = last_model(fit(assemble(train, WEEKLY_FEATURES, "features"), [linear_regressor("label", "features")]))
+    optimal = objective(sums, found.coefficients) <= objective(sums, told.coefficients.toArray()) + 1e-12
+    effects = found.coefficients * deviations(sums)[:-1]
+    rows = [(i, float(w), float(e), bool(optimal)) for i, (w, e) in enumerate(zip(found.coefficients, effects))]
+    rows.append((len(rows), found.intercept, None, bool(optimal)))
+    out = spark.createDataFrame(rows, "feature int, coefficient double, effect double, optimal boolean")
+    return quantize_columns(out, ("coefficient", "effect"))

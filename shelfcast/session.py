@@ -123,6 +123,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def has_folders(spark: SparkSession, path: str, prefix: str) -> bool:
+    """Is ``path`` a folder with folders whose names start with ``prefix``?"""
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.exists(hadoop_path) and any(s.isDirectory() and s.getPath().getName().startswith(prefix)
+                                          for s in fs.listStatus(hadoop_path))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
     fs.delete(hadoop_path, True)

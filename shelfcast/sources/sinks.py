@@ -5,17 +5,18 @@ share the primary key collapse and the last writer wins.  On parquet that
 becomes a partitioned table whose partition columns are part of the key,
 so every key lives in exactly one partition:
 
-    <root>/data/_v=<version>/_p_year=…/_p_month=…/part-*.parquet
-    <root>/commits/part-*.parquet        (_v, _p_year, _p_month)
-
-An upsert reads the current files of the partitions its batch touches, keeps
-one row per key (new batch first, then a stated total order over the other
-columns), writes those partitions under a new version, and then commits by
-adding one file that lists them.  A reader takes, of every partition, the
-newest committed version, so it sees all of a commit or nothing of it; what
-a failed job left behind is never read and is replaced by the next attempt.
-
-The joins on partition values are null-safe, and the real key columns stay
+    <root>/_p_year=…/_p_month=…/part-*.parquet
+
+An upsert reads the partitions its batch touches, keeps one row per key
+(new batch first, then a stated total order over the other columns), writes
+the merged rows to the shared folder and from there replaces the touched
+partitions by Spark's dynamic partition overwrite; other partitions keep their
+files.  Whatever fails before that last copy leaves the table as it was; if
+the copy itself is cut off, the merged rows are repeated by running the same
+batch again (upserting it twice changes nothing).  One upsert at a time, as
+with any overwrite.
+
+The semi join on partition values is null-safe, and the real key columns stay
 inside the files (the folder names are only an address), so null, blank or
 number-like partition values come back as they were written.  Cost is
 proportional to the touched partitions.  The arg-max (``max(struct(...))``)
@@ -31,13 +32,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfcast.fixed import (MERCHANT_ORDER_CONTRACT, MERCHANT_ORDER_KEYS, PRODUCT_ORDER_CONTRACT,
                              PRODUCT_ORDER_KEYS, PRODUCT_ORDER_MONTHLY_EXTRA)
-from shelfcast.session import broadcast_limit, delete_path, materialize, measured, path_exists, scratch_folder
+from shelfcast.session import broadcast_limit, has_folders, materialize, measured, scratch_folder
 
-VERSION = "_v"
 ADDRESS = "_p_"          # prefix of the folder-name copies of the partition columns
 
 
@@ -72,42 +72,19 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]):
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
-def _commits(spark: SparkSession, root: str) -> DataFrame | None:
-    path = f"{root}/commits"
-    return spark.read.parquet(path) if path_exists(spark, path) else None
-
-
-def _data(spark: SparkSession, root: str, commits: DataFrame) -> DataFrame:
-    """The files of every committed version; folder names are read as the strings they are."""
-    versions = [r[0] for r in commits.select(VERSION).distinct().orderBy(VERSION).collect()]   # one per upsert
-    paths = [f"{root}/data/{VERSION}={v}" for v in versions]
-    reader = spark.read.option("basePath", f"{root}/data")
-    fields = [f for f in reader.parquet(paths[-1]).schema if f.name not in commits.columns]
-    address = [StructField(c, LongType() if c == VERSION else StringType()) for c in commits.columns]
-    return reader.schema(StructType(fields + address)).parquet(*paths)
-
-
-def _current(spark: SparkSession, root: str, touched: DataFrame | None = None) -> DataFrame:
-    """Rows of the newest committed version of each (touched) partition, with their address columns."""
-    commits = _commits(spark, root)
-    address = [c for c in commits.columns if c != VERSION]
-    newest = commits.groupBy(*address).agg(F.max(VERSION).alias(VERSION))
-    if touched is not None:
-        newest = newest.join(touched, _same(newest, touched, address), "left_semi")
-    # One row per partition folder: measured, and broadcast it prunes the scan of the data.
-    newest, size = measured(newest, "sink-partitions")
-    data = _data(spark, root, commits)
-    small = F.broadcast(newest) if size <= broadcast_limit(spark) else newest
-    on = (data[VERSION] == newest[VERSION]) & _same(data, newest, address)
-    return data.join(small, on, "left_semi")
+def _table(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table with its address columns, folder names read as the strings they are; ``None`` without rows."""
+    if not has_folders(spark, root, ADDRESS):
+        return None
+    schema = StructType([StructField(f.name, StringType()) if f.name.startswith(ADDRESS) else f
+                         for f in spark.read.parquet(root).schema])
+    return spark.read.schema(schema).parquet(root)
 
 
 def read_features(spark: SparkSession, root: str) -> DataFrame | None:
-    """Read the feature table; ``None`` when nothing was committed yet.  Any other failure raises."""
-    if _commits(spark, root) is None:
-        return None
-    current = _current(spark, root)
-    return current.drop(*[c for c in current.columns if c == VERSION or c.startswith(ADDRESS)])
+    """Read the feature table; ``None`` when nothing was written yet.  Any other failure raises."""
+    table = _table(spark, root)
+    return None if table is None else table.drop(*[c for c in table.columns if c.startswith(ADDRESS)])
 
 
 def write_features(df: DataFrame, root: str, keys: Sequence[str],
@@ -119,30 +96,24 @@ def write_features(df: DataFrame, root: str, keys: Sequence[str],
     spark = df.sparkSession
     address = [f"{ADDRESS}{c}" for c in partition_by]
     with scratch_folder(spark):
-        commits = _commits(spark, root)
-        if commits is None:
-            version, batch = 1, df.withColumn("_batch", F.lit(1))
-        else:
-            version = commits.agg(F.max(VERSION)).first()[0] + 1
+        table = _table(spark, root)
+        batch = df.withColumn("_batch", F.lit(1))
+        if table is not None:
             new = materialize(df, "upsert-batch")            # for its partitions and for its rows
-            touched = new.select(*_address(partition_by)).distinct()
-            old = _current(spark, root, touched).select(*df.columns)
+            # One row per touched partition folder: measured, and broadcast it prunes the scan of the table.
+            touched, size = measured(new.select(*_address(partition_by)).distinct(), "sink-partitions")
+            small = F.broadcast(touched) if size <= broadcast_limit(spark) else touched
+            old = table.join(small, _same(table, touched, address), "left_semi").select(*df.columns)
             batch = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-        target = f"{root}/data/{VERSION}={version}"
-        delete_path(spark, target)                           # of an attempt that never committed
         merged = dedupe_latest(batch, keys, "_batch").select(*df.columns, *_address(partition_by))
+        if table is not None:
+            merged = materialize(merged, "upsert-merged")    # a table cannot be read while it is replaced
         # REBALANCE clusters rows by partition value (few files per partition
         # folder) while AQE splits a hot partition over several tasks and
         # coalesces small ones.
-        merged.hint("rebalance", *address).write.partitionBy(*address).parquet(target)
-        if not path_exists(spark, f"{target}/_SUCCESS"):
-            raise RuntimeError(f"{target} was not written completely")
-        schema = StructType([*df.schema.fields, *[StructField(c, StringType()) for c in address]])
-        written = spark.read.schema(schema).parquet(target)
-        # One row per partition folder; the single file appears at once or not at all.
-        (written.select(F.lit(version).cast("long").alias(VERSION), *address).distinct()
-                .coalesce(1).write.mode("append").parquet(f"{root}/commits"))
-        return written.count()
+        (merged.hint("rebalance", *address).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy(*address).parquet(root))
+        return merged.count() if table is not None else (read_features(spark, root) or df.limit(0)).count()
 
 
 __all__ = ["MERCHANT_ORDER_CONTRACT", "MERCHANT_ORDER_KEYS", "PRODUCT_ORDER_CONTRACT", "PRODUCT_ORDER_KEYS",

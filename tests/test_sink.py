@@ -5,6 +5,7 @@ import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfcast.session import shared_dir
 from shelfcast.sources.sinks import read_features, write_features
@@ -21,6 +22,10 @@ def _write(spark, root, rows, schema=SCHEMA):
     return write_features(spark.createDataFrame(rows, schema), root, ["k", "p"], ["p"])
 
 
+def _files(root, p):
+    return sorted(glob.glob(f"{root.removeprefix('file:')}/_p_p={p}/*.parquet"))
+
+
 def _read(spark, root):
     return sorted(map(tuple, read_features(spark, root).collect()), key=repr)
 
@@ -40,16 +45,17 @@ def test_number_like_and_blank_partitions_come_back_as_written(spark, root):
 
 def test_new_batch_wins_and_untouched_partitions_stay_as_files(spark, root):
     _write(spark, root, [("A", "x", 9.0), ("B", "x", 1.0), ("Z", "y", 5.0)])
+    before = _files(root, "y")
     assert _write(spark, root, [("A", "x", 2.0), ("C", "x", 3.0)]) == 3
     assert _read(spark, root) == [("A", "x", 2.0), ("B", "x", 1.0), ("C", "x", 3.0), ("Z", "y", 5.0)]
-    assert not glob.glob(f"{root.removeprefix('file:')}/data/_v=2/_p_p=y")
+    assert _files(root, "y") == before
     _write(spark, root, [("A", "x", 2.0), ("C", "x", 3.0)])           # a re-run changes nothing
     assert _read(spark, root) == [("A", "x", 2.0), ("B", "x", 1.0), ("C", "x", 3.0), ("Z", "y", 5.0)]
 
 
 def test_unreadable_file_raises_and_nothing_is_lost(spark, root):
     _write(spark, root, [("A", "x", 1.0), ("Z", "y", 5.0)])
-    path = glob.glob(f"{root.removeprefix('file:')}/data/_v=1/_p_p=y/*.parquet")[0]
+    path = _files(root, "y")[0]
     whole = open(path, "rb").read()
     os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
     with open(path, "wb") as f:
@@ -63,12 +69,23 @@ def test_unreadable_file_raises_and_nothing_is_lost(spark, root):
     assert _read(spark, root) == [("A", "x", 1.0), ("Z", "y", 5.0)]
 
 
-def test_uncommitted_version_is_never_read(spark, root):
+def test_failing_batch_leaves_the_table_as_it_was(spark, root):
+    _write(spark, root, [("A", "x", 1.0), ("Z", "y", 5.0)])
+    before = _files(root, "x") + _files(root, "y")
+    batch = spark.createDataFrame([("B", "x", 2.0), ("C", "y", 0.0)], SCHEMA).withColumn(
+        "v", F.when(F.col("k") == "C", F.raise_error(F.lit("lost"))).otherwise(F.col("v")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        write_features(batch, root, ["k", "p"], ["p"])
+    assert _files(root, "x") + _files(root, "y") == before
+    assert _read(spark, root) == [("A", "x", 1.0), ("Z", "y", 5.0)]
+
+
+def test_empty_batches(spark, root):
+    assert _write(spark, root, []) == 0
+    assert read_features(spark, root) is None
     _write(spark, root, [("A", "x", 1.0)])
-    spark.createDataFrame([("B", "x", 2.0)], SCHEMA).write.parquet(f"{root}/data/_v=2/_p_p=x")   # died before its commit
+    assert _write(spark, root, []) == 0
     assert _read(spark, root) == [("A", "x", 1.0)]
-    _write(spark, root, [("C", "x", 3.0)])
-    assert _read(spark, root) == [("A", "x", 1.0), ("C", "x", 3.0)]
 
 
 def test_missing_table_reads_as_none(spark, root):
