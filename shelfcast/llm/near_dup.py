@@ -15,9 +15,10 @@
    registers; a pair estimated far below the threshold is dropped (seven
    standard errors), all others are checked on their full sets.
 5. Confirmed pairs are contracted to components.  Where members of one bucket
-   are still in different components, they meet in one task (a large bucket is
-   dealt in blocks of ``BLOCK_ROWS`` by ``BLOCK_ROWS``) and all pairs across
-   components are compared there: first on 32-bit copies of their sets, and
+   are still in different components, the members outside the bucket's largest
+   component meet all others in one task (a large bucket is dealt in blocks of
+   ``BLOCK_ROWS`` by ``BLOCK_ROWS``) and all pairs across components are compared
+   there: first on 32-bit copies of their sets, and
    what passes on the full sets.  Only a pair that reaches the threshold on
    these joins two components of the block and leaves the task, so a pair
    below it hides no other.  No link between components is lost, pairs inside
@@ -25,8 +26,8 @@
 
 Scale: no step gathers a group in one task: classes and hubs come from
 combinable aggregates, the rest are equi-joins whose large keys adaptive
-execution splits.  Components are contracted by joins, written after each
-round; nothing but row counts reaches the driver.
+execution splits.  Components are contracted by joins with pointer jumping, in
+logarithmically many rounds, each written; nothing but row counts reaches the driver.
 
 Cases: texts without words (null among them) have an empty set and are linked
 with nothing; a row without an id is no node (its component is null, and it
@@ -52,6 +53,7 @@ from shelfcast.session import materialize
 
 # Defaults of near-duplicate stages; the registered query sets its contract's two words.
 SHINGLE = 5
+QUERY_SHINGLE = 2
 SIMILARITY_PCT = 80
 
 REGISTERS = 200
@@ -260,15 +262,26 @@ def _compare(pct: int):
 
 
 def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Linked pairs (a, b) of components that share a bucket; ``label``: bucket, id, component."""
-    split = label.groupBy("bucket").agg(F.min("component").alias("_min"), F.max("component").alias("_max"),
-                                        F.ceil(F.count(F.lit(1)) / block_rows).alias("parts")).where("_min != _max")
-    split = materialize(split.select("bucket", "parts"), "near-split")
-    apart = (label.join(split, "bucket")
-                  .withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")))
-                  .join(sets.select("id", "short", "hashes"), "id"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = apart.withColumn("other", other).select(
+    """Linked pairs (a, b) of components that share a bucket; ``label``: bucket, id, component.
+
+    Members of a bucket's largest component are compared with the others only, so they go
+    to as many tasks as the others have blocks (one as a rule), whatever their number.
+    """
+    per = label.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = per.groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    blocks = lambda n: F.ceil(n / block_rows)
+    split = materialize(split.where("kinds > 1").select(
+        "bucket", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("mains"),
+        blocks(F.col("all") - F.col("main.n")).alias("others")), "near-split")
+    # Blocks of the largest component are numbered first, those of the others behind them.
+    drawn = F.xxhash64("id", "bucket")
+    outside = F.col("component") != F.col("main")
+    apart = label.join(split, "bucket").withColumn("part", F.when(
+        outside, F.col("mains") + F.pmod(drawn, F.col("others"))).otherwise(F.pmod(drawn, F.col("mains"))))
+    first = F.when(outside, F.lit(0).cast("long")).otherwise(F.col("mains"))
+    other = F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1))
+    dealt = apart.join(sets.select("id", "short", "hashes"), "id").withColumn("other", other).select(
         "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
         "id", "component", "part", "short", "hashes")
     keys = ["bucket", "lo", "hi"]
@@ -276,17 +289,32 @@ def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int =
                  .mapInPandas(_compare(pct), "a long, b long").distinct())
 
 
+def to_roots(to: DataFrame) -> DataFrame:
+    """(id, to) with smaller or equal ``to`` → the same with the end of each path, by pointer jumping: the length of
+    all paths halves each time, so their number is logarithmic."""
+    while True:
+        ahead = to.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+        jumped = materialize(to.join(ahead, F.col("to") == F.col("_id")).select(
+            "id", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved")), "near-map")
+        to = jumped.select("id", "to")
+        if not jumped.where("moved").head(1):
+            return to
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for every id in them.
 
-    Each round sends every node to its smallest neighbour and contracts the
-    graph by that map, until no link is left; the maps are then composed.
+    Each round sends every node to its smallest neighbour, follows these
+    pointers to their ends (``to_roots``) and contracts the graph by that map, until
+    no link is left; the maps are then composed.  A chain in the order of its
+    ids is contracted by one round of logarithmically many jumps.
     """
     maps = []
     edges = materialize(links.distinct(), "near-links")
     while edges.head(1):
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         to = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("to")), "near-map")
+        to = to_roots(to)
         maps.append(to)
         one = edges.join(to, F.col("a") == F.col("id")).select(F.col("to").alias("a"), "b")
         two = one.join(to, F.col("b") == F.col("id")).select("a", F.col("to").alias("b")).where("a != b")

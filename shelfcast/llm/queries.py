@@ -78,7 +78,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.with_components(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+    return near_dup.with_components(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    near_dup.QUERY_SHINGLE)
 
 
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
