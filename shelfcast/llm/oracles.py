@@ -7,6 +7,8 @@ op3, op10 and op13 (trained models), op6 (maximal line runs), op9 (bytes), op11
 
 from __future__ import annotations
 
+import re
+
 from shelfcast.llm import licenses, quality
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,12 +38,21 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_COUNT = lambda pattern: f"len(regexp_extract_all(x, {_text(pattern)}))"
+_MATCH = lambda pattern, x="x": f"regexp_matches({x}, {_text(pattern)})"
+_ENDS = lambda x: f"({_MATCH(quality.ENDINGS, x)} OR {_MATCH(quality.SENTENCE_INSIDE, x)})"
+_GOES_ON = lambda x: f"coalesce({_MATCH(quality.GOES_ON, x)}, false)"
+_WRAPPED = (f"({_GOES_ON('next1')} AND ({_ENDS('next1')} OR {_GOES_ON('next2')} AND ({_ENDS('next2')} OR "
+            f"{_GOES_ON('next3')} AND {_ENDS('next3')})))")
 _LINE_FAILS = f"""(
-  NOT regexp_matches(x, {_text(quality.ENDINGS)}) AND NOT regexp_matches(x, {_text(quality.SENTENCE_INSIDE)})
-  OR len(regexp_extract_all(x, '[|»›•]')) > {quality.MAX_SEPARATORS}
-  OR regexp_matches(x, {_text(quality.NAVIGATION)}) OR regexp_matches(x, {_text(quality.BOILERPLATE)})
-  OR len(regexp_extract_all(x, {_text(quality.SYMBOLS)})) > {quality.MAX_SYMBOL_SHARE} * len(regexp_extract_all(x, '{_WORD}'))
-  OR len(regexp_extract_all(x, '!!+')) > {quality.MAX_SYMBOL_SHARE} * len(regexp_extract_all(x, '{_WORD}')))"""
+  NOT {_MATCH(quality.ENDINGS)} AND NOT {_MATCH(quality.SENTENCE_INSIDE)} AND NOT {_MATCH(quality.CODE_END)}
+    AND NOT ({_MATCH(quality.RUN_ON)} AND {_COUNT(_WORD)} >= {quality.RUN_ON_WORDS})
+    AND NOT {_WRAPPED}
+  OR {_COUNT('[|»›•]')} > {quality.MAX_SEPARATORS} AND {_COUNT('[|»›•]')} > {quality.MAX_SEPARATOR_SHARE} * {_COUNT(_WORD)}
+  OR NOT {_MATCH(quality.ENDINGS)} AND {_MATCH(quality.NAVIGATION)}
+  OR {_MATCH(quality.BOILERPLATE)} AND {_COUNT(quality.BOILERPLATE)} * {quality.PHRASE_WORDS} >= {_COUNT(_WORD)}
+  OR {_COUNT(quality.SYMBOLS)} > {quality.MAX_SYMBOL_SHARE} * {_COUNT(_WORD)}
+  OR {_COUNT('!!+')} > {quality.MAX_SYMBOL_SHARE} * {_COUNT(_WORD)})"""
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
@@ -52,7 +63,9 @@ twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT x) AS n FROM (
           SELECT doc_id, unnest(range(i, i + 3)) AS x FROM win JOIN twice USING (doc_id, g)) GROUP BY ALL),
 line AS (SELECT doc_id, sum(length(x)) AS size, sum(CASE WHEN {_LINE_FAILS} THEN length(x) ELSE 0 END) AS lost
-         FROM (SELECT doc_id, unnest(lines) AS x FROM d) GROUP BY ALL),
+         FROM (SELECT doc_id, l[i] AS x, l[i + 1] AS next1, l[i + 2] AS next2, l[i + 3] AS next3 FROM (
+                 SELECT doc_id, string_split(t, chr(10)) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d))
+         WHERE regexp_matches(x, '{_WORD}') GROUP BY ALL),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, {_text(quality.SYMBOLS)})) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -65,22 +78,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-_TEMPLATES = ", ".join(f"({i}, {_text(label)}, [{', '.join(_text(w) for w in sorted(set(licenses.words_of(t))))}])"
-                       for i, (label, t) in enumerate(licenses.TEMPLATES))
+def _list(text: str) -> str:
+    """Distinct words as an SQL list."""
+    return "[" + ", ".join(_text(w) for w in dict.fromkeys(re.findall("[a-z0-9]+", text.lower()))) + "]::VARCHAR[]"
+
+
+_TEMPLATES = ", ".join(
+    f"({k}, {_text(t.label)}, {_list(t.wording)}, {_list(t.telling)}, {_list(t.without)}, "
+    f"{max(8, 1 << (len(re.findall('[a-z0-9]+', t.wording.lower())) - 1).bit_length())})"
+    for k, t in enumerate(licenses.TEMPLATES))
 _PHRASES = ", ".join(f"({_text(label)}, {_text(words)}, {len(words.split())})" for label, words in licenses.PHRASES)
 
 OP7 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
 phrases(label, words, n) AS (VALUES {_PHRASES}),
-templates(k, label, words) AS (VALUES {_TEMPLATES}),
+templates(k, label, words, telling, without, width) AS (VALUES {_TEMPLATES}),
 base AS (SELECT doc_id, label, i - 1 AS spot FROM (
            SELECT doc_id, w, label, words, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, phrases)
          WHERE array_to_string(w[i:i + n - 1], ' ') = words),
-block AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(x), '{_ALNUM}')) AS words
-          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+block AS (SELECT doc_id, width, list_distinct(w[i + 1:i + 2 * width]) AS words FROM (
+            SELECT doc_id, w, width, unnest(range(0, len(w), width)) AS i FROM d, (SELECT DISTINCT width FROM templates))),
 share AS (SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share
-          FROM block b, templates t
-          WHERE len(list_intersect(b.words, t.words)) >= ceil({licenses.THRESHOLD} * len(t.words) - 1e-9)),
+          FROM block b JOIN templates t ON b.width = t.width
+          WHERE len(list_intersect(b.words, t.words)) >= ceil({licenses.THRESHOLD} * len(t.words) - 1e-9)
+            AND list_has_all(b.words, t.telling) AND NOT list_has_any(b.words, t.without)),
 n AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY ALL),
 alls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

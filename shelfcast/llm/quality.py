@@ -1,10 +1,13 @@
 """Operator 5 — line-first quality rules, built-in functions only.
 
 Each line with a word is judged by itself: it fails as navigation (cut by
-separators, or a menu phrase), as boilerplate (stock phrases), for lacking
-any closing punctuation, or for carrying symbols or shouted marks on most words.
-Separators and stock phrases count by the line's words, so a long paragraph or a
-document in one line does not fail for a phrase that it mentions.
+separators, or a menu phrase without a sentence end), as boilerplate (stock
+phrases), for lacking any closing punctuation, or for carrying symbols or shouted
+marks on most words.  A line that runs on needs no closing punctuation: one of
+``RUN_ON_WORDS`` that ends in a comma or a dash, one that ends as code does, and
+one whose next lines go on in lower case until one of them (at most ``WRAPPED``
+lines on) has a sentence end, so wrapped prose, verse and code keep their lines.  Separators and stock phrases count by the line's words, so a long
+paragraph or a document in one line does not fail for a phrase that it mentions.
 Failing lines are removed; a document that loses more than ``MAX_LOST`` of
 the characters of its lines is rejected, and so is one that fails the base
 rules (fewer than 50 words, or more than half of its words inside repeated
@@ -17,11 +20,14 @@ n log n, not n².  Everything runs in the JVM in one pass.
 
 Cases: null text counts as empty (no words, base rules reject it); blank
 lines are neither judged nor removed; equal rows get equal verdicts; other
-columns are carried through.
+columns are carried through, and must not be called like the figures named in
+``with_quality`` (those are replaced).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +45,20 @@ MAX_SEPARATORS = 2        # menu separators in a line of prose
 MAX_SEPARATOR_SHARE = 0.1  # menu separators per word, in a line with more than those
 PHRASE_WORDS = 20         # words of a line that one stock phrase makes boilerplate
 MAX_SYMBOL_SHARE = 0.3    # symbols, or shouted marks, per word
-ENDINGS = r"""[.!?:;…。！？][\"'”’»)\]]*\s*$"""
-SENTENCE_INSIDE = r"""[.!?…。！？][\"'”’»)\]]*\s"""
-NAVIGATION = r"(?i)^\W*(home|menu|log ?in|sign (in|up)|next|previous|search|skip to|back to|read more|click here|share)\b\W*(?:\w+\W+){0,4}\w*$"
+RUN_ON_WORDS = 4          # words of a line that may end in a comma or a dash
+WRAPPED = 3               # lines within which a wrapped sentence must end
+# Patterns read alike by Java and by RE2: no \\b, \\s or $ (fixed values; stock phrases in the languages of the tables).
+ENDINGS = r"""[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*\z"""
+SENTENCE_INSIDE = r"""[.!?…。！？][\"'”’»)\]]*[\x20\x09-\x0D]"""
+RUN_ON = r"[,\-–—][\x20\x09-\x0D]*\z"
+CODE_END = r"[{};()\[\]][\x20\x09-\x0D]*\z"
+GOES_ON = r"^[\x20\x09-\x0D]*[a-zàâäæçèéêëíîïñóôöœùúûüÿß]"
+NAVIGATION = (r"(?i)^[^A-Za-z0-9_]*(home|menu|log ?in|sign (in|up)|next|previous|search|skip to|back to|read more|click here|"
+              r"share|startseite|anmelden|weiterlesen|zurück zu|accueil|connexion|lire la suite|retour à|inicio|"
+              r"iniciar sesión|leer más|volver a)([^A-Za-z0-9_]+([A-Za-z0-9_]+[^A-Za-z0-9_]+){0,4}[A-Za-z0-9_]*)?\z")
 BOILERPLATE = (r"(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|enable javascript|"
-               r"lorem ipsum|subscribe to|powered by|newsletter")
+               r"lorem ipsum|subscribe to|powered by|newsletter|alle rechte vorbehalten|datenschutzerkl|"
+               r"tous droits r|mentions l.gales|todos los derechos reservados|pol.tica de privacidad")
 
 
 def repeat_words(words: Column) -> Column:
@@ -67,14 +82,19 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(let(window, by_hash))
 
 
-def line_fails(line: Column) -> Column:
-    """The verdict on one line that has a word."""
+def line_fails(line: Column, following: Sequence[Column]) -> Column:
+    """The verdict on one line that has a word; ``following`` are the next ``WRAPPED`` lines, null behind the last."""
     n_words = F.regexp_count(line, F.lit(WORD))
     limit = n_words * MAX_SYMBOL_SHARE
     separators = F.regexp_count(line, F.lit(r"[|»›•]"))
-    return ((~line.rlike(ENDINGS) & ~line.rlike(SENTENCE_INSIDE))
+    ends = line.rlike(ENDINGS)
+    wrapped = F.lit(False)
+    for x in reversed(following):
+        wrapped = F.coalesce(x.rlike(GOES_ON), F.lit(False)) & (x.rlike(ENDINGS) | x.rlike(SENTENCE_INSIDE) | wrapped)
+    runs_on = line.rlike(CODE_END) | (line.rlike(RUN_ON) & (n_words >= RUN_ON_WORDS)) | wrapped
+    return ((~ends & ~line.rlike(SENTENCE_INSIDE) & ~runs_on)
             | ((separators > MAX_SEPARATORS) & (separators > n_words * MAX_SEPARATOR_SHARE))
-            | line.rlike(NAVIGATION)
+            | (~ends & line.rlike(NAVIGATION))
             | (line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PHRASE_WORDS >= n_words))
             | (line.rlike(SYMBOLS) & (F.regexp_count(line, F.lit(SYMBOLS)) > limit))
             | (F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit("!!+")) > limit)))
@@ -92,9 +112,9 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
                         repeat_words(words).cast("long").alias("n_repeat_words"))
 
     def line_figures(lines: Column) -> Column:
-        judged = F.transform(lines, lambda x: F.struct(
+        judged = F.transform(lines, lambda x, i: F.struct(
             x.alias("line"), F.when(has_word(x), F.length(x)).otherwise(0).alias("size"),
-            F.when(has_word(x), line_fails(x)).otherwise(F.lit(False)).alias("fails")))
+            F.when(has_word(x), line_fails(x, [F.get(lines, i + k) for k in range(1, WRAPPED + 1)])).otherwise(F.lit(False)).alias("fails")))
         with_word = F.filter(lines, has_word)
         return F.struct(judged.alias("judged"),
                         let(with_word, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("dup"))
