@@ -8,9 +8,11 @@ rest of its budget is met by documents chosen through their lengths:
 
 1. documents are counted by exact length (one combinable aggregate);
 2. each length takes its proportional share of the budget, rounded down;
-3. what is left is fitted by a bounded knapsack over the lengths (subset
-   sums as a bit set), so the taken words hit the budget exactly whenever
-   the lengths allow it;
+3. of what is left, the longest lengths first take all but ``FIT_SPAN`` words, and
+   these are fitted by a bounded knapsack over the lengths (subset sums as a bit
+   set): nothing comes nearer to the budget among the ways to fill the last
+   ``FIT_SPAN`` words.  A few documents that are each longer than that may leave
+   a gap that another choice of them would close;
 4. within a length, the documents with the smallest seeded hash are taken.
 
 Scale: only (source, length) counts meet in one task per source, never

@@ -35,7 +35,8 @@ measured against ``common.BROADCAST_BYTES``, beyond that by a join.
 Cases: null and empty text have no bytes; texts under ``LENGTH`` bytes lose
 nothing; rows equal in id and text are one document and get the same result;
 rows without an id come last, rows of one id are ordered by a hash of their
-text; other columns are carried through.
+text; other columns are carried through, whatever their names (but ``deduped``,
+which is replaced).
 """
 
 from __future__ import annotations
@@ -388,10 +389,10 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus ``deduped``: n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     spans = removed_spans(docs, text)
     small = near(spans, F.size("spans").cast("long") * 24 + 48)
-    joined = (docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID)))
-                  .withColumn("_th", F.xxhash64(text_or_empty(text)))
-                  .join(small.withColumnRenamed("th", "_h").withColumnRenamed("spans", "_spans"),
-                        (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("_h")), "left"))
+    # The whole row as one column: none of its names can clash.
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "deduped"]).alias("row"),
+                        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text_or_empty(text)).alias("key"))
+    joined = whole.join(small, (F.col("id") == F.col("doc")) & (F.col("key") == F.col("th")), "left")
 
     @pandas_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -406,4 +407,5 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 keep.append(data[at:])
                 rows.append((len(data), gone, len(keep) - 1, b"".join(keep)))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-    return joined.withColumn("deduped", cut(text_or_empty(text), F.col("_spans"))).select(*docs.columns, "deduped")
+    body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
+    return joined.select("row", cut(body, F.col("spans")).alias("deduped")).select("row.*", "deduped")

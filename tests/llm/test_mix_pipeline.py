@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import SMALL
-from tests.llm.test_dedup import LOWER, alnum, brute_components, brute_lines
+from tests.llm.test_dedup import LOWER, alnum, brute_components, window_lines
 from tests.llm.test_scans import brute_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,7 +131,7 @@ def test_quality_stage_rejects_what_the_rules_reject(stages, name):
 @pytest.mark.parametrize("name", FOLDERS)
 def test_line_stage_deletes_later_copies(stages, name):
     before, after, _ = stages[name, "line_dedup"]
-    wanted = brute_lines([(r["doc_id"], r["text"]) for r in before], 8)
+    wanted = window_lines([(r["doc_id"], r["text"]) for r in before], 8)
     emptied = sum(1 for _, n, gone, _, _ in wanted if gone and gone == n)
     assert len(after) == len(before) - emptied
     import hashlib
@@ -142,9 +142,28 @@ def test_line_stage_deletes_later_copies(stages, name):
 @pytest.mark.parametrize("name", FOLDERS)
 def test_near_stage_keeps_one_of_each_group(stages, name):
     before, after, _ = stages[name, "near_dedup"]
-    found = brute_components([(r["doc_id"], r["text"]) for r in before], 5)
-    assert Counter(r["doc_id"] for r in after) == Counter(
-        {d: 1 if d is not None else n for d, n in Counter(d for d, _, _, keep in found if keep).items()})
+    # An id with several texts stands for several documents, behind all others.
+    ids = Counter(d for d, _ in {(r["doc_id"], r["text"]) for r in before} if d is not None)
+    last = max(ids, default=0)
+    twice = sorted((r for r in {(r["doc_id"], r["text"]) for r in before if ids[r["doc_id"]] > 1}))
+    node = {key: last + 1 + k for k, key in enumerate(twice)}
+    keys = [(r["doc_id"], r["text"]) for r in before if r["doc_id"] is None]
+    keys += sorted({(r["doc_id"], r["text"]) for r in before if r["doc_id"] is not None})
+    found = brute_components([(node.get(k, k[0]), k[1]) for k in keys], 2)
+    assert Counter((r["doc_id"], r["text"]) for r in after) == Counter(k for k, f in zip(keys, found) if f[-1])
+
+
+def test_near_stage_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(1, words("a"), "en", "s", 1), (1, words("b"), "en", "s", 1), (2, words("a") + " end", "en", "s", 1),
+            (3, words("b") + " end", "en", "s", 1), (4, words("c"), None, "t", 2), (4, words("c"), "de", "s", 1),
+            (None, words("c"), "en", "s", 1), (5, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 3):
+        found = corpus_pipeline.near_dedup(spark, docs.repartition(parts), "").collect()
+        assert sorted((r["doc_id"] or 0, (r["text"] or "")[:2], r["lang"] or "") for r in found) == [
+            (0, "c0", "en"), (2, "a0", "en"), (3, "b0", "en"), (4, "c0", ""), (5, "", "en")]
 
 
 @pytest.mark.parametrize("name", FOLDERS)
@@ -195,7 +214,31 @@ def test_query_matches_its_sql(run, name):
     assert run(name, SMALL, columns) == sorted(map(tuple, result.fetchall()), key=repr)
 
 
+def test_quality_and_licenses_match_their_sql_on_edge_texts(spark, run, tmp_path):
+    """Every kind of line and notice, each alone, in pairs and behind clean prose."""
+    from shelfcast.llm.licenses import TEMPLATES
+    from shelfcast.llm.oracles import ORACLES
+    prose = " ".join([f"Word{i} follows other{i} then comes thing{i} and last{i}." for i in range(120)])
+    lines = ["Next came the rain.", "Home", "Next page", "Sign in now", "a | b | c | d", "x | y | z is a long line of words, "
+             "and so on and on, until it has far more words than bars, which is why it stays | as it is.", "We use cookies here.",
+             "All rights reserved", "no end at all", "but this goes on", "a comma at the end,", "Yes,", "code();", "}", "",
+             "   ", "\t", "# $ % & * |", "wow!! wow!! wow!!", "ends with a quote.\u201d", "ends with blanks.  \t", "carriage return.\r",
+             "carriage return\r", "Zurück zu den Seiten", "zurück zu", "été sans fin", "3 < 4", "Tous droits réservés.", "。", "日本語。",
+             prose, prose + " She baked a cookie and wrote a newsletter. " + prose]
+    texts = [None, "", *lines, *[f"{a}\n{b}" for a in lines for b in lines[::3]], *[f"{prose}\n{a}\n{a}" for a in lines],
+             *["\n".join(x.wording.split()) for x in TEMPLATES], *[f"{prose} {x.wording} {prose}" for x in TEMPLATES]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("op5_quality_rules", "op7_license_scan"):
+        result = con.execute(ORACLES[name])
+        columns = [c[0] for c in result.description]
+        wanted = sorted(map(tuple, result.fetchall()), key=repr)
+        assert run(name, str(tmp_path), columns) == wanted
+
+
 def test_every_query_is_registered():
     import __spark_entry__
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
