@@ -7,14 +7,20 @@ reread table to the next, so a lost executor costs one stage's tasks at most.
 1. ``quality_rules``: failing lines go, and documents that the rules reject.
 2. ``line_dedup``: later copies of repeated line runs go, and documents of
    which nothing is left.
-3. ``near_dedup``: of documents linked by five-word shingles (similarity of
-   0.8 or more) the one with the smallest id stays.
+3. ``near_dedup``: of documents linked by operator 8's two-word shingles
+   (similarity of 0.8 or more) the one with the smallest id stays.  Five-word
+   shingles would find few of the near copies that change a word here and there.
 4. ``decontamination``: documents that hold a benchmark passage go.
 5. ``source_mix``: documents the mix takes, with how often (``copies``).
 
 All but the last return the columns of ``documents``; ``n_chars`` follows the
-text.  Cases: null text is rejected by the quality rules; rows without an id
-are never near copies; rows of one id count as one document in stage 3; an
+text.  A stage's decisions are written before they are applied: a filter on a
+computed verdict would run the rules a second time.
+
+Cases: null text is rejected by the quality rules; rows without an id
+are never near copies; rows that repeat an id with another text are documents of
+their own (behind all others in the order of ids), and of rows equal in id and
+text the one with the least language, source and length stays in stage 3; an
 empty table gives an empty result; extra columns are dropped.
 """
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.functions.ranking import global_rank
 from shelfcast.llm import decontam, line_runs, mixing, near_dup, quality
 from shelfcast.llm.common import near, read
 from shelfcast.session import materialize
@@ -33,36 +40,47 @@ ID_BYTES = 24
 
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
-    """The columns of ``documents`` with another text."""
+    """The columns of ``documents``, the text taken from column ``text``."""
     return docs.select(*[F.col(text).alias("text") if c == "text" else
                          F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
                          for c in COLUMNS])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(quality.with_quality(docs.select(*COLUMNS)).where("kept"), "cleaned")
+    found = quality.with_quality(docs.select(*COLUMNS)).select(*COLUMNS, "cleaned", "kept")
+    return _documents(materialize(found, "pipeline-quality").where("kept"), "cleaned")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_runs.without_repeated_runs(docs.select(*COLUMNS))
-    return _documents(found.where("deduped.n_removed = 0 or deduped.n_removed < deduped.n_lines"), "deduped.text")
+    found = materialize(line_runs.without_repeated_runs(docs.select(*COLUMNS)).drop("text"), "pipeline-lines")
+    return _documents(found.where("deduped.n_removed = 0 or deduped.n_removed < deduped.n_lines")
+                           .withColumn("text", F.col("deduped.text")), "text")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    found = near_dup.with_components(docs.select("doc_id", "text"))
-    copies = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    once = docs.join(near(copies, F.lit(ID_BYTES)), "doc_id", "left_anti")
-    # Rows that repeat an id are one document.
+def _nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``node``: the id, or a number behind all ids for each text of an id that stands twice."""
+    # Ids that repeat, none as a rule.
     again = materialize(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
                             .where("n > 1").select("doc_id"), "near-repeated")
     again = near(again, F.lit(ID_BYTES))
-    return once.join(again, "doc_id", "left_anti").unionByName(
-        once.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    once = docs.join(again, "doc_id", "left_anti").withColumn("node", F.col("doc_id"))
+    texts = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(
+        F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    ranked = global_rank(texts, [F.col("doc_id"), F.col("text").asc_nulls_first()], "node")
+    return once.unionByName(ranked.withColumn("node", F.col("node").cast("long") + F.lit(last + 1)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    nodes = _nodes(docs.select(*COLUMNS))
+    found = near_dup.with_components(nodes.select(F.col("node").alias("doc_id"), "text"), near_dup.QUERY_SHINGLE)
+    copies = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("node")).distinct(), "near-copies")
+    return nodes.join(near(copies, F.lit(ID_BYTES)), "node", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.with_contamination(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+    found = materialize(decontam.with_contamination(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark")),
+                        "pipeline-hits")
     return found.where(F.size("hits.spans") == 0).select(*COLUMNS)
 
 
