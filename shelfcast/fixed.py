@@ -39,6 +39,12 @@ MERCHANT_ORDER_CONTRACT = (
     ("scorethree", "scorethree1"), ("scoretwo", "scoretwo1"), ("stock", "stock"),
 )
 
+# ---- merchant-level view statistics: keys, and the columns whose means get the suffix "1"
+MERCHANT_VIEW_KEYS = ("merchantid", "productid", "brand", "channel", "fastseller", "sellerid")
+MERCHANT_VIEW_MEANS = ("year", "month", "week", "day", "disprice", "eventcount", "price",
+                       "productcount", "scorefive", "scorefour", "scorethree", "scoretwo",
+                       "scoreone")
+
 # ---- rollups: keys, means and sums
 MONTHLY_KEYS = ("productid", "sellerid", "year", "month")
 WEEKLY_KEYS = ("productid", "sellerid", "year", "month", "week")   # month stays: split weeks

@@ -13,14 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VIEW_SCORE_COLUMNS = ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreone")
+from shelfcast.fixed import MERCHANT_VIEW_KEYS, MERCHANT_VIEW_MEANS
 
-# Means taken by the merchant-level view statistics, with the "1" suffix
-# the older feature job gives them.
-MERCHANT_VIEW_MEANS = ("year", "month", "week", "day", "disprice", "eventcount", "price",
-                       "productcount", "scorefive", "scorefour", "scorethree", "scoretwo",
-                       "scoreone")
-MERCHANT_VIEW_KEYS = ("merchantid", "productid", "brand", "channel", "fastseller", "sellerid")
+VIEW_SCORE_COLUMNS = ("scorefive", "scorefour", "scorethree", "scoretwo", "scoreone")
 
 
 def view_stats(views: DataFrame, keys: Sequence[str] = ("productid", "brand"),

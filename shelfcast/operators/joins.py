@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators.aggregates import MERCHANT_VIEW_KEYS
+from shelfcast.fixed import MERCHANT_VIEW_KEYS
 from shelfcast.session import broadcast_limit, measured
 
 ORDER_KEEP_COLUMNS = ("productid", "year", "month", "week", "day", "attrs", "channel",

@@ -15,15 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.fixed import (MERCHANT_ORDER_KEYS, MONTHLY_FEATURES, MONTHLY_KEYS, MONTHLY_MEANS,
-                             PRODUCT_FEATURES, PRODUCT_ORDER_CONTRACT, PRODUCT_ORDER_KEYS, STOCK_FEATURES,
-                             WEEKLY_FEATURES, WEEKLY_KEYS, WEEKLY_MEANS)
+from shelfcast.fixed import (MERCHANT_ORDER_KEYS, MERCHANT_VIEW_KEYS, MERCHANT_VIEW_MEANS, MONTHLY_FEATURES,
+                             MONTHLY_KEYS, MONTHLY_MEANS, PRODUCT_FEATURES, PRODUCT_ORDER_CONTRACT,
+                             PRODUCT_ORDER_KEYS, STOCK_FEATURES, WEEKLY_FEATURES, WEEKLY_KEYS, WEEKLY_MEANS)
 from shelfcast.functions.columns import (cast_label, exp_prediction, key_bucket, log_label,
                                          named_prediction, quantize, quantize_columns,
                                          with_relative_price, with_scores, with_stock_flag)
-from shelfcast.operators.aggregates import (MERCHANT_VIEW_KEYS, MERCHANT_VIEW_MEANS,
-                                            brand_price_counts, grouped_means, prediction_range,
-                                            row_count, view_stats, view_stats_by_merchant)
+from shelfcast.operators.aggregates import (brand_price_counts, grouped_means, prediction_range, row_count,
+                                            view_stats, view_stats_by_merchant)
 from shelfcast.operators.clean import fill_numeric, fill_string, replace_blank
 from shelfcast.operators.indexing import index_category
 from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_view_stats_by_merchant,
@@ -41,7 +40,7 @@ from shelfcast.operators.vectors import (assemble, fit_vector_indexer, persisted
 from shelfcast.plans.demand import (MONTHLY_MAX_CATEGORIES, WEEKLY_DEPTH_GRID, WEEKLY_MAX_CATEGORIES,
                                     monthly_dataset, monthly_model, weekly_dataset, weekly_model)
 from shelfcast.plans.libsvm import libsvm_model
-from shelfcast.plans.merchant_features import (ORDER_SCAN_COLUMNS, VIEW_SCAN_COLUMNS, merchant_features,
+from shelfcast.plans.merchant_features import (ORDER_COLUMNS, VIEW_COLUMNS, merchant_features,
                                                merchant_stats)
 from shelfcast.plans.product_features import joined_view_features, product_features
 from shelfcast.plans.product_models import product_dataset, product_model, weekly_comparison
@@ -147,7 +146,7 @@ def s1_bucketed_join(spark, d):
 
 @query("s2_projected_view_scan")
 def s2_projected_view_scan(spark, d):
-    return _views(spark, d).select(*VIEW_SCAN_COLUMNS)
+    return _views(spark, d).select(*VIEW_COLUMNS)
 
 
 UPSERT_FIRST_BELOW = 70      # key buckets (of 100) that the first batch holds
@@ -314,7 +313,7 @@ def a7_grouped_means(spark, d):
 
 @query("j3_join_view_stats_by_merchant")
 def j3_join_view_stats_by_merchant(spark, d):
-    joined = join_view_stats_by_merchant(_orders(spark, d).select(*ORDER_SCAN_COLUMNS),
+    joined = join_view_stats_by_merchant(_orders(spark, d).select(*ORDER_COLUMNS),
                                          merchant_stats(_views(spark, d)))
     return quantize_columns(joined, MERCHANT_SUFFIXED_MEANS)
 
