@@ -12,7 +12,8 @@ from shelfcast.queries import QUERIES
 
 SMOKE = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "orders", "events")
-SLOW = {"x3_weekly_holdout", "x4_monthly_holdout", "m8_cross_validate"}
+SLOW = {"x3_weekly_holdout", "x4_monthly_holdout", "m8_cross_validate", "m8_weekly_folds", "x3_weekly_check",
+        "x4_monthly_check", "x6_libsvm_check", "x7_product_check"}
 
 
 def _plan(df) -> str:
