@@ -14,8 +14,8 @@ reread table to the next, so a lost executor costs one stage's tasks at most.
 5. ``source_mix``: documents the mix takes, with how often (``copies``).
 
 All but the last return the columns of ``documents``; ``n_chars`` follows the
-text.  A stage's decisions are written before they are applied: a filter on a
-computed verdict would run the rules a second time.
+text.  A stage applies its decisions behind ``_once``, so that a filter on a computed
+verdict does not run the rules a second time.
 
 Cases: null text is rejected by the quality rules; rows without an id
 are never near copies; rows that repeat an id with another text are documents of
@@ -26,7 +26,7 @@ empty table gives an empty result; extra columns are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.ranking import global_rank
@@ -40,21 +40,30 @@ ID_BYTES = 24
 
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
-    """The columns of ``documents``, the text taken from column ``text``."""
+    """The columns of ``documents`` with another text."""
     return docs.select(*[F.col(text).alias("text") if c == "text" else
                          F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
                          for c in COLUMNS])
 
 
+def _once(found: DataFrame, verdict: Column) -> DataFrame:
+    """Rows of ``found`` whose ``verdict`` holds.
+
+    Catalyst pushes a filter below a projection and then computes what both use
+    twice; it leaves a projection with a drawn column as it is.
+    """
+    return found.select("*", F.rand(0).alias("_drawn")).where(verdict & (F.col("_drawn") >= 0)).drop("_drawn")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = quality.with_quality(docs.select(*COLUMNS)).select(*COLUMNS, "cleaned", "kept")
-    return _documents(materialize(found, "pipeline-quality").where("kept"), "cleaned")
+    return _documents(_once(found, F.col("kept")), "cleaned")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(line_runs.without_repeated_runs(docs.select(*COLUMNS)).drop("text"), "pipeline-lines")
-    return _documents(found.where("deduped.n_removed = 0 or deduped.n_removed < deduped.n_lines")
-                           .withColumn("text", F.col("deduped.text")), "text")
+    found = line_runs.without_repeated_runs(docs.select(*COLUMNS))
+    left = F.expr("deduped.n_removed = 0 or deduped.n_removed < deduped.n_lines")
+    return _documents(_once(found, left), "deduped.text")
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -79,9 +88,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(decontam.with_contamination(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark")),
-                        "pipeline-hits")
-    return found.where(F.size("hits.spans") == 0).select(*COLUMNS)
+    found = decontam.with_contamination(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+    return _once(found, F.size("hits.spans") == 0).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
