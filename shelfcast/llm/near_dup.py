@@ -16,10 +16,10 @@
    standard errors), all others are checked on their full sets.
 5. Confirmed pairs are contracted to components.  Where members of one bucket
    are still in different components, the members outside the bucket's largest
-   component meet all others in one task (a large bucket is dealt in blocks of
-   ``BLOCK_ROWS`` by ``BLOCK_ROWS``) and all pairs across components are compared
-   there: first on 32-bit copies of their sets, and
-   what passes on the full sets.  Only a pair that reaches the threshold on
+   component meet all others in one task (a large bucket is dealt in blocks by
+   blocks of ``BLOCK_ROWS`` members or ``BLOCK_HASHES`` hashes) and all pairs across
+   components are compared there: first on the upper halves of their hashes, and
+   what passes on the whole ones.  Only a pair that reaches the threshold on
    these joins two components of the block and leaves the task, so a pair
    below it hides no other.  No link between components is lost, pairs inside
    a component are never looked at, and no list of pairs is made.
@@ -67,6 +67,8 @@ SLICE_ROWS = 500
 SLACK = 7.0                  # standard errors below the threshold that the estimate may lie
 # Members of a bucket that one task compares with as many others.
 BLOCK_ROWS = 512
+# Hashes in the sets of such a block; a block of long texts has fewer members.
+BLOCK_HASHES = 1 << 18
 # Up to so many members pairs are intersected one by one, beyond that by a matrix product.
 PAIRWISE_ROWS = 24
 # Bytes that an id of a broadcast list takes in a task.
@@ -104,12 +106,12 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(smallest) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
-SKETCH = "struct<n:long,signature:binary,registers:binary,hashes:array<long>,short:binary>"
+SKETCH = "struct<n:long,signature:binary,registers:binary,hashes:array<long>>"
 
 
 def sketch(text: Column, size: int, with_set: bool = False) -> Column:
-    """Set size, 128-bit digest of the set, registers and, if asked for, the set in 64 and in 32 bits."""
-    columns = ["n", "signature", "registers", "hashes", "short"]
+    """Set size, 128-bit digest of the set, registers and, if asked for, the set."""
+    columns = ["n", "signature", "registers", "hashes"]
 
     @pandas_udf(SKETCH)
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -117,9 +119,8 @@ def sketch(text: Column, size: int, with_set: bool = False) -> Column:
             rows = []
             for text in texts:
                 s = shingles(text, size)
-                short = np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() if with_set else None
                 rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), registers(s).tobytes(),
-                             s.view(np.int64) if with_set else None, short) if len(s) else (0, *[None] * 4))
+                             s.view(np.int64) if with_set else None) if len(s) else (0, *[None] * 3))
                 if len(rows) == SLICE_ROWS:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -230,7 +231,8 @@ def _compare(pct: int):
         return shared * 100 >= (len(a) + len(b) - shared) * pct
 
     def block(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps, parts, raw, full = zip(*rows)
+        ids, comps, parts, full = zip(*rows)
+        halves = [np.unique((x.view(np.uint64) >> np.uint64(32)).astype(np.uint32)) for x in full]
         lo, hi = min(parts), max(parts)
         left = [k for k, p in enumerate(parts) if p == lo]
         right = left if lo == hi else [k for k, p in enumerate(parts) if p == hi]
@@ -240,7 +242,7 @@ def _compare(pct: int):
             while joined[c] != c:
                 c = joined[c]
             return c
-        for i, j in _across(list(comps), [np.frombuffer(r, np.uint32) for r in raw], left, right, pct):
+        for i, j in _across(list(comps), halves, left, right, pct):
             a, b = root(comps[i]), root(comps[j])
             if a != b and linked(full[i], full[j]):
                 joined[max(a, b)] = min(a, b)
@@ -251,7 +253,7 @@ def _compare(pct: int):
         key, rows = None, []
         for batch in batches:
             out = []
-            for bucket, lo, hi, *row in zip(*(batch[c] for c in ("bucket", "lo", "hi", "id", "component", "part", "short", "hashes"))):
+            for bucket, lo, hi, *row in zip(*(batch[c] for c in ("bucket", "lo", "hi", "id", "component", "part", "hashes"))):
                 if (bucket, lo, hi) != key:
                     out += block(rows) if rows else []
                     key, rows = (bucket, lo, hi), []
@@ -261,19 +263,22 @@ def _compare(pct: int):
     return compare
 
 
-def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int = BLOCK_ROWS,
+                 block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """Linked pairs (a, b) of components that share a bucket; ``label``: bucket, id, component.
 
     Members of a bucket's largest component are compared with the others only, so they go
     to as many tasks as the others have blocks (one as a rule), whatever their number.
     """
-    per = label.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = label.join(sets.select("id", F.col("n").alias("size")), "id").groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     split = per.groupBy("bucket").agg(
-        F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    blocks = lambda n: F.ceil(n / block_rows)
+        F.max(F.struct("n", "component", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+        F.count(F.lit(1)).alias("kinds"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / block_rows, size / block_hashes))
     split = materialize(split.where("kinds > 1").select(
-        "bucket", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("mains"),
-        blocks(F.col("all") - F.col("main.n")).alias("others")), "near-split")
+        "bucket", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("mains"),
+        blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("others")), "near-split")
     # Blocks of the largest component are numbered first, those of the others behind them.
     drawn = F.xxhash64("id", "bucket")
     outside = F.col("component") != F.col("main")
@@ -281,9 +286,9 @@ def links_across(label: DataFrame, sets: DataFrame, pct: int, block_rows: int =
         outside, F.col("mains") + F.pmod(drawn, F.col("others"))).otherwise(F.pmod(drawn, F.col("mains"))))
     first = F.when(outside, F.lit(0).cast("long")).otherwise(F.col("mains"))
     other = F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1))
-    dealt = apart.join(sets.select("id", "short", "hashes"), "id").withColumn("other", other).select(
+    dealt = apart.join(sets.select("id", "hashes"), "id").withColumn("other", other).select(
         "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
-        "id", "component", "part", "short", "hashes")
+        "id", "component", "part", "hashes")
     keys = ["bucket", "lo", "hi"]
     return (dealt.repartition(*keys).sortWithinPartitions(*keys)
                  .mapInPandas(_compare(pct), "a long, b long").distinct())

@@ -398,6 +398,41 @@ def test_chains_are_contracted_in_few_rounds(spark, monkeypatch):
     assert found == {x: root(x) for e in edges for x in e}
 
 
+def test_blocks_of_long_sets_hold_fewer_members(spark, monkeypatch):
+    """The hashes of a block are bounded, whatever the members' sizes, and no link is lost by it."""
+    from shelfcast.llm import near_dup
+    rng = np.random.default_rng(12)
+    rows, sets = [], []
+    for i in range(60):                                              # families of three, half of them long
+        if i % 3 == 0:
+            pool = rng.integers(-2 ** 62, 2 ** 62, 40 if i % 2 else 400)
+        own = np.unique(pool[rng.random(len(pool)) < 0.97])
+        rows.append((1, i, i))
+        sets.append((i, len(own), own.tolist()))
+    label = spark.createDataFrame(rows, "bucket long, id long, component long")
+    frame = spark.createDataFrame(sets, "id long, n long, hashes array<long>")
+    held = spark.sparkContext.accumulator(0)
+    across = near_dup._across
+
+    def counted(comps, halves, left, right, pct):
+        held.add(len(left) < 60)
+        return across(comps, halves, left, right, pct)
+    monkeypatch.setattr(near_dup, "_across", counted)
+    full = {i: set(h) for i, _, h in sets}
+    wanted = {frozenset(f) for f in ((a, b) for a in full for b in full if a < b)
+              if 100 * len(full[f[0]] & full[f[1]]) >= 80 * len(full[f[0]] | full[f[1]])}
+
+    def groups(links):
+        root = {i: i for i in full}
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = {i: new if r == old else r for i, r in root.items()}
+        return {frozenset(i for i in full if root[i] == r) for r in root.values()}
+    found = [tuple(r) for r in near_dup.links_across(label, frame, 80, block_hashes=1000).collect()]
+    assert {frozenset(x) for x in found} <= wanted and groups(found) == groups(map(tuple, wanted))
+    assert held.value > 20                                           # many small blocks instead of one
+
+
 def test_a_large_component_is_not_replicated(spark):
     """30 % of all members in one bucket and one component: each is sent once to meet the few others."""
     from shelfcast.llm import near_dup
@@ -407,10 +442,10 @@ def test_a_large_component_is_not_replicated(spark):
     for i in range(3000):
         rows.append((1, i, 0 if i < 2990 else i))
         own = np.unique(pool[:50] if i == 2995 else rng.choice(pool, 50))
-        sets.append((i, own.tolist(), bytearray(np.unique((own.view(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes())))
+        sets.append((i, len(own), own.tolist()))
     sets[7] = (7, *sets[2995][1:])                                   # the only link
     label = spark.createDataFrame(rows, "bucket long, id long, component long")
-    frame = spark.createDataFrame(sets, "id long, hashes array<long>, short binary")
+    frame = spark.createDataFrame(sets, "id long, n long, hashes array<long>")
     sent = []
     compare = near_dup._compare
 
