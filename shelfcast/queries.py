@@ -29,7 +29,8 @@ from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_vie
                                        pair_join_counts, pair_join_rows, with_relative_brand)
 from shelfcast.operators.learners import (cross_validate, feature_importances, fit, forest_regressor, gbt_regressor,
                                           last_model, linear_regressor, linear_summary, make_pipeline,
-                                          param_grid, score, tree_classifier, tree_regressor, tree_report)
+                                          param_grid, score, tree_classifier, tree_regressor, tree_report,
+                                          weighted_rows)
 from shelfcast.operators.linear_sums import deviations, elastic_net, moments, objective
 from shelfcast.operators.metrics import classification_metrics, nrmse, regression_metrics
 from shelfcast.operators.rollups import having, having_count, monthly_rollup, weekly_rollup
@@ -430,38 +431,51 @@ ONE_FEATURE_SEED = 7
 
 
 def _one_feature(spark, d):
-    """Model input, written once: every fit reads it several times (metadata, split search, training)."""
+    """Model input, written once: fitted on its train part, and its test part scored."""
     x1 = _x1(spark, d).withColumn("label", F.col("productcount").cast("double"))
-    data = with_split(assemble(x1, ["relativeprice"], "features"), X1_KEY, 0.7)
-    return materialize(data.select(*X1_KEY, "relativeprice", "label", "features", "split"), "one-feature")
+    data = with_split(x1, X1_KEY, 0.7).select(*X1_KEY, "relativeprice", "label", "split")
+    return assemble(materialize(data, "one-feature"), ["relativeprice"], "features")
+
+
+def _weighted(data, feature, keep=()):
+    """Learner input of one feature: its distinct (feature, label) rows with their number, written once."""
+    rows = materialize(weighted_rows(data, [feature, "label", *keep]), "weighted-rows")
+    return assemble(rows, [feature], "features")
+
+
+def _fit_train(data, feature, estimator):
+    return fit(_weighted(data.where(F.col("split") == "train"), feature), [estimator])
 
 
 def _fit_one_feature(spark, d, estimator):
     data = _one_feature(spark, d)
-    model = fit(data.where(F.col("split") == "train"), [estimator])
+    model = _fit_train(data, "relativeprice", estimator)
     pred = model.transform(data.where(F.col("split") == "test"))
     return pred.select(*X1_KEY, "relativeprice", "label", quantize("prediction").alias("prediction"))
 
 
+def _one_tree(label="label", features="features"):
+    return tree_regressor(label, features, seed=ONE_FEATURE_SEED, weightCol="weight")
+
+
 @query("m1_tree_regressor")
 def m1_tree_regressor(spark, d):
-    return _fit_one_feature(spark, d, tree_regressor("label", "features", seed=ONE_FEATURE_SEED))
+    return _fit_one_feature(spark, d, _one_tree())
 
 
 @query("m2_forest_regressor")
 def m2_forest_regressor(spark, d):
     return _fit_one_feature(spark, d, forest_regressor("label", "features", numTrees=20, bootstrap=False,
-                                                       seed=ONE_FEATURE_SEED))
+                                                       seed=ONE_FEATURE_SEED, weightCol="weight"))
 
 
 @query("m3_gbt_regressor")
 def m3_gbt_regressor(spark, d):
-    return _fit_one_feature(spark, d, gbt_regressor("label", "features", seed=ONE_FEATURE_SEED))
+    return _fit_one_feature(spark, d, gbt_regressor("label", "features", seed=ONE_FEATURE_SEED, weightCol="weight"))
 
 
 def _tree_predictions(spark, d):
-    data = _one_feature(spark, d)
-    model = fit(data.where(F.col("split") == "train"), [tree_regressor("label", "features", seed=ONE_FEATURE_SEED)])
+    data, model = _one_feature_tree(spark, d)
     return model.transform(data.where(F.col("split") == "test"))
 
 
@@ -469,17 +483,16 @@ def _tree_predictions(spark, d):
 def m6_pipeline(spark, d):
     """A fitted vector indexer and a tree as one pipeline."""
     data = _one_feature(spark, d)
-    indexer = fit_vector_indexer(data, "features", "indexedfeatures", MONTHLY_MAX_CATEGORIES)
-    tree = tree_regressor("label", "indexedfeatures", seed=ONE_FEATURE_SEED)
-    model = make_pipeline([indexer, tree]).fit(data.where(F.col("split") == "train"))
+    rows = _weighted(data, "relativeprice", ["split"])
+    indexer = fit_vector_indexer(rows, "features", "indexedfeatures", MONTHLY_MAX_CATEGORIES)
+    model = make_pipeline([indexer, _one_tree(features="indexedfeatures")]).fit(rows.where(F.col("split") == "train"))
     pred = model.transform(data.where(F.col("split") == "test"))
     return pred.select(*X1_KEY, "relativeprice", "label", quantize("prediction").alias("prediction"))
 
 
 def _one_feature_tree(spark, d):
     data = _one_feature(spark, d)
-    return data, fit(data.where(F.col("split") == "train"),
-                     [tree_regressor("label", "features", seed=ONE_FEATURE_SEED)])
+    return data, _fit_train(data, "relativeprice", _one_tree())
 
 
 @query("m9_score")
@@ -529,10 +542,11 @@ def m4_linear_regression(spark, d):
 @query("m8_cross_validate")
 def m8_cross_validate(spark, d):
     x1 = _x1(spark, d).withColumn("label", F.col("productcount").cast("double"))
-    data = assemble(x1, ["relativeprice"], "features").withColumn("fold", key_bucket(X1_KEY, 4).cast("int"))
-    tree = tree_regressor("label", "features", seed=ONE_FEATURE_SEED)
-    _, metrics = cross_validate(materialize(data.select("label", "features", "fold")), make_pipeline([tree]),
-                                param_grid(tree, {"maxDepth": [4, 8, 10]}), "label", folds=4, fold_col="fold")
+    folded = x1.withColumn("fold", key_bucket(X1_KEY, 4).cast("int"))
+    tree = _one_tree()
+    _, metrics = cross_validate(_weighted(folded, "relativeprice", ["fold"]), make_pipeline([tree]),
+                                param_grid(tree, {"maxDepth": [4, 8, 10]}), "label", folds=4, fold_col="fold",
+                                weight="weight")
     return quantize_columns(metrics, ("avg_metric",))
 
 
