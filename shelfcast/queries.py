@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.fixed import (MERCHANT_ORDER_KEYS, MERCHANT_VIEW_KEYS, MERCHANT_VIEW_MEANS, MONTHLY_FEATURES,
                              MONTHLY_KEYS, MONTHLY_MEANS, PRODUCT_FEATURES, PRODUCT_ORDER_CONTRACT,
-                             PRODUCT_ORDER_KEYS, STOCK_FEATURES, WEEKLY_FEATURES, WEEKLY_KEYS, WEEKLY_MEANS)
+                             PRODUCT_ORDER_KEYS, STOCK_FEATURES, STOCK_INDEXED, WEEKLY_FEATURES, WEEKLY_KEYS,
+                             WEEKLY_MEANS)
 from shelfcast.functions.columns import (cast_label, exp_prediction, key_bucket, log_label,
                                          named_prediction, quantize, quantize_columns,
                                          with_relative_price, with_scores, with_stock_flag)
@@ -88,8 +89,8 @@ def _x1_monthly(spark, d):
     return product_features(_orders(spark, d), _views(spark, d), with_fastseller=True)
 
 
-def _x2(spark, d):
-    return merchant_features(_orders(spark, d), _views(spark, d))
+def _x2(spark, d, reused=False):
+    return merchant_features(_orders(spark, d), _views(spark, d), reused=reused)
 
 
 def _saved(spark, df, keys):
@@ -355,7 +356,7 @@ def p10_replace_blank(spark, d):
 
 @query("f2_index_categories")
 def f2_index_categories(spark, d):
-    return quantize_columns(indexed_stock_table(_x2(spark, d)), MERCHANT_ROUND)
+    return quantize_columns(indexed_stock_table(_x2(spark, d, reused=True)), MERCHANT_ROUND)
 
 
 # ---------------------------------------------------------------- datasets (vectors as columns)
@@ -367,7 +368,7 @@ def _rounded_vector(df, names, means):
 
 @query("x5_stock_dataset")
 def x5_stock_dataset(spark, d):
-    return _rounded_vector(stock_dataset(_x2(spark, d)), STOCK_FEATURES, MERCHANT_ROUND)
+    return _rounded_vector(stock_dataset(_x2(spark, d, reused=True)), STOCK_FEATURES, MERCHANT_ROUND)
 
 
 @query("x5_stock_dataset_saved")
@@ -551,15 +552,16 @@ def m8_cross_validate(spark, d):
 
 
 def _stock_classes(spark, d):
-    indexed = indexed_stock_table(_x2(spark, d))
-    data = assemble(indexed, ["channelindexed"], "features").withColumn("label", F.col("stockindexed"))
-    data = with_split(data, STOCK_CLASS_KEYS, 0.7)
-    return materialize(data.select(*STOCK_CLASS_KEYS, "channelindexed", "label", "features", "split"), "classes")
+    used = {c: STOCK_INDEXED[c] for c in ("channel", "stock")}
+    indexed = indexed_stock_table(_x2(spark, d, reused=True), used).withColumn("label", F.col("stockindexed"))
+    data = with_split(indexed, STOCK_CLASS_KEYS, 0.7).select(*STOCK_CLASS_KEYS, "channelindexed", "label", "split")
+    return assemble(materialize(data, "classes"), ["channelindexed"], "features")
 
 
 def _classifier_predictions(spark, d):
     data = _stock_classes(spark, d)
-    model = fit(data.where(F.col("split") == "train"), [tree_classifier("label", "features", seed=ONE_FEATURE_SEED)])
+    model = _fit_train(data, "channelindexed", tree_classifier("label", "features", seed=ONE_FEATURE_SEED,
+                                                               weightCol="weight"))
     return model.transform(data.where(F.col("split") == "test"))
 
 

@@ -38,3 +38,64 @@ def test_weighted_rows_teach_what_all_rows_teach(spark):
     values = assemble(df.select("x").distinct(), ["x"])
     told = [{r["x"]: round(r["prediction"], 12) for r in m.transform(values).collect()} for m in (every, once)]
     assert told[0] == told[1]
+
+
+@pytest.mark.parametrize("name", ["m5_tree_classifier", "m13_classification_metrics"])
+def test_class_fits_take_distinct_rows(monkeypatch, spark, name):
+    """Four channels, at most nine stock values."""
+    seen = _fitted_rows(monkeypatch, spark, name)
+    assert seen and max(seen) <= 4 * 9
+
+
+def _written(monkeypatch, spark, name):
+    """Names and rows of what the query ``name`` materializes, apart from small lookups."""
+    from shelfcast import session
+    from shelfcast.plans import merchant_features, product_features, product_models, stock
+    from shelfcast.sources import sinks
+    seen, write = [], session.materialize
+
+    def counted(df, label="stage"):
+        out = write(df, label)
+        seen.append((label, out.count()))
+        return out
+    for module in (queries, stock, merchant_features, product_features, product_models, sinks):
+        monkeypatch.setattr(module, "materialize", counted)
+    queries.QUERIES[name](spark, SMOKE).count()
+    return seen
+
+
+@pytest.mark.parametrize("name", ["f2_index_categories", "x5_stock_dataset"])
+def test_stock_tables_write_orders_and_no_fanned_rows(monkeypatch, spark, name):
+    from shelfcast.sources.summaries import order_summary
+    n = order_summary(spark, SMOKE).count()
+    assert [rows for _, rows in _written(monkeypatch, spark, name)] == [n]
+
+
+
+
+@pytest.mark.parametrize("name", ["j1_join_view_stats", "j2_relative_brand"])
+def test_lookup_joins_do_not_shuffle_the_orders(spark, name):
+    df = queries.QUERIES[name](spark, SMOKE)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
+
+
+def test_narrowing_keeps_the_greatest_row_of_each_key(spark):
+    from shelfcast.sources.sinks import dedupe_latest, narrow_to_greatest
+    rows = [(k, None if (k, i) in ((3, 0), (3, 1)) else float(i % 5 if k != 3 else 0), None if k == 4 else i % 7, f"{i:03d}")
+            for k in (1, 2, 3, 4, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "key int, a double, b int, c string")
+    few = narrow_to_greatest(df, ["key"], ["a", "b", "c"])
+    assert few.count() <= 5 * 8 < df.count()
+    assert sorted(map(str, dedupe_latest(few, ["key"]).collect())) == sorted(map(str, dedupe_latest(df, ["key"]).collect()))
+
+
+def test_upsert_keeps_one_row_a_key_before_it_is_written(monkeypatch, spark, tmp_path):
+    from shelfcast.sources import sinks
+    df = spark.range(100).selectExpr("id % 2 AS k", "1 AS year", "id % 3 AS month", "cast(id AS string) AS v")
+    sinks.write_features(df, str(tmp_path / "t"), ["k", "year", "month"])
+    seen, write = {}, sinks.materialize
+    monkeypatch.setattr(sinks, "materialize", lambda d, name: seen.__setitem__(name, d.count()) or write(d, name))
+    sinks.write_features(df, str(tmp_path / "t"), ["k", "year", "month"])
+    assert seen["upsert-batch"] == 6
