@@ -177,7 +177,8 @@ def a1_view_stats(spark, d):
 
 @query("j1_join_view_stats")
 def j1_join_view_stats(spark, d):
-    return join_view_stats(_orders(spark, d), view_stats(_views(spark, d)))
+    stats, size = measured(view_stats(_views(spark, d)), "view-stats")
+    return join_view_stats(_orders(spark, d), stats, stats_bytes=size)
 
 
 @query("p8_fill_numeric")
