@@ -26,7 +26,7 @@ from shelfcast.operators.aggregates import (brand_price_counts, grouped_means, p
                                             view_stats, view_stats_by_merchant)
 from shelfcast.operators.clean import fill_numeric, fill_string, replace_blank
 from shelfcast.operators.indexing import index_category
-from shelfcast.operators.joins import (join_null_safe, join_view_stats, join_view_stats_by_merchant,
+from shelfcast.operators.joins import (ORDER_KEEP_COLUMNS, join_null_safe, join_view_stats, join_view_stats_by_merchant,
                                        pair_join_counts, pair_join_rows, with_relative_brand)
 from shelfcast.operators.learners import (cross_validate, feature_importances, fit, forest_regressor, gbt_regressor,
                                           last_model, linear_regressor, linear_summary, make_pipeline,
@@ -212,7 +212,10 @@ def p6_stock_flag(spark, d):
 
 
 def _feats(spark, d):
-    feats = index_category(_filled(spark, d), "brand", "brandindexed").drop("attrs", "channel", "eventcount")
+    # The orders are written once, un-fanned: the index fit, the counts and the result all stream them.
+    filled = joined_view_features(materialize(_orders(spark, d).select(*ORDER_KEEP_COLUMNS), "order-summary"),
+                                  _views(spark, d))
+    feats = index_category(filled, "brand", "brandindexed").drop("attrs", "channel", "eventcount")
     return with_stock_flag(with_relative_price(with_scores(feats)))
 
 
@@ -224,7 +227,8 @@ def a3_brand_price_counts(spark, d):
 @query("j2_relative_brand")
 def j2_relative_brand(spark, d):
     feats = _feats(spark, d)
-    return with_relative_brand(feats, brand_price_counts(feats))
+    counts, size = measured(brand_price_counts(feats), "brand-counts")
+    return with_relative_brand(feats, counts, counts_bytes=size)
 
 
 @query("x1_product_features")
