@@ -64,7 +64,7 @@ def _written(monkeypatch, spark, name):
     return seen
 
 
-@pytest.mark.parametrize("name", ["f2_index_categories", "x5_stock_dataset"])
+@pytest.mark.parametrize("name", ["f2_index_categories", "x5_stock_dataset", "x7_product_dataset"])
 def test_stock_tables_write_orders_and_no_fanned_rows(monkeypatch, spark, name):
     from shelfcast.sources.summaries import order_summary
     n = order_summary(spark, SMOKE).count()
