@@ -16,8 +16,13 @@ the threshold is the largest that keeps ``MIN_RECALL`` of their positives, and
 ``CharNet.report`` tells the recall and the false alarms on them.  Every
 candidate is scored; base findings always stay.
 
-The training sample is bounded by ``SAMPLE`` rows a class, taken by hash
-over the whole corpus; the network (a few kilobytes) is shipped to tasks.
+Nothing is sampled: the network is trained on every distinct labelled window that is
+not held out.  These are dealt by hash into shards of some ``SHARD`` rows; in each of
+``ROUNDS`` rounds every shard trains the shared network on all of its rows, and the
+parameters are averaged (local gradient descent).  Calibration, threshold and report
+take the counts of every held-out window by label and logit; logits are multiples of
+``GRID`` between ``-LIMIT`` and ``LIMIT``, so these counts lose nothing and are bounded.
+The network (a few kilobytes) is shipped to tasks.
 Texts are read once: candidates are written to the shared folder first.
 
 Cases: null text counts as empty (no span, digest of the empty string); a table
@@ -38,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shelfcast.llm.common import sample_by_hash, text_or_empty
+from shelfcast.llm.common import text_or_empty
 from shelfcast.session import materialize
 
 # Contract patterns and limits (fixed values).
@@ -59,7 +64,8 @@ PLAIN = re.compile(r"[A-Za-z][a-z]+(?:[-/][A-Za-z][a-z]*)*[.!?]*")
 SHOUTED = re.compile(r"[A-Z]+(?:[-/.][A-Z]+)*[.!?]*")
 MIN_ENTROPY = 3.2            # bits a character
 CONTEXT, VALUE = 16, 40
-SAMPLE = 2000
+SHARD, ROUNDS = 16384, 2     # rows that a task trains on, and rounds over all rows
+GRID, LIMIT = 2.0 ** -10, 32.0
 SEEDS = 200                  # invented examples a class
 HELD_OUT = 4                 # one document of so many is held out
 MIN_RECALL = 0.95
@@ -172,23 +178,42 @@ class CharNet:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         parts = [self._forward(x[i:i + 512])[3] for i in range(0, len(x), 512)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+        z = np.concatenate(parts) if parts else np.zeros(0)
+        return np.clip(np.round(z / GRID) * GRID, -LIMIT, LIMIT) + 0.0
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
+        return self.calibrated(self.logits(x))
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int = SEED) -> None:
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = np.asarray(flat[at:at + v.size], float).reshape(v.shape)
+            at += v.size
+
+    def train(self, x: np.ndarray, y: np.ndarray, seed: int = SEED, steps: int = STEPS,
+              share: float | None = None) -> None:
+        """At least ``steps`` batches, and every row at least once; ``share``: that of the positives (that of ``y``)."""
         rng = np.random.default_rng(seed)
+        share = y.mean() if share is None else share
+        steps = max(steps, -(-len(x) // BATCH))
+        passes = -(-steps * BATCH // len(x))
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(passes)])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        for step in range(1, STEPS + 1):
-            rows = rng.integers(0, len(x), BATCH)
+        weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+        for step in range(1, steps + 1):
+            rows = order[(step - 1) * BATCH:step * BATCH]
             xb = x[rows].copy()
-            hide = rng.random(BATCH) < 0.5                # half of the rows without context: the token must do
+            hide = rng.random(len(rows)) < 0.5                # half of the rows without context: the token must do
             xb[hide, :CONTEXT] = xb[hide, -CONTEXT:] = 0
             cols, at, pooled, z = self._forward(xb)
-            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / BATCH
+            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
             dpool = dz[:, None] * self.p["w"] * (pooled > 0)
             picked = np.take_along_axis(cols, at[:, :, None], 1)                # rows, FILTERS, WIDTH*EMBED
             g = {"w": pooled.T @ dz, "b": np.array([dz.sum()]), "c": dpool.sum(0),
@@ -203,16 +228,25 @@ class CharNet:
                 self.p[k] = self.p[k] - 0.01 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = MIN_RECALL) -> None:
-        """Platt scaling on held-out rows, then the largest threshold with the asked recall."""
-        z = self.logits(x)
+        """``calibrate_counts`` on held-out rows."""
+        self.calibrate_counts(self.logits(x), y, np.ones(len(x)), recall)
+
+    def calibrate_counts(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = MIN_RECALL) -> None:
+        """Platt scaling on ``n`` held-out rows of logit ``z`` and label ``y``, then the largest threshold with the
+        asked recall, and the report."""
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            a -= 0.05 * (np.mean((p - y) * z) + 1e-3 * (a - 1))
-            b -= 0.05 * np.mean(p - y)
+            a -= 0.05 * (np.average((p - y) * z, weights=n) + 1e-3 * (a - 1))
+            b -= 0.05 * np.average(p - y, weights=n)
         self.scale, self.shift = max(a, 1e-3), b
-        positive = np.sort(self.probabilities(x[y == 1]))
-        self.threshold = float(positive[int((1 - recall) * len(positive))])
+        p, positive = self.calibrated(z), y == 1
+        order = np.argsort(p[positive], kind="stable")
+        reached = np.cumsum(n[positive][order])
+        self.threshold = float(p[positive][order][np.searchsorted(reached, int((1 - recall) * reached[-1]), side="right")])
+        called = np.where(p >= self.threshold, n, 0)
+        self.report = {"held_out": float(n.sum()), "recall": float(called[positive].sum() / n[positive].sum()),
+                       "false_alarms": float(called[~positive].sum() / max(n[~positive].sum(), 1))}
 
 
 def scan(text: Column) -> Column:
@@ -225,26 +259,66 @@ def scan(text: Column) -> Column:
     return found(text)
 
 
-def fit_network(found: DataFrame, sample: int = SAMPLE) -> CharNet:
-    """Train on at most ``sample`` labelled windows a class (by hash, over the whole corpus) and the invented examples.
+def labelled_windows(found: DataFrame) -> DataFrame:
+    """(label, w, held): every distinct labelled window.
 
     A window that stands in several documents belongs to the one of the least hash.
     """
     documents = found.withColumn("_doc", F.xxhash64(*found.columns))
-    rows = (documents.select("_doc", F.explode("found").alias("c")).where("c.label >= 0")
+    return (documents.select("_doc", F.explode("found").alias("c")).where("c.label >= 0")
                      .select("_doc", "c.label", F.explode("c.windows").alias("w"))
                      .groupBy("label", "w").agg((F.pmod(F.min("_doc"), F.lit(HELD_OUT)) == 0).alias("held")))
-    picked = [sample_by_hash(rows.where(F.col("label") == y), ["w"], sample).toPandas() for y in (0, 1)]
-    seeds = pd.DataFrame(seed_examples(), columns=["w", "label"])
-    seeds["held"] = np.arange(len(seeds)) % HELD_OUT == 0
-    both = pd.concat([*picked, seeds], ignore_index=True)
-    x, y, held = encode(both["w"].tolist()), both["label"].to_numpy(float), both["held"].to_numpy(bool)
+
+
+def train_round(net: CharNet, rows: DataFrame, seeds: tuple[np.ndarray, np.ndarray], share: float, seed: int) -> np.ndarray:
+    """The mean parameters of ``net`` after each shard of ``rows`` (shard, w, label) has trained it on all of its rows.
+
+    Sums are of decimals, so that they do not depend on the order in which tasks end.
+    """
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        windows, labels = zip(*sorted(zip(part["w"], part["label"])))       # in an order of their own
+        own = CharNet()
+        own.load(net.flat())
+        own.train(np.concatenate([encode(windows), seeds[0]]), np.concatenate([labels, seeds[1]]), seed,
+                  -(-STEPS // ROUNDS), share)
+        return pd.DataFrame({"at": np.arange(len(own.flat())), "value": own.flat()})
+
+    trained = rows.groupBy("shard").applyInPandas(work, "at long, value double")
+    sums = trained.groupBy("at").agg(F.sum(F.col("value").cast("decimal(30,15)")).alias("value"),
+                                     F.count(F.lit(1)).alias("n")).collect()        # one row per parameter
+    return np.array([float(r["value"]) / r["n"] for r in sorted(sums, key=lambda r: r["at"])])
+
+
+def held_out_counts(net: CharNet, rows: DataFrame) -> pd.DataFrame:
+    """(label, z, n): how many of ``rows`` have a label and a logit; at most 2 labels × 2 LIMIT / GRID rows."""
+    @pandas_udf("double")
+    def logit(windows: pd.Series) -> pd.Series:
+        return pd.Series(net.logits(encode(windows.tolist())))
+    counted = rows.select("label", logit("w").alias("z")).groupBy("label", "z").agg(F.count(F.lit(1)).alias("n"))
+    return counted.toPandas().sort_values(["label", "z"])
+
+
+def fit_network(found: DataFrame) -> CharNet:
+    """Train on every labelled window that is not held out, calibrate on every one that is; with the invented examples."""
+    rows = materialize(labelled_windows(found), "secret-windows")
+    seeds = seed_examples()
+    x, y = encode([w for w, _ in seeds]), np.array([label for _, label in seeds], float)
+    held = np.arange(len(seeds)) % HELD_OUT == 0
+    sizes = {r["label"]: r["n"] for r in rows.where(~F.col("held")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(sizes.values())
+    shards = max(1, -(-n // SHARD))
+    # The invented examples belong to every shard.
+    share = (sizes.get(1, 0) / shards + y[~held].sum()) / (n / shards + (~held).sum())
+    train = rows.where(~F.col("held")).select(F.pmod(F.xxhash64("w"), F.lit(shards)).alias("shard"), "w", "label")
     net = CharNet()
-    net.train(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
-    called = net.probabilities(x[held]) >= net.threshold
-    net.report = {"held_out": float(held.sum()), "recall": float(called[y[held] == 1].mean()),
-                  "false_alarms": float(called[y[held] == 0].mean())}
+    if n:
+        for k in range(ROUNDS):
+            net.load(train_round(net, train, (x[~held], y[~held]), share, SEED + k))
+    else:
+        net.train(x[~held], y[~held])
+    counts = held_out_counts(net, rows.where("held"))
+    net.calibrate_counts(*[np.concatenate([counts[c].to_numpy(float), more]) for c, more in (
+        ("z", net.logits(x[held])), ("label", y[held]), ("n", np.ones(held.sum())))])
     return net
 
 

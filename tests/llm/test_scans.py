@@ -317,6 +317,32 @@ def test_small_tables_are_judged_like_large_ones(spark):
     assert net.report["recall"] >= 0.95 and net.report["false_alarms"] <= 0.1
 
 
+def test_network_is_fitted_on_every_labelled_window(spark, monkeypatch):
+    """More labelled windows than any bound: all are trained on or calibrated on, in several shards."""
+    import hashlib
+    from shelfcast.llm import secret_scan
+    from shelfcast.session import materialize
+    n = 5000
+    docs = spark.createDataFrame([(k, f"see {hashlib.md5(b'%d' % k).hexdigest()} or mail u{k}.x{k % 7}@b.org now") for k in range(n)],
+                                 "doc_id long, text string")
+    found = materialize(docs.select("doc_id", secret_scan.scan(docs.text).alias("found")))
+    rows = secret_scan.labelled_windows(found)
+    wanted = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    assert sum(wanted.values()) == 2 * n
+    trained, train = [], secret_scan.train_round
+    monkeypatch.setattr(secret_scan, "SHARD", 2000)
+    monkeypatch.setattr(secret_scan, "train_round", lambda net, part, *rest: (
+        trained.append((part.count(), part.select("shard").distinct().count())), train(net, part, *rest))[1])
+    net = secret_scan.fit_network(found)
+    left = sum(v for (_, held), v in wanted.items() if not held)
+    assert trained == [(left, -(-left // 2000))] * secret_scan.ROUNDS
+    invented = len(secret_scan.seed_examples())
+    assert net.report["held_out"] == 2 * n - left + -(-invented // secret_scan.HELD_OUT)
+    assert net.report["recall"] >= secret_scan.MIN_RECALL and net.report["false_alarms"] <= 0.02
+    again = secret_scan.fit_network(found.repartition(5))
+    assert (again.scale, again.shift, again.threshold, again.report) == (net.scale, net.shift, net.threshold, net.report)
+
+
 def test_calling_codes():
     from shelfcast.llm.pii import calling_code
     assert all(map(calling_code, ["12125550143", "442079460958", "35312345678", "79161234567", "8613812345678"]))
