@@ -89,8 +89,8 @@ def _x1_monthly(spark, d):
     return product_features(_orders(spark, d), _views(spark, d), with_fastseller=True)
 
 
-def _x2(spark, d, reused=False):
-    return merchant_features(_orders(spark, d), _views(spark, d), reused=reused)
+def _x2(spark, d, reused=False, collapse=False):
+    return merchant_features(_orders(spark, d), _views(spark, d), reused=reused, collapse=collapse)
 
 
 def _saved(spark, df, keys):
@@ -109,7 +109,7 @@ def _x1_monthly_saved(spark, d):
 
 
 def _x2_saved(spark, d):
-    return _saved(spark, _x2(spark, d), MERCHANT_ORDER_KEYS)
+    return _saved(spark, _x2(spark, d, collapse=True), MERCHANT_ORDER_KEYS)
 
 
 def _filled(spark, d):
