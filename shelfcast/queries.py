@@ -81,12 +81,12 @@ def _views(spark, d):
     return view_summary(spark, d)
 
 
-def _x1(spark, d):
-    return product_features(_orders(spark, d), _views(spark, d))
+def _x1(spark, d, collapse=False):
+    return product_features(_orders(spark, d), _views(spark, d), collapse=collapse)
 
 
-def _x1_monthly(spark, d):
-    return product_features(_orders(spark, d), _views(spark, d), with_fastseller=True)
+def _x1_monthly(spark, d, collapse=False):
+    return product_features(_orders(spark, d), _views(spark, d), with_fastseller=True, collapse=collapse)
 
 
 def _x2(spark, d, reused=False, collapse=False):
@@ -101,11 +101,11 @@ def _saved(spark, df, keys):
 
 
 def _x1_saved(spark, d):
-    return _saved(spark, _x1(spark, d), PRODUCT_ORDER_KEYS)
+    return _saved(spark, _x1(spark, d, collapse=True), PRODUCT_ORDER_KEYS)
 
 
 def _x1_monthly_saved(spark, d):
-    return _saved(spark, _x1_monthly(spark, d), PRODUCT_ORDER_KEYS)
+    return _saved(spark, _x1_monthly(spark, d, collapse=True), PRODUCT_ORDER_KEYS)
 
 
 def _x2_saved(spark, d):

@@ -101,7 +101,7 @@ def test_upsert_keeps_one_row_a_key_before_it_is_written(monkeypatch, spark, tmp
     assert seen["upsert-batch"] == 6
 
 
-@pytest.mark.parametrize("saved, table", [("_x2_saved", "_x2")])
+@pytest.mark.parametrize("saved, table", [("_x1_saved", "_x1"), ("_x1_monthly_saved", "_x1_monthly"), ("_x2_saved", "_x2")])
 def test_saved_tables_get_no_fanned_rows_and_keep_the_same(monkeypatch, spark, saved, table):
     """Rows that an upsert by key cannot keep do not reach the sink; what it keeps is what it keeps of all rows."""
     from shelfcast.sources.summaries import order_summary
@@ -115,3 +115,14 @@ def test_saved_tables_get_no_fanned_rows_and_keep_the_same(monkeypatch, spark, s
     most = 2 * n if table == "_x1_monthly" else n                # a product's greatest brand has several fastsellers
     assert given[0] <= most < fanned == given[1]
     assert few.columns == every.columns and sorted(map(str, few.collect())) == sorted(map(str, every.collect()))
+
+
+def test_collapse_compares_missing_and_negative_prices_as_the_sink_does(spark, tiny_views):
+    from tests.conftest import ORDER_SCHEMA
+    from shelfcast.plans.product_features import product_features
+    order = lambda pid, price, n: (pid, "S1", "M1", 2016, 8, 35, 29, "x", "web", price, price, price, n, 1, 5)
+    orders = spark.createDataFrame([order("P1", None, 1), order("P1", -2000.0, 2), order("P3", None, 3), order("P3", 4.0, 4),
+                                    order("P9", -1.0, 5), order(None, None, 6), order(None, float("nan"), 7)], ORDER_SCHEMA)
+    keys = queries.PRODUCT_ORDER_KEYS
+    few, every = (queries._saved(spark, product_features(orders, tiny_views, collapse=c), keys) for c in (True, False))
+    assert few.count() == 4 and sorted(map(str, few.collect())) == sorted(map(str, every.collect()))
