@@ -165,7 +165,7 @@ def _task(spec: dict):
         import numpy as np
         import pyarrow as pa
         trees, bins, n_lookup = spec["trees"], spec["bins"], len(spec["lookup_at"])
-        n_features, draws, subsets = len(spec["own"]) + n_lookup, spec["draws"], spec["subsets"]
+        n_features, draws, subsets, sets = len(spec["own"]) + n_lookup, spec["draws"], spec["subsets"], spec["sets"]
         sizes = [(t["nodes"] if subsets is None else subsets[i].size * bins) for i, t in enumerate(trees)]
         sums = [[np.zeros(size) for _ in range(3 if subsets is None else 2)] for size in sizes]
 
@@ -230,9 +230,14 @@ def _task(spec: dict):
                 continue
             column = lambda name: batch.column(batch.schema.get_field_index(name))
             labels = column("label").to_numpy(zero_copy_only=False)
-            partners = column("_bins")
-            lookup = partners.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_lookup).T
-            counts = np.diff(partners.offsets.to_numpy()) // n_lookup
+            if sets is None:
+                partners = column("_bins")
+                lookup = partners.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_lookup).T
+                ends = partners.offsets.to_numpy().astype(np.int64) // n_lookup
+                counts, first = np.diff(ends), ends[:-1] - ends[0]
+            else:
+                number = column("_set").to_numpy(zero_copy_only=False)
+                lookup, counts, first = sets[0], sets[1].take(number), sets[2].take(number)
             own = [binned(column(name).to_numpy(zero_copy_only=False), how) for _, name, how in spec["own"]]
             places = None if draws is None else column("_place").to_numpy(zero_copy_only=False).view(np.uint64)
             ends, start = np.cumsum(counts), 0
@@ -245,11 +250,12 @@ def _task(spec: dict):
                 x = np.empty((n_features, m), np.int16)
                 for (at, _, _), values in zip(spec["own"], own):
                     x[at] = values[which]
+                place = np.arange(base, base + m) - np.repeat(ends[start:stop] - n, n)
+                partner = np.repeat(first[start:stop], n) + place
                 for k, at in enumerate(spec["lookup_at"]):
-                    x[at] = lookup[k, base:base + m]
+                    x[at] = lookup[k].take(partner)
                 ids = None
                 if draws is not None:
-                    place = np.arange(base, base + m) - np.repeat(ends[start:stop] - n, n)
                     ids = mixed(places[which] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
                 block(x, labels[which], ids)
                 start = stop
@@ -362,12 +368,21 @@ def _as_model(rows: DataFrame, learner, trees: list[list[tuple]], n_features: in
     return type(made).load(path)
 
 
-def fit_joined(rows: DataFrame, own: Mapping[str, int], lookup_at: Sequence[int], bins: Sequence[Bins], learner):
+def numbered_sets(bins: Sequence[Sequence[int]], features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of partners by number, for rows that carry a ``_set``: (bins by feature and partner, their counts, first ones)."""
+    counts = np.array([len(b) // features for b in bins], np.int64)
+    flat = np.concatenate([np.asarray(b, np.int16) for b in bins]).reshape(-1, features).T.copy()
+    return flat, counts, np.cumsum(counts) - counts
+
+
+def fit_joined(rows: DataFrame, own: Mapping[str, int], lookup_at: Sequence[int], bins: Sequence[Bins], learner,
+               sets: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
     """The model that ``learner`` learns from the join of ``rows`` to their partners.
 
     ``rows``: per row of the table its ``label``, the columns ``own`` (name → place in the vector), ``_bins`` (the bins of
     all its partners one after the other, features as in ``lookup_at``) and, for a bootstrap, ``_place`` (a
-    hash of the row's place).  ``bins`` says of each feature how values become bins.
+    hash of the row's place).  ``bins`` says of each feature how values become bins.  A lookup that may be sent to
+    every task comes as ``sets`` (``numbered_sets``), and rows then name their partners by ``_set``.
     """
     get = learner.getOrDefault
     if learner.isDefined("minWeightFractionPerNode") and get("minWeightFractionPerNode") > 0 or (
@@ -390,7 +405,8 @@ def fit_joined(rows: DataFrame, own: Mapping[str, int], lookup_at: Sequence[int]
     if per_node is None:
         raise ValueError(f"feature subsets {strategy!r} are not supported here")
     spec = {"own": [(at, name, bins[at].spec()) for name, at in own.items()], "lookup_at": list(lookup_at), "bins": widest,
-            "draws": _poisson_table(rate) if bootstrap else None, "seed": seed % 2 ** 32, "block": BLOCK_ROWS}
+            "sets": sets, "draws": _poisson_table(rate) if bootstrap else None, "seed": seed % 2 ** 32, "block": BLOCK_ROWS}
+    rows = rows.select("label", *own, "_bins" if sets is None else "_set", *(["_place"] if bootstrap else []))
     trees = [Tree(widest) for _ in range(n_trees)]
     depth = 0
     for depth in range(get("maxDepth") + 1):

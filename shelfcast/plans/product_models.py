@@ -25,15 +25,15 @@ from shelfcast.functions.columns import MISSING, with_stock_flag
 from shelfcast.operators.aggregates import VIEW_SCORE_COLUMNS, view_stats
 from shelfcast.operators.clean import STRING_SENTINEL, fill_numeric, fill_string
 from shelfcast.operators.indexing import Dictionary, apply_dictionary, dictionary_of, with_nominal
-from shelfcast.operators.joined_trees import (Bins, categorical_features, fit_joined, lookup_points, order_points,
-                                              split_points)
+from shelfcast.operators.joined_trees import (Bins, categorical_features, fit_joined, lookup_points, numbered_sets,
+                                              order_points, split_points)
 from shelfcast.operators.joins import ORDER_KEEP_COLUMNS, join_view_stats, lookup_join
 from shelfcast.operators.learners import (check_bins, forest_regressor, gbt_regressor, linear_regressor,
                                           make_pipeline, tree_regressor)
 from shelfcast.operators.metrics import regression_metrics
 from shelfcast.operators.vectors import assemble, fit_vector_indexer, split, with_split
 from shelfcast.plans.demand import WEEKLY_MAX_BINS, WEEKLY_MAX_CATEGORIES, ModelRun, weekly_dataset
-from shelfcast.session import materialize, measured
+from shelfcast.session import broadcast_limit, finer_reads, materialize, measured
 
 PRODUCT_MAX_CATEGORIES = 20
 PRODUCT_MAX_BINS = 42
@@ -156,22 +156,29 @@ def fit_product(tables: ProductTables, indexer: VectorIndexerModel, train: DataF
     sets, sets_bytes = measured(sets, "view-bins")                    # read by every pass
     nothing = spark.createDataFrame([tuple(tables.unmatched.values())], [*tables.unmatched]).select(
         coded.alias("b")).first()["b"]
-    rows = lookup_join(orders.select("productid", "label", "_place", *ORDER_FEATURES), sets, ["productid"], "left",
-                       right_bytes=max(sets_bytes, tables.stats_bytes))
-    rows = rows.withColumn("_bins", F.coalesce("_bins", F.lit(nothing).cast("array<smallint>"))).drop("productid")
-    return fit_joined(rows, {c: at[c] for c in ORDER_FEATURES}, [at[c] for c in VIEW_FEATURES], bins, learner)
+    rows, numbered = orders.select("productid", "label", "_place", *ORDER_FEATURES), None
+    if sets_bytes <= broadcast_limit(spark):        # orders name their view groups by a number
+        known = [(r["productid"], r["_bins"]) for r in sets.where(F.col("productid").isNotNull()).orderBy("productid").collect()]
+        numbered = numbered_sets([nothing, *[b for _, b in known]], len(VIEW_FEATURES))
+        numbers = spark.createDataFrame([(p, i) for i, (p, _) in enumerate(known, 1)], "productid string, _set int")
+        rows = lookup_join(rows, numbers, ["productid"], "left", right_bytes=sets_bytes).fillna(0, ["_set"])
+    else:
+        rows = lookup_join(rows, sets, ["productid"], "left", right_bytes=sets_bytes)
+        rows = rows.withColumn("_bins", F.coalesce("_bins", F.lit(nothing).cast("array<smallint>")))
+    return fit_joined(rows, {c: at[c] for c in ORDER_FEATURES}, [at[c] for c in VIEW_FEATURES], bins, learner, numbered)
 
 
 def product_model(orders: DataFrame, views: DataFrame, forest: bool = False, seed: int = 7) -> ModelRun:
     """The product-level regression: vector indexer (20) and a tree, or a forest, with 42 bins."""
     tables = product_tables(orders, views)
-    indexer = fit_vector_indexer(product_vectors(tables, covering_rows(tables)), "features", "indexedfeatures",
-                                 PRODUCT_MAX_CATEGORIES)
     train, test = (product_vectors(tables, product_rows(tables, tables.orders.where(F.col("split") == part), tables.stats))
                    for part in ("train", "test"))
     check_bins(PRODUCT_MAX_BINS, PRODUCT_MAX_CATEGORIES)
     learner = forest_regressor if forest else tree_regressor
-    fitted = fit_product(tables, indexer, train, learner("label", "indexedfeatures", maxBins=PRODUCT_MAX_BINS, seed=seed))
+    with finer_reads(orders.sparkSession):
+        indexer = fit_vector_indexer(product_vectors(tables, covering_rows(tables)), "features", "indexedfeatures",
+                                     PRODUCT_MAX_CATEGORIES)
+        fitted = fit_product(tables, indexer, train, learner("label", "indexedfeatures", maxBins=PRODUCT_MAX_BINS, seed=seed))
     model = make_pipeline([indexer, fitted]).fit(train)               # both are fitted: nothing is read here
     predictions = model.transform(test)
     return ModelRun(model, predictions, regression_metrics(predictions, "label"), train)

@@ -140,3 +140,38 @@ def test_product_tables_leave_no_row_out(spark, tiny_orders, tiny_views):
     from shelfcast.operators.vectors import with_split
     filled = with_split(fill_string(fill_numeric(tiny_orders)), pm.PRODUCT_SPLIT_KEYS, 0.7)
     assert tagged == {(r["productcount"], r["split"]) for r in filled.collect()}
+
+
+@pytest.mark.parametrize("learner", [lambda: tree_regressor("label", "indexedfeatures", seed=1),
+                                     lambda: forest_regressor("label", "indexedfeatures", numTrees=6, seed=5)])
+def test_partners_by_number_give_the_same_model(spark, sides, learner):
+    rows, joined, bins = sides
+    known = [list(r[0]) for r in rows.select("_bins").distinct().collect()]
+    numbers = spark.createDataFrame([(b, i) for i, b in enumerate(known)], "_bins array<smallint>, _set int")
+    named = rows.join(F.broadcast(numbers), "_bins").drop("_bins")
+    sets = joined_trees.numbered_sets(known, 2)
+    found = fit_joined(named, {"cat": 0, "a": 1, "b": 2}, [3, 4], bins, learner(), sets)
+    both = found.transform(joined).withColumnRenamed("prediction", "found")
+    assert _fit(rows, bins, learner()).transform(both).where(~close(F.col("found"), F.col("prediction"))).count() == 0
+
+
+def test_view_statistics_beyond_a_broadcast_give_the_same_model(spark):
+    from shelfcast.plans.product_models import product_model
+    made = []
+    for limit in (str(2 ** 27), "1"):
+        spark.conf.set("shelfcast.broadcast.maxBytes", limit)
+        try:
+            run = product_model(queries._orders(spark, SMOKE), queries._views(spark, SMOKE), forest=True)
+            made.append(run.metrics.first().asDict())
+        finally:
+            spark.conf.unset("shelfcast.broadcast.maxBytes")
+    assert made[0]["n"] == made[1]["n"] and made[0]["rmse"] == pytest.approx(made[1]["rmse"], rel=0.02)
+
+
+def test_finer_reads_are_taken_back(spark):
+    from shelfcast.session import finer_reads
+    key = "spark.sql.files.minPartitionNum"
+    assert spark.conf.get(key, None) is None
+    with finer_reads(spark):
+        assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key, None) is None
