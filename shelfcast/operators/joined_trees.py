@@ -66,8 +66,9 @@ class Bins:
             return F.size(below).cast("smallint")
         if self.categories is None:
             return x.cast("smallint")
+        # A value without a category is in no row of the join: any bin will do.
         known = F.create_map(*[F.lit(v) for pair in self.categories.items() for v in pair])
-        return known[x].cast("smallint")
+        return F.coalesce(known[x], F.lit(0)).cast("smallint")
 
     def spec(self) -> tuple:
         """What a task needs: ("split", points), ("category", values, their categories) or ("value",)."""
@@ -138,6 +139,8 @@ def order_points(df: DataFrame, columns: Sequence[str], fan: str) -> tuple[dict[
 
 def lookup_points(df: DataFrame, columns: Sequence[str], weight: str) -> dict[str, list[float]]:
     """Quantiles of the lookup's columns, each row counted ``weight`` times."""
+    if not columns:
+        return {}
     at = ", ".join(map(repr, QUANTILES))
     row = df.agg(*[F.expr(f"percentile({c}, array({at}), {weight})").alias(c) for c in columns]).first()
     return {c: list(row[c] or ()) for c in columns}

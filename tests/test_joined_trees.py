@@ -175,3 +175,18 @@ def test_finer_reads_are_taken_back(spark):
     with finer_reads(spark):
         assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(key, None) is None
+
+
+@pytest.mark.parametrize("limit", [str(2 ** 27), "1"])
+def test_views_of_products_that_were_never_ordered_do_not_matter(spark, limit):
+    """Their values are in no row of the join, so the indexer does not know them."""
+    from shelfcast.plans.product_models import product_model
+    orders = queries._orders(spark, SMOKE).where("productid IN ('P1', 'P2', 'P3')")
+    views = queries._views(spark, SMOKE)
+    spark.conf.set("shelfcast.broadcast.maxBytes", limit)
+    try:
+        every, few = (product_model(orders, v).metrics.first().asDict()
+                      for v in (views, views.where("productid IN ('P1', 'P2', 'P3')")))
+    finally:
+        spark.conf.unset("shelfcast.broadcast.maxBytes")
+    assert every["n"] > 0 and every["n"] == few["n"] and every["rmse"] == pytest.approx(few["rmse"])
